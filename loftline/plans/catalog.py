@@ -6,7 +6,7 @@ import importlib
 
 from loftline.plans import registry
 
-MODULES = ("shots",)
+MODULES = ("shots", "rounds")
 
 
 def _load() -> None:
