@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loftline.functions.numbers import r1
-from loftline.operators.skew import carried_sum, with_halo
+from loftline.operators.skew import carried_sums, with_halo
 
 LAST_N = 5
 
@@ -83,11 +83,9 @@ def season(results: DataFrame) -> DataFrame:
 
 def running_record(results: DataFrame) -> DataFrame:
     """Wins, losses and ties standing after each round, oldest first."""
-    out = results
-    for k in ("W", "L", "T"):
-        out = carried_sum(out, ["player_id"], "yr", [F.col("day_no"), F.col("round_id")],
-                          F.when(F.col("result") == k, 1).otherwise(0), k.lower())
-    return out
+    is_ = lambda k: F.when(F.col("result") == k, 1).otherwise(0)
+    return carried_sums(results, ["player_id"], "yr", [F.col("day_no"), F.col("round_id")],
+                        {"w": is_("W"), "l": is_("L"), "t": is_("T")})
 
 
 def ledger(rounds: DataFrame, cards: DataFrame) -> DataFrame:

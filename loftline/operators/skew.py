@@ -17,22 +17,20 @@ def _back(keys: Sequence[str], bucket: str):
     return Window.partitionBy(*keys).orderBy(bucket)
 
 
-def carried_sum(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column], value: Column,
-                out: str, include_self: bool = True) -> DataFrame:
-    """Running sum of ``value`` in (bucket, order) per key.
+def carried_sums(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column],
+                 values: dict[str, Column]) -> DataFrame:
+    """Running sums of several values in (bucket, order) per key, in one pass.
 
     Sub-totals per (key, bucket) are map-side combined; the window over them sees one row per bucket.
     """
-    v = "_v_" + out
-    df = df.withColumn(v, value)
-    sub = df.groupBy(*keys, bucket).agg(F.sum(v).alias("_sub"))
+    df = df.select("*", *[v.alias(f"_v_{o}") for o, v in values.items()])
+    sub = df.groupBy(*keys, bucket).agg(*[F.sum(f"_v_{o}").alias(f"_s_{o}") for o in values])
     w = _back(keys, bucket).rowsBetween(Window.unboundedPreceding, -1)
-    off = sub.select(*keys, bucket, F.coalesce(F.sum("_sub").over(w), F.lit(0)).alias("_off"))
-    local = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0 if include_self else -1)
-    return (df.join(off, [*keys, bucket])
-            .withColumn(out, F.coalesce(F.sum(v).over(local), F.lit(0)) + F.col("_off"))
-            .drop(v, "_off"))
+    off = sub.select(*keys, bucket, *[F.coalesce(F.sum(f"_s_{o}").over(w), F.lit(0)).alias(f"_o_{o}") for o in values])
+    local = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.join(off, [*keys, bucket]).select(
+        "*", *[(F.sum(f"_v_{o}").over(local) + F.col(f"_o_{o}")).alias(o) for o in values])
+    return out.drop(*[f"_{k}_{o}" for o in values for k in "vo"])
 
 
 def numbered(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column], out: str = "pos") -> DataFrame:
@@ -71,3 +69,12 @@ def salted_agg(df: DataFrame, keys: Sequence[str], partial: Sequence[Column], fi
     s = F.pmod(F.xxhash64(salt), F.lit(slices))
     return (df.withColumn("_salt", s).groupBy(*keys, "_salt").agg(*partial)
             .groupBy(*keys).agg(*final))
+
+
+def evaluated_once(df: DataFrame) -> DataFrame:
+    """The same rows, with the computed columns made final.
+
+    The optimiser copies a long expression into every place that uses it, filters included; passing the row
+    through a one-element generator ends that, so wide arithmetic is planned and evaluated once.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))

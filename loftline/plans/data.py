@@ -131,10 +131,12 @@ class Data:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self._seen: set[str] = set()
+        self._open: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._open:
+            self._open[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._open[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:

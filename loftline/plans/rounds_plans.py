@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loftline.functions.numbers import half_up
 from loftline.operators import history as H
 from loftline.operators import scoring as S
-from loftline.operators.skew import numbered
+from loftline.operators.skew import evaluated_once, numbered
 from loftline.plans.data import add_view
 from loftline.plans.registry import HU, query
 
@@ -28,12 +28,14 @@ add_view("diffs_v", f"""SELECT player_id, round_id, any_value(day_no) AS day_no,
 
 def cards(d):
     """rounds_v with the hole scores as arrays, the way round records carry them: one row per round, no shuffle."""
-    par = lambda h: F.when(h % 6 == 0, 5).when(h % 6 == 1, 3).otherwise(4)
-    sc = lambda h: par(h) + ((F.col("round_id") * 31 + h * 17 + F.col("round_id") % 7 * h) % 5).cast("int") - 1
-    return (d.rounds
-            .withColumn("pars", F.transform(SEQ18, par))
-            .withColumn("stroke_index", F.transform(SEQ18, lambda h: F.when(h <= 9, 2 * h - 1).otherwise(2 * (h - 9))))
-            .withColumn("scores", F.transform(SEQ18, lambda h: F.when((F.col("round_id") * 5 + h * 3) % 211 != 0, sc(h))))
+    par = [5 if h % 6 == 0 else 3 if h % 6 == 1 else 4 for h in range(1, 19)]
+    si = [2 * h - 1 if h <= 9 else 2 * (h - 9) for h in range(1, 19)]
+    sc = [f"CASE WHEN (round_id*5+{h * 3})%211<>0 THEN {par[h - 1] - 1}+CAST((round_id*31+{h * 17}+round_id%7*{h})%5 AS INT) END"
+          for h in range(1, 19)]
+    arr = lambda xs: F.expr(f"array({','.join(map(str, xs))})")
+    return evaluated_once(
+            d.rounds
+            .withColumn("pars", arr(par)).withColumn("stroke_index", arr(si)).withColumn("scores", arr(sc))
             .withColumn("your_total", S.total("scores"))
             .withColumn("hcp", S.course_handicap("diff_used", "slope", "rating", "par")))
 
@@ -85,8 +87,8 @@ _RES = f"""WITH gh AS (SELECT *, par+{GIVEN} AS g FROM played_v), {_PTS},
 
 def results(d):
     df = cards(d).withColumn("ghost", S.ghost_holes("pars", "stroke_index", "hcp"))
-    return (df.withColumn("m", S.match_points("scores", "ghost"))
-            .select("player_id", "round_id", "day_no", "yr", "m.you", "m.opp", S.match_result("m.you").alias("result")))
+    df = evaluated_once(S.match_points(df.select("player_id", "round_id", "day_no", "yr", "scores", "ghost")))
+    return df.select("player_id", "round_id", "day_no", "yr", "you", "opp", S.match_result("you").alias("result"))
 
 
 @query("match_points", f"{_RES} SELECT round_id, you, opp, result FROM res", ("played_v",))
@@ -114,7 +116,8 @@ _POOL = """WITH pool AS (SELECT * FROM diffs_v x WHERE differential IS NOT NULL
 
 
 def pool(d):
-    return H.without_carded_days(S.record_differential(cards(d)))
+    df = S.record_differential(cards(d)).select("player_id", "round_id", "day_no", "yr", "kind", "differential")
+    return H.without_carded_days(evaluated_once(df))
 
 
 @query("carded_days_dropped", f"{_POOL} SELECT player_id, kind, CAST(count(*) AS BIGINT) AS n FROM pool GROUP BY player_id, kind", ("diffs_v",))
