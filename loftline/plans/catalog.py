@@ -6,7 +6,7 @@ import importlib
 
 from loftline.plans import registry
 
-MODULES = ("shots", "rounds")
+MODULES = ("shots", "rounds", "learning")
 
 
 def _load() -> None:

@@ -11,7 +11,8 @@ from loftline.operators.skew import evaluated_once, numbered
 from loftline.plans.data import add_view
 from loftline.plans.registry import HU, query
 
-SEQ18 = F.sequence(F.lit(1), F.lit(18))
+def seq18():
+    return F.sequence(F.lit(1), F.lit(18))
 
 # a few holes unplayed, so unfinished blocks occur
 add_view("played_v", """SELECT h.*, CASE WHEN (h.round_id*5+h.hole*3)%211=0 THEN NULL ELSE h.score END AS s,
@@ -172,7 +173,7 @@ def valid_rounds(d):
 @query("green_key", """SELECT round_id, CAST(hole AS INT) AS hole, CASE WHEN course_id%2=0 THEN 'club'||(course_id%5)||'|'||CASE WHEN hole<=9 THEN 'A' ELSE 'B' END||'.'||((hole-1)%9+1) ELSE course_id||'|'||hole END AS key
 FROM hole_scores_v JOIN rounds_v USING (round_id, player_id)""", ("hole_scores_v",))
 def green_key(d):
-    h = d.rounds.select("round_id", "course_id", F.explode(SEQ18).alias("hole"))
+    h = d.rounds.select("round_id", "course_id", F.explode(seq18()).alias("hole"))
     nine = F.when(F.col("hole") <= 9, "A").otherwise("B")
     two = F.concat(F.lit("club"), F.col("course_id") % 5, F.lit("|"), nine, F.lit("."), (F.col("hole") - 1) % 9 + 1)
     return h.select("round_id", "hole", F.when(F.col("course_id") % 2 == 0, two).otherwise(F.concat_ws("|", F.col("course_id"), F.col("hole"))).alias("key"))
@@ -193,7 +194,7 @@ def stroke_index_norm(d):
         return (F.when(k % 4 == 0, (h * 5 + k) % 18 + 1).when(k % 4 == 1, run)
                 .when(k % 4 == 2, run * 3 + F.when(h > 9, 1).otherwise(0)).otherwise((n - 1) % 4 + 1)).cast("int")
 
-    t = d.supplier.select("s_suppkey", S.normalise_stroke_index(F.transform(SEQ18, at)).alias("si"))
+    t = d.supplier.select("s_suppkey", S.normalise_stroke_index(F.transform(seq18(), at)).alias("si"))
     return t.select("s_suppkey", F.posexplode("si").alias("p", "si")).select("s_suppkey", (F.col("p") + 1).alias("hole"), "si")
 
 
