@@ -6,7 +6,7 @@ import importlib
 
 from loftline.plans import registry
 
-MODULES = ("shots", "rounds", "learning")
+MODULES = ("shots", "rounds", "learning", "review", "strokes")
 
 
 def _load() -> None:
