@@ -6,7 +6,7 @@ import importlib
 
 from loftline.plans import registry
 
-MODULES = ("shots", "rounds", "learning", "review", "strokes")
+MODULES = ("shots", "rounds", "learning", "review", "strokes", "merges")
 
 
 def _load() -> None:
