@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loftline.functions import rings as G
 from loftline.functions.numbers import c
+from loftline.operators.skew import evaluated_once
 from loftline.settings import DEFAULTS, Settings, lookup
 
 CELL = 60.0
@@ -157,7 +158,7 @@ def assign_features(lines: DataFrame, features: DataFrame, reach: float) -> Data
 def assign_greens(lines: DataFrame, greens: DataFrame, reach: float) -> DataFrame:
     """P-08: the green holding the line's end, else the nearest centroid in reach; holes without one are reported."""
     ends = lines.select("course_id", "hole", F.col("x1").alias("x"), F.col("y1").alias("y"))
-    g = greens.withColumn("_ctr", G.centroid("ring"))
+    g = evaluated_once(greens.withColumn("_ctr", G.centroid("ring")))
     j = near(ends, g, reach + 40).withColumn("_in", G.contains("ring", "x", "y")).withColumn("_d", F.hypot(F.col("x") - F.col("_ctr.x"), F.col("y") - F.col("_ctr.y")))
     j = j.filter(F.col("_in") | (F.col("_d") <= reach))
     best = j.groupBy("course_id", "hole").agg(F.min_by("feature_id", F.struct(F.when(F.col("_in"), 0).otherwise(1), F.when(F.col("_in"), F.lit(0.0)).otherwise(F.col("_d")), F.col("feature_id"))).alias("green_id"))
@@ -174,13 +175,12 @@ def best_boundary(lines: DataFrame, outlines: DataFrame) -> DataFrame:
 # ---- green and fairway geometry -----------------------------------------------------------------------
 
 def green_distances(df: DataFrame) -> DataFrame:
-    """P-11: front, centre and back of the green along the line to its centre."""
-    ctr = G.centroid("ring")
-    df = df.withColumn("_c", ctr).withColumn("_h", G.ray_hits("x", "y", F.col("_c.x"), F.col("_c.y"), "ring"))
-    mid = F.hypot(F.col("x") - F.col("_c.x"), F.col("y") - F.col("_c.y"))
-    front = F.when(F.size("_h") > 0, F.get("_h", F.lit(0))).otherwise(F.greatest(F.lit(0.0), mid - 12))
-    back = F.when(F.size("_h") > 0, F.element_at("_h", -1)).otherwise(mid + 12)
-    return df.withColumn("front", front).withColumn("center", mid).withColumn("back", back).drop("_h", "_c")
+    """P-11: front, centre and back of the green along the line to its centre ``ctr``."""
+    df = evaluated_once(df.withColumn("_gx", F.col("ctr.x")).withColumn("_gy", F.col("ctr.y")))
+    df = evaluated_once(df.withColumn("_h", G.ray_hits("x", "y", "_gx", "_gy", "ring")).withColumn("center", F.hypot(F.col("x") - F.col("_gx"), F.col("y") - F.col("_gy"))))
+    front = F.when(F.size("_h") > 0, F.get("_h", F.lit(0))).otherwise(F.greatest(F.lit(0.0), F.col("center") - 12))
+    back = F.when(F.size("_h") > 0, F.element_at("_h", -1)).otherwise(F.col("center") + 12)
+    return df.withColumn("front", front).withColumn("back", back).drop("_h", "_gx", "_gy")
 
 
 def corridor(df: DataFrame) -> DataFrame:
@@ -205,23 +205,27 @@ def fairway_center(df: DataFrame, cap: float = 40.0) -> Column:
     return F.col("x") + F.coalesce(F.greatest(F.lit(-cap), F.least(F.lit(cap), best["m"])), F.lit(0.0))
 
 
-def green_position(x, y, fx, fy, ring) -> Column:
-    """P-25: front/middle/back and left/right by sixths of the green's depth and width, seen from (fx, fy)."""
-    ctr = G.centroid(ring)
-    ln = F.hypot(ctr["x"] - c(fx), ctr["y"] - c(fy))
-    ln = F.when(ln == 0, 1.0).otherwise(ln)
-    dx, dy = (ctr["x"] - c(fx)) / ln, (ctr["y"] - c(fy)) / ln
-    al = lambda px, py: (px - ctr["x"]) * dx + (py - ctr["y"]) * dy
-    la = lambda px, py: (px - ctr["x"]) * dy - (py - ctr["y"]) * dx
-    span = lambda f: F.array_max(F.transform(c(ring), lambda p: f(p["x"], p["y"]))) - F.array_min(F.transform(c(ring), lambda p: f(p["x"], p["y"])))
-    ta, tl = F.greatest(F.lit(1.5), span(al) / 6), F.greatest(F.lit(1.5), span(la) / 6)
-    a, l = al(c(x), c(y)), la(c(x), c(y))
-    return F.struct(F.when(a < -ta, "front").when(a > ta, "back").otherwise("middle").alias("v"), F.when(l < -tl, "left").when(l > tl, "right").otherwise("").alias("h"))
+def green_position(df: DataFrame, x: str, y: str, fx: str, fy: str) -> DataFrame:
+    """P-25: front/middle/back (v) and left/right (h) by sixths of the green's depth and width, seen from (fx, fy).
 
-
-def clamp_inside(x, y, ring) -> Column:
-    """P-27: the point itself if inside, else stepped in from the nearest edge point toward the centre by quarter yards."""
-    px, py = c(x), c(y)
+    ``ring`` and its centroid ``ctr`` are columns of ``df``.
+    """
+    ln = F.hypot(F.col("ctr.x") - c(fx), F.col("ctr.y") - c(fy))
+    df = df.withColumn("_l", F.when(ln == 0, 1.0).otherwise(ln)).withColumn("_gx", F.col("ctr.x")).withColumn("_gy", F.col("ctr.y"))
+    df = evaluated_once(df.withColumn("_dx", (F.col("_gx") - c(fx)) / F.col("_l")).withColumn("_dy", (F.col("_gy") - c(fy)) / F.col("_l")))
+    al = lambda px, py: (px - F.col("_gx")) * F.col("_dx") + (py - F.col("_gy")) * F.col("_dy")
+    la = lambda px, py: (px - F.col("_gx")) * F.col("_dy") - (py - F.col("_gy")) * F.col("_dx")
+    df = evaluated_once(df.withColumn("_as", F.transform("ring", lambda p: al(p["x"], p["y"]))).withColumn("_ls", F.transform("ring", lambda p: la(p["x"], p["y"])))
+                        .withColumn("_a", al(c(x), c(y))).withColumn("_b", la(c(x), c(y))))
+    ta = F.greatest(F.lit(1.5), (F.array_max("_as") - F.array_min("_as")) / 6)
+    tl = F.greatest(F.lit(1.5), (F.array_max("_ls") - F.array_min("_ls")) / 6)
+    return (df.withColumn("v", F.when(F.col("_a") < -ta, "front").when(F.col("_a") > ta, "back").otherwise("middle"))
+            .withColumn("h", F.when(F.col("_b") < -tl, "left").when(F.col("_b") > tl, "right").otherwise("")))
+
+
+def clamp_inside(df: DataFrame) -> DataFrame:
+    """P-27: (x, y) itself if inside the ring, else stepped in from the nearest edge point toward the centre by quarter yards."""
+    px, py = F.col("x"), F.col("y")
 
     def foot(e):
         a, b = e["a"], e["b"]
@@ -230,13 +234,16 @@ def clamp_inside(x, y, ring) -> Column:
         t = F.when(l2 == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - a["x"]) * vx + (py - a["y"]) * vy) / F.nullif(l2, F.lit(0.0)))))
         qx, qy = a["x"] + t * vx, a["y"] + t * vy
         return F.struct(F.hypot(px - qx, py - qy).alias("d"), qx.alias("x"), qy.alias("y"))
-    q = F.array_min(F.transform(G.edges(ring), foot))
-    ctr = G.centroid(ring)
-    span = F.hypot(q["x"] - ctr["x"], q["y"] - ctr["y"])
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(span / 0.25).cast("int") - 1))
-    cand = F.filter(F.transform(steps, lambda s: G.pt(q["x"] + (ctr["x"] - q["x"]) * s * 0.25 / span, q["y"] + (ctr["y"] - q["y"]) * s * 0.25 / span)),
-                    lambda p: G.contains(ring, p["x"], p["y"]))
-    return F.when(G.contains(ring, px, py), G.pt(px, py)).otherwise(F.coalesce(F.get(cand, F.lit(0)), G.pt(ctr["x"], ctr["y"])))
+    df = evaluated_once(df.withColumn("_in", G.contains("ring", "x", "y")).withColumn("_q", F.array_min(F.transform(G.edges("ring"), foot))))
+    df = evaluated_once(df.withColumn("_s", F.hypot(F.col("_q.x") - F.col("ctr.x"), F.col("_q.y") - F.col("ctr.y"))))
+    out_x = df.filter("NOT _in").withColumn("_k", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("_s") / 0.25).cast("int") - 1))))
+    out_x = out_x.withColumn("cx", F.col("_q.x") + (F.col("ctr.x") - F.col("_q.x")) * F.col("_k") * 0.25 / F.col("_s")).withColumn(
+        "cy", F.col("_q.y") + (F.col("ctr.y") - F.col("_q.y")) * F.col("_k") * 0.25 / F.col("_s"))
+    keys = [k for k in df.columns if k not in ("ring", "ctr", "x", "y", "_in", "_q", "_s")]
+    first = out_x.withColumn("_ok", G.contains("ring", "cx", "cy")).groupBy(*keys).agg(
+        F.min(F.when(F.col("_ok"), F.struct("_k", "cx", "cy"))).alias("m"), F.first("ctr").alias("ctr"))
+    moved = first.select(*keys, F.coalesce("m.cx", "ctr.x").alias("x"), F.coalesce("m.cy", "ctr.y").alias("y"))
+    return df.filter("_in").select(*keys, "x", "y").unionByName(moved)
 
 
 def safest_spot(greens: DataFrame, hazards: DataFrame, step: float = 2.0, reach: float = 200.0) -> DataFrame:
@@ -246,7 +253,7 @@ def safest_spot(greens: DataFrame, hazards: DataFrame, step: float = 2.0, reach:
     """
     b = G.bbox("ring")
     n = lambda lo, hi: F.sequence(F.lit(0), F.floor((hi - lo) / step).cast("int"))
-    g = greens.select("course_id", F.col("f_hole").alias("hole"), F.col("feature_id").alias("green_id"), "ring", G.centroid("ring").alias("_c"), b["x0"].alias("_x0"), b["y0"].alias("_y0"), n(b["x0"], b["x1"]).alias("_i"), n(b["y0"], b["y1"]).alias("_j"))
+    g = evaluated_once(greens.select("course_id", F.col("f_hole").alias("hole"), F.col("feature_id").alias("green_id"), "ring", G.centroid("ring").alias("_c"), b["x0"].alias("_x0"), b["y0"].alias("_y0"), n(b["x0"], b["x1"]).alias("_i"), n(b["y0"], b["y1"]).alias("_j")))
     g = g.select("*", F.explode("_i").alias("i")).select("*", F.explode("_j").alias("j")).withColumn("x", F.col("_x0") + F.col("i") * step).withColumn("y", F.col("_y0") + F.col("j") * step)
     g = g.filter(G.contains("ring", "x", "y")).select("course_id", "hole", "green_id", "x", "y", F.hypot(F.col("x") - F.col("_c.x"), F.col("y") - F.col("_c.y")).alias("dc"))
     h = hazards.select("course_id", F.col("f_hole").alias("hole"), F.col("ring").alias("hring"))

@@ -10,6 +10,7 @@ from loftline.functions.numbers import half_up
 from loftline.operators import shots as S
 from loftline.operators import spatial as P
 from loftline.operators import terrain as T
+from loftline.operators.skew import evaluated_once
 from loftline.plans.data import add_view
 from loftline.plans.registry import HU, query
 from loftline.settings import DEFAULTS
@@ -28,9 +29,9 @@ add_view("lines_v", """SELECT DISTINCT CAST(p_partkey%20 AS BIGINT) AS course_id
 _ring = lambda m: "(VALUES " + ",".join(f"({i},{a}::DOUBLE,{b}::DOUBLE)" for i, (a, b) in enumerate(m)) + ")"
 EDGES = f"""ver AS (SELECT feature_id, 0 AS ring, k, 8 AS n, cx+mx*rx AS x, cy+my*ry AS y FROM feat_v, {_ring(OCT)} v(k,mx,my) WHERE kind<>'boundary' UNION ALL SELECT feature_id, 0, k, 4, cx+mx*rx, cy+my*ry FROM feat_v, {_ring(BOX)} v(k,mx,my) WHERE kind='boundary'
   UNION ALL SELECT feature_id, 1, k, 8, cx+mx*0.5::DOUBLE*rx, cy+my*0.5::DOUBLE*ry FROM feat_v, {_ring(OCT)} v(k,mx,my) WHERE holed=1),
- ed AS (SELECT a.feature_id, a.ring, a.k, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM ver a JOIN ver b ON a.feature_id=b.feature_id AND a.ring=b.ring AND b.k=(a.k+1)%a.n), bal AS (SELECT shot_id, course_id, hole, ex AS x, ey AS y FROM shots_v)"""
-CROSS = "CASE WHEN (ay>y)<>(by>y) AND x < (bx-ax)*(y-ay)/(by-ay)+ax THEN 1 ELSE 0 END"
-SEGD = lambda px, py: (f"sqrt(pow({px}-(ax+tt*(bx-ax)),2)+pow({py}-(ay+tt*(by-ay)),2))")
+ ed AS (SELECT a.feature_id, a.ring, a.k, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS bw FROM ver a JOIN ver b ON a.feature_id=b.feature_id AND a.ring=b.ring AND b.k=(a.k+1)%a.n), bal AS (SELECT shot_id, course_id, hole, ex AS x, ey AS y FROM shots_v)"""
+CROSS = "CASE WHEN (ay>y)<>(bw>y) AND x < (bx-ax)*(y-ay)/(bw-ay)+ax THEN 1 ELSE 0 END"
+SEGD = lambda px, py: (f"sqrt(pow({px}-(ax+tt*(bx-ax)),2)+pow({py}-(ay+tt*(bw-ay)),2))")
 
 
 def hits(name, pts, cols, where="true"):
@@ -46,8 +47,8 @@ def features(d):
     f = d.view("feat_v")
     ring = lambda m, k=1.0: F.array(*[G.pt(F.col("cx") + a * k * F.col("rx"), F.col("cy") + b * k * F.col("ry")) for a, b in m])
     none = F.array().cast("array<array<struct<x:double,y:double>>>")
-    return f.select("course_id", "feature_id", "kind", "f_hole", F.when(F.col("kind") == "boundary", ring(BOX)).otherwise(ring(OCT)).alias("ring"),
-                    F.when(F.col("holed") == 1, F.array(ring(OCT, 0.5))).otherwise(none).alias("inner"))
+    return evaluated_once(f.select("course_id", "feature_id", "kind", "f_hole", F.when(F.col("kind") == "boundary", ring(BOX)).otherwise(ring(OCT)).alias("ring"),
+                    F.when(F.col("holed") == 1, F.array(ring(OCT, 0.5))).otherwise(none).alias("inner")))
 
 
 def balls(d):
@@ -94,7 +95,7 @@ def lie_confidence(d):
 
 
 DIST = lambda name, pts, key, reach: f"""{name}_c AS (SELECT p.*, f.feature_id, f.kind FROM {pts} p JOIN feat_v f ON f.course_id=p.course_id AND x>=cx-rx-{reach} AND x<=cx+rx+{reach} AND y>=cy-ry-{reach} AND y<=cy+ry+{reach}),
- {name}_t AS (SELECT c.*, ring, ax, ay, bx, by, greatest(0, least(1, ((x-ax)*(bx-ax)+(y-ay)*(by-ay))/((bx-ax)*(bx-ax)+(by-ay)*(by-ay)))) AS tt FROM {name}_c c JOIN ed USING (feature_id)),
+ {name}_t AS (SELECT c.*, ring, ax, ay, bx, bw, greatest(0, least(1, ((x-ax)*(bx-ax)+(y-ay)*(bw-ay))/((bx-ax)*(bx-ax)+(bw-ay)*(bw-ay)))) AS tt FROM {name}_c c JOIN ed USING (feature_id)),
  {name} AS (SELECT {key}, feature_id, kind, CASE WHEN sum(CASE WHEN ring=0 THEN {CROSS} ELSE 0 END)%2=1 AND sum(CASE WHEN ring=1 THEN {CROSS} ELSE 0 END)%2=0 THEN 0 ELSE min(CASE WHEN ring=0 THEN {SEGD('x', 'y')} END) END AS dd FROM {name}_t GROUP BY ALL)"""
 
 
@@ -111,7 +112,7 @@ def tee_snap(d):
     return st.join(n, "shot_id", "left").select("shot_id", F.coalesce("t", F.lit(False)).alias("on_tee"))
 
 
-@query("ring_area", f"WITH {EDGES} SELECT feature_id, {HU('abs(sum(ax*by-bx*ay))/2+1e-9', 4)} AS area, {HU('any_value(cx)+1e-9', 4)} AS x, {HU('any_value(cy)+1e-9', 4)} AS y FROM ed JOIN feat_v USING (feature_id) WHERE ring=0 GROUP BY feature_id", NEEDS)
+@query("ring_area", f"WITH {EDGES} SELECT feature_id, {HU('abs(sum(ax*bw-bx*ay))/2+1e-9', 4)} AS area, {HU('any_value(cx)+1e-9', 4)} AS x, {HU('any_value(cy)+1e-9', 4)} AS y FROM ed JOIN feat_v USING (feature_id) WHERE ring=0 GROUP BY feature_id", NEEDS)
 def ring_area(d):
     c = G.centroid("ring")
     return features(d).select("feature_id", half_up(G.area("ring") + 1e-9, 4).alias("area"), half_up(c["x"] + 1e-9, 4).alias("x"), half_up(c["y"] + 1e-9, 4).alias("y"))
@@ -158,7 +159,8 @@ def hole_by_tee(d):
 
 # ---- greens and fairways seen from shots ----------------------------------------------------------------
 def at_green(d):
-    g = features(d).filter("kind = 'green'").select("course_id", F.col("f_hole").alias("hole"), "feature_id", "ring")
+    g = features(d).filter("kind = 'green'").select("course_id", F.col("f_hole").alias("hole"), "feature_id", "ring", G.centroid("ring").alias("ctr"))
+    g = evaluated_once(g)
     return d.shots.select("shot_id", "course_id", "hole", F.col("sx").alias("x"), F.col("sy").alias("y"), "ex", "ey").join(g, ["course_id", "hole"])
 
 
@@ -170,23 +172,22 @@ def green_distances(d):
 
 @query("green_position", f"""WITH {EDGES}, z AS (SELECT s.shot_id, f.feature_id, ex, ey, sx, sy, cx, cy, sqrt((cx-sx)*(cx-sx)+(cy-sy)*(cy-sy)) AS L FROM shots_v s JOIN feat_v f ON f.course_id=s.course_id AND f.f_hole=s.hole AND f.kind='green'),
  w AS (SELECT shot_id, feature_id, max((x-cx)*(cx-sx)/L+(y-cy)*(cy-sy)/L)-min((x-cx)*(cx-sx)/L+(y-cy)*(cy-sy)/L) AS dep, max((x-cx)*(cy-sy)/L-(y-cy)*(cx-sx)/L)-min((x-cx)*(cy-sy)/L-(y-cy)*(cx-sx)/L) AS wid FROM z JOIN ver USING (feature_id) GROUP BY ALL),
- q AS (SELECT z.*, (ex-cx)*(cx-sx)/L+(ey-cy)*(cy-sy)/L AS a, (ex-cx)*(cy-sy)/L-(ey-cy)*(cx-sx)/L AS l, greatest(1.5,dep/6) AS ta, greatest(1.5,wid/6) AS tl FROM z JOIN w USING (shot_id, feature_id))
-SELECT shot_id, feature_id, CASE WHEN a< -ta THEN 'front' WHEN a>ta THEN 'back' ELSE 'middle' END AS v, CASE WHEN l< -tl THEN 'left' WHEN l>tl THEN 'right' ELSE '' END AS h FROM q WHERE L>0""", NEEDS)
+ q AS (SELECT z.*, (ex-cx)*(cx-sx)/L+(ey-cy)*(cy-sy)/L AS a, (ex-cx)*(cy-sy)/L-(ey-cy)*(cx-sx)/L AS lt, greatest(1.5,dep/6) AS ta, greatest(1.5,wid/6) AS tl FROM z JOIN w USING (shot_id, feature_id))
+SELECT shot_id, feature_id, CASE WHEN a< -ta THEN 'front' WHEN a>ta THEN 'back' ELSE 'middle' END AS v, CASE WHEN lt< -tl THEN 'left' WHEN lt>tl THEN 'right' ELSE '' END AS h FROM q WHERE L>0""", NEEDS)
 def green_position(d):
-    p = P.green_position("ex", "ey", "x", "y", "ring")
-    return at_green(d).select("shot_id", "feature_id", p.alias("p")).select("shot_id", "feature_id", "p.v", "p.h")
+    return P.green_position(at_green(d), "ex", "ey", "x", "y").select("shot_id", "feature_id", "v", "h")
 
 
 @query("pin_clamp")
 def pin_clamp(d):
     """P-27: taps within 3 yards of the green pulled inside it."""
     t = at_green(d).filter(G.distance("ring", "ex", "ey") <= 3.0)
-    p = P.clamp_inside("ex", "ey", "ring")
-    return t.select("shot_id", "feature_id", p.alias("p")).select("shot_id", "feature_id", half_up("p.x", 4).alias("x"), half_up("p.y", 4).alias("y"))
+    c = P.clamp_inside(t.select("shot_id", "feature_id", "ring", "ctr", F.col("ex").alias("x"), F.col("ey").alias("y")))
+    return c.select("shot_id", "feature_id", half_up("x", 4).alias("x"), half_up("y", 4).alias("y"))
 
 
 @query("fairway_span", f"""WITH {EDGES}, z AS (SELECT shot_id, f.feature_id, ex AS x, ey AS y FROM shots_v s JOIN feat_v f ON f.course_id=s.course_id AND f.f_hole=s.hole AND f.kind='fairway' AND ey>=cy-ry AND ey<=cy+ry),
- q AS (SELECT shot_id, feature_id, x, ax+(y-ay)*(bx-ax)/(by-ay) AS cxx FROM z JOIN ed USING (feature_id) WHERE ring=0 AND (ay>y)<>(by>y)), g AS (SELECT shot_id, feature_id, any_value(x) AS x, min(cxx) AS l, max(cxx) AS r FROM q GROUP BY ALL)
+ q AS (SELECT shot_id, feature_id, x, ax+(y-ay)*(bx-ax)/(bw-ay) AS cxx FROM z JOIN ed USING (feature_id) WHERE ring=0 AND (ay>y)<>(bw>y)), g AS (SELECT shot_id, feature_id, any_value(x) AS x, min(cxx) AS l, max(cxx) AS r FROM q GROUP BY ALL)
 SELECT shot_id, feature_id, {HU('l', 6)} AS left_x, {HU('r', 6)} AS right_x, {HU('CASE WHEN CASE WHEN l<=x AND r>=x THEN 0 ELSE least(abs(l-x),abs(r-x)) END<=40 THEN x+greatest(-40,least(40,(l-x+r-x)/2)) ELSE x END', 6)} AS center_x FROM g""", NEEDS)
 def fairway_span(d):
     f = features(d).filter("kind = 'fairway'").select("course_id", F.col("f_hole").alias("hole"), "feature_id", "ring")
@@ -209,8 +210,8 @@ def water_entry(d):
 
 
 @query("ellipse_trouble", f"""WITH {EDGES}, e AS (SELECT course_id, CAST(hole AS INT) AS hole, avg(ex) AS cx0, avg(ey) AS cy0 FROM shots_v GROUP BY ALL),
- pts AS (SELECT course_id, hole, k, cx0+cos(2*pi()*k/48)*25*cos(radians(30))-sin(2*pi()*k/48)*15*sin(radians(30)) AS x, cy0+cos(2*pi()*k/48)*25*sin(radians(30))+sin(2*pi()*k/48)*15*cos(radians(30)) AS y FROM e CROSS JOIN (SELECT unnest(range(0,48)) AS k)),
- {hits('h', 'pts', 'p.course_id, hole, k, x, y', "kind IN ('sand','water','trees')")} SELECT pts.course_id, pts.hole, {HU('count(DISTINCT h.k)/48.0::DOUBLE', 6)} AS trouble_share FROM pts LEFT JOIN h ON h.course_id=pts.course_id AND h.hole=pts.hole AND h.k=pts.k GROUP BY ALL""", NEEDS)
+ pts AS (SELECT course_id, hole, k AS kk, cx0+cos(2*pi()*k/48)*25*cos(radians(30))-sin(2*pi()*k/48)*15*sin(radians(30)) AS x, cy0+cos(2*pi()*k/48)*25*sin(radians(30))+sin(2*pi()*k/48)*15*cos(radians(30)) AS y FROM e CROSS JOIN (SELECT unnest(range(0,48)) AS k)),
+ {hits('h', 'pts', 'p.course_id, hole, kk, x, y', "kind IN ('sand','water','trees')")} SELECT pts.course_id, pts.hole, {HU('count(DISTINCT h.kk)/48.0::DOUBLE', 6)} AS trouble_share FROM pts LEFT JOIN h ON h.course_id=pts.course_id AND h.hole=pts.hole AND h.kk=pts.kk GROUP BY ALL""", NEEDS)
 def ellipse_trouble(d):
     e = d.shots.groupBy("course_id", "hole").agg(F.avg("ex").alias("cx"), F.avg("ey").alias("cy")).withColumn("w", F.lit(50.0)).withColumn("h", F.lit(30.0)).withColumn("tilt", F.lit(30.0))
     r = P.rim(e, 48)
