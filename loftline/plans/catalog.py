@@ -6,7 +6,7 @@ import importlib
 
 from loftline.plans import registry
 
-MODULES = ("shots", "rounds", "learning", "review", "strokes", "merges", "spatial")
+MODULES = ("shots", "rounds", "learning", "review", "strokes", "merges", "spatial", "ingest")
 
 
 def _load() -> None:
