@@ -30,7 +30,7 @@ def finite(x) -> Column:
 
 
 def clamp(x, lo, hi) -> Column:
-    return F.greatest(c(lo), F.least(c(hi), c(x)))
+    return F.when(c(x).isNotNull(), F.greatest(c(lo), F.least(c(hi), c(x))))   # greatest/least skip nulls
 
 
 def wrap180(deg) -> Column:

@@ -67,7 +67,7 @@ def ring(df: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     k = 2 * ELL80_K
     cap = F.lit(cfg.ring_draw_cap_yds)
     mult = F.col("lie_sd_mult")
-    return df.withColumn("ring_w", F.coalesce(F.col("ell_w") * mult, F.least(k * F.col("dist_sd"), cap))).withColumn(
-        "ring_h", F.coalesce(F.col("ell_h") * mult, F.least(k * F.col("lateral_sd"), cap))).withColumn(
+    return df.withColumn("ring_w", F.coalesce(F.col("ell_w") * mult, F.when(F.col("dist_sd").isNotNull(), F.least(k * F.col("dist_sd"), cap)))).withColumn(
+        "ring_h", F.coalesce(F.col("ell_h") * mult, F.when(F.col("lateral_sd").isNotNull(), F.least(k * F.col("lateral_sd"), cap)))).withColumn(
         "ring_tilt", F.coalesce(F.col("ell_tilt"), F.lit(90.0))).withColumn(
         "ring_source", F.when(F.col("ell_w").isNotNull(), "measured").otherwise("profile"))

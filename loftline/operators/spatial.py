@@ -192,17 +192,20 @@ def corridor(df: DataFrame) -> DataFrame:
     return df.withColumn("left_x", F.array_min(xs)).withColumn("right_x", F.array_max(xs))
 
 
-def fairway_center(df: DataFrame, cap: float = 40.0) -> Column:
-    """Middle of the crossing span nearest the point (spans from sorted crossings, paired in order), within the cap."""
+def fairway_center(df: DataFrame, cap: float = 40.0) -> DataFrame:
+    """``center_x``: middle of the crossing span nearest the point (spans pair the sorted crossings in order), moved by at most the cap."""
     def x_at(e):
         a, b = e["a"], e["b"]
         return F.when((a["y"] > F.col("y")) != (b["y"] > F.col("y")), a["x"] + (F.col("y") - a["y"]) * (b["x"] - a["x"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) - F.col("x"))
-    xs = F.array_sort(F.filter(F.transform(G.edges("ring"), x_at), lambda v: v.isNotNull()))
-    idx = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size(xs) / 2).cast("int") - 1))
-    gap = lambda a, b: F.when((a <= 0) & (b >= 0), F.lit(0.0)).otherwise(F.least(F.abs(a), F.abs(b)))
-    spans = F.transform(idx, lambda i: F.struct(gap(F.get(xs, i * 2), F.get(xs, i * 2 + 1)).alias("g"), ((F.get(xs, i * 2) + F.get(xs, i * 2 + 1)) / 2).alias("m")))
-    best = F.array_min(F.filter(spans, lambda s: s["g"] <= cap))
-    return F.col("x") + F.coalesce(F.greatest(F.lit(-cap), F.least(F.lit(cap), best["m"])), F.lit(0.0))
+    df = evaluated_once(df.withColumn("_xs", F.array_sort(F.filter(F.transform(G.edges("ring"), x_at), lambda v: v.isNotNull()))))
+    # every second crossing opens a span that the next one closes
+    opens = F.filter("_xs", lambda v, i: i % 2 == 0)
+    closes = F.filter("_xs", lambda v, i: i % 2 == 1)
+    spans = F.zip_with(opens, closes, lambda a, b: F.struct(
+        F.when((a <= 0) & (b >= 0), F.lit(0.0)).otherwise(F.least(F.abs(a), F.abs(b))).alias("g"), ((a + b) / 2).alias("m")))
+    df = evaluated_once(df.withColumn("_best", F.array_min(F.filter(spans, lambda v: v["g"] <= cap))))
+    move = F.greatest(F.lit(-cap), F.least(F.lit(cap), F.col("_best.m")))
+    return df.withColumn("center_x", F.col("x") + F.when(F.col("_best").isNotNull(), move).otherwise(0.0)).drop("_xs", "_best")
 
 
 def green_position(df: DataFrame, x: str, y: str, fx: str, fy: str) -> DataFrame:
@@ -211,7 +214,7 @@ def green_position(df: DataFrame, x: str, y: str, fx: str, fy: str) -> DataFrame
     ``ring`` and its centroid ``ctr`` are columns of ``df``.
     """
     ln = F.hypot(F.col("ctr.x") - c(fx), F.col("ctr.y") - c(fy))
-    df = df.withColumn("_l", F.when(ln == 0, 1.0).otherwise(ln)).withColumn("_gx", F.col("ctr.x")).withColumn("_gy", F.col("ctr.y"))
+    df = df.withColumn("_l", F.when(ln < 1e-9, 1.0).otherwise(ln)).withColumn("_gx", F.col("ctr.x")).withColumn("_gy", F.col("ctr.y"))
     df = evaluated_once(df.withColumn("_dx", (F.col("_gx") - c(fx)) / F.col("_l")).withColumn("_dy", (F.col("_gy") - c(fy)) / F.col("_l")))
     al = lambda px, py: (px - F.col("_gx")) * F.col("_dx") + (py - F.col("_gy")) * F.col("_dy")
     la = lambda px, py: (px - F.col("_gx")) * F.col("_dy") - (py - F.col("_gy")) * F.col("_dx")

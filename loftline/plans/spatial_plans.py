@@ -170,10 +170,10 @@ def green_distances(d):
     return g.select("shot_id", "feature_id", *[half_up(F.col(f) + 1e-7, 1).alias(f) for f in ("front", "center", "back")])
 
 
-@query("green_position", f"""WITH {EDGES}, z AS (SELECT s.shot_id, f.feature_id, ex, ey, sx, sy, cx, cy, sqrt((cx-sx)*(cx-sx)+(cy-sy)*(cy-sy)) AS L FROM shots_v s JOIN feat_v f ON f.course_id=s.course_id AND f.f_hole=s.hole AND f.kind='green'),
+@query("green_position", f"""WITH {EDGES}, z AS (SELECT s.shot_id, f.feature_id, ex, ey, sx, sy, cx, cy, CASE WHEN cx=sx AND cy=sy THEN 1 ELSE sqrt((cx-sx)*(cx-sx)+(cy-sy)*(cy-sy)) END AS L FROM shots_v s JOIN feat_v f ON f.course_id=s.course_id AND f.f_hole=s.hole AND f.kind='green'),
  w AS (SELECT shot_id, feature_id, max((x-cx)*(cx-sx)/L+(y-cy)*(cy-sy)/L)-min((x-cx)*(cx-sx)/L+(y-cy)*(cy-sy)/L) AS dep, max((x-cx)*(cy-sy)/L-(y-cy)*(cx-sx)/L)-min((x-cx)*(cy-sy)/L-(y-cy)*(cx-sx)/L) AS wid FROM z JOIN ver USING (feature_id) GROUP BY ALL),
  q AS (SELECT z.*, (ex-cx)*(cx-sx)/L+(ey-cy)*(cy-sy)/L AS a, (ex-cx)*(cy-sy)/L-(ey-cy)*(cx-sx)/L AS lt, greatest(1.5,dep/6) AS ta, greatest(1.5,wid/6) AS tl FROM z JOIN w USING (shot_id, feature_id))
-SELECT shot_id, feature_id, CASE WHEN a< -ta THEN 'front' WHEN a>ta THEN 'back' ELSE 'middle' END AS v, CASE WHEN lt< -tl THEN 'left' WHEN lt>tl THEN 'right' ELSE '' END AS h FROM q WHERE L>0""", NEEDS)
+SELECT shot_id, feature_id, CASE WHEN a< -ta THEN 'front' WHEN a>ta THEN 'back' ELSE 'middle' END AS v, CASE WHEN lt< -tl THEN 'left' WHEN lt>tl THEN 'right' ELSE '' END AS h FROM q""", NEEDS)
 def green_position(d):
     return P.green_position(at_green(d), "ex", "ey", "x", "y").select("shot_id", "feature_id", "v", "h")
 
@@ -192,8 +192,8 @@ SELECT shot_id, feature_id, {HU('l', 6)} AS left_x, {HU('r', 6)} AS right_x, {HU
 def fairway_span(d):
     f = features(d).filter("kind = 'fairway'").select("course_id", F.col("f_hole").alias("hole"), "feature_id", "ring")
     j = balls(d).join(f, ["course_id", "hole"])
-    j = P.corridor(j).filter("left_x IS NOT NULL")
-    return j.select("shot_id", "feature_id", half_up("left_x", 6).alias("left_x"), half_up("right_x", 6).alias("right_x"), half_up(P.fairway_center(j), 6).alias("center_x"))
+    j = P.fairway_center(evaluated_once(P.corridor(j)).filter("left_x IS NOT NULL"))
+    return j.select("shot_id", "feature_id", *[half_up(f, 6).alias(f) for f in ("left_x", "right_x", "center_x")])
 
 
 @query("safest_spot")
