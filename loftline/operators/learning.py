@@ -124,14 +124,14 @@ def tendencies(shots: DataFrame, keys: Sequence[str], types=("full", "finesse",
     Putts count under "Putter" with signs from the graded axes; loop yards win over sign words.
     """
     putt = F.col("shot_type") == "putt"
-    own = S.pattern_lat(cfg)
+    df = (shots.filter(S.teaches() & (F.col("logged") != "skipped") & ~F.coalesce(F.col("end_assumed"), F.lit(False)) & F.col("shot_type").isin(*types))
+          .withColumn("club", F.when(putt, "Putter").otherwise(F.col("club"))).filter(F.col("club").isNotNull()))
+    df = evaluated_once(df.select(*keys, "shot_type", "putt_line", "putt_speed", "lat_sign", "dist_sign", "dist_miss_yds", "miss_total_yds", S.pattern_lat(cfg).alias("_own")))
+    own = F.col("_own")
     lat = F.when(putt, F.col("putt_line")).when(own.isNotNull(), F.signum(own)).otherwise(F.col("lat_sign"))
     dist = F.when(putt, F.col("putt_speed")).when(F.col("dist_miss_yds").isNotNull(), F.signum("dist_miss_yds")).otherwise(F.col("dist_sign"))
     big = F.when(putt, None).when(own.isNotNull(), F.abs(own) > cfg.big_yds).when(F.col("miss_total_yds") <= cfg.big_yds, False)
-    df = (shots.filter(S.teaches() & (F.col("logged") != "skipped") & ~F.coalesce(F.col("end_assumed"), F.lit(False)) & F.col("shot_type").isin(*types))
-          .withColumn("club", F.when(putt, "Putter").otherwise(F.col("club"))).filter(F.col("club").isNotNull())
-          .select(*keys, F.signum(lat).alias("_lat"), F.signum(dist).alias("_dist"), big.alias("_big"))
-          .filter("_lat IS NOT NULL OR _dist IS NOT NULL OR _big IS NOT NULL"))
+    df = df.select(*keys, F.signum(lat).alias("_lat"), F.signum(dist).alias("_dist"), big.alias("_big")).filter("_lat IS NOT NULL OR _dist IS NOT NULL OR _big IS NOT NULL")
     k = lambda cond: F.count(F.when(cond, 1))
     g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("_lat").alias("n_lat"), F.count("_dist").alias("n_dist"), F.count("_big").alias("n_big"),
                               k(F.col("_lat") < 0).alias("_l"), k(F.col("_lat") > 0).alias("_r"), k(F.col("_dist") < 0).alias("_s"),
@@ -147,6 +147,7 @@ def miss_summary(shots: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     tend = tendencies(rows, keys, ("full", "finesse"), cfg).withColumnRenamed("n", "_tn")
     yds = rows.filter(S.teaches() & (F.col("logged") != "skipped") & F.col("club").isNotNull() & S.has_misses()).select(
         *keys, "dist_miss_yds", "lat_miss_yds", S.pattern_lat(cfg).alias("line"), F.hypot("dist_miss_yds", "lat_miss_yds").alias("off"))
+    yds = evaluated_once(yds)
     means = yds.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_yds"), r1(F.avg("dist_miss_yds")).alias("long_yds"),
                                    r1(F.avg("lat_miss_yds")).alias("right_yds"), r1(F.avg("line")).alias("line_yds"))
     med = W.weighted_median(yds, keys, "off", None, "off_yds", width=2.0)
