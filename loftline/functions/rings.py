@@ -23,13 +23,14 @@ def contains(ring, x, y) -> Column:
     """Even-odd ray cast with half-open edges, so a shared edge belongs to one side only."""
     px, py = c(x), c(y)
 
-    def hit(e):
-        a, b = e["a"], e["b"]
-        crosses = (a["y"] > py) != (b["y"] > py)
-        return crosses & (px < (b["x"] - a["x"]) * (py - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"])
-
-    n = F.size(F.filter(edges(ring), hit))
-    return (F.size(c(ring)) >= 3) & (n % 2 == 1)
+    # one pass over the vertices, carrying the previous one: no edge array is built per point
+    def step(s, q):
+        p = s["p"]
+        crosses = ((p["y"] > py) != (q["y"] > py)) & (px < (q["x"] - p["x"]) * (py - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) + p["x"])
+        return F.struct(q.alias("p"), (s["odd"] != F.coalesce(crosses, F.lit(False))).alias("odd"))
+
+    start = F.struct(F.element_at(c(ring), -1).alias("p"), F.lit(False).alias("odd"))
+    return F.when(F.size(c(ring)) >= 3, F.aggregate(c(ring), start, step, lambda s: s["odd"])).otherwise(F.lit(False))
 
 
 def seg_distance(px, py, ax, ay, bx, by) -> Column:

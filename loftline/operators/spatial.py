@@ -33,14 +33,14 @@ def gridded(features: DataFrame, margin: float = 0.0, cell: float = CELL) -> Dat
         "*", F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy")).drop("_c")
 
 
-def near(points: DataFrame, features: DataFrame, margin: float = 0.0, cell: float = CELL) -> DataFrame:
+def near(points: DataFrame, features: DataFrame, margin: float = 0.0, cell: float = CELL, keep_box: bool = False) -> DataFrame:
     """Candidate (point, feature) pairs: same course and cell, box within ``margin``."""
     f = gridded(features, margin, cell)
     p = points.withColumn("_cx", G.cell("x", cell)).withColumn("_cy", G.cell("y", cell))
     j = p.join(f, ["course_id", "_cx", "_cy"])
     m = float(margin)
-    return j.filter((F.col("x") >= F.col("_x0") - m) & (F.col("x") <= F.col("_x1") + m) & (F.col("y") >= F.col("_y0") - m) & (F.col("y") <= F.col("_y1") + m)).drop(
-        "_cx", "_cy", "_x0", "_y0", "_x1", "_y1")
+    j = j.filter((F.col("x") >= F.col("_x0") - m) & (F.col("x") <= F.col("_x1") + m) & (F.col("y") >= F.col("_y0") - m) & (F.col("y") <= F.col("_y1") + m))
+    return j.drop("_cx", "_cy") if keep_box else j.drop("_cx", "_cy", "_x0", "_y0", "_x1", "_y1")
 
 
 def inside(x="x", y="y") -> Column:
@@ -84,12 +84,14 @@ def lie_confidence(points: DataFrame, features: DataFrame, key: str, acc: Column
     r = F.greatest(acc, F.lit(5.0)) * yd
     pts = points.withColumn("_r", r).withColumn("_acc", acc)
     big = 16 * yd
-    cand = near(pts, features, big)
+    cand = near(pts, features, big, keep_box=True)
     probes = [(0, F.lit(0.0), F.lit(0.0))] + [(1 + i + 16 * h, F.col("_r") * f * math.cos(i * math.pi / 8), F.col("_r") * f * math.sin(i * math.pi / 8))
                                             for h, f in enumerate((1.0, 0.5)) for i in range(16)]
     arr = F.array(*[F.struct(F.lit(n).alias("n"), (F.col("x") + dx).alias("px"), (F.col("y") + dy).alias("py")) for n, dx, dy in probes])
     k = F.when((F.col("kind") == "green") & (F.col("f_hole") != F.col("hole")), "fairway").otherwise(F.col("kind"))
-    hit = cand.withColumn("_b", F.explode(arr)).filter(inside("_b.px", "_b.py"))
+    hit = cand.select(key, "kind", "f_hole", "hole", "ring", "inner", "_x0", "_y0", "_x1", "_y1", F.explode(arr).alias("_b"))
+    box = (F.col("_b.px") >= F.col("_x0")) & (F.col("_b.px") <= F.col("_x1")) & (F.col("_b.py") >= F.col("_y0")) & (F.col("_b.py") <= F.col("_y1"))
+    hit = hit.filter(box & inside("_b.px", "_b.py"))
     per = hit.groupBy(key, F.col("_b.n").alias("n")).agg(F.min(lookup(k, PRIORITY)).alias("p"), F.max((F.col("kind") == "boundary").cast("int")).alias("b"))
     # per fix: the code at the centre and the extremes over all 33 probes; a probe without hits counts as bare ground
     code = F.coalesce("p", F.lit(PRIORITY["rough"])) * 2 + F.col("b")
