@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loftline.llm import imatch, licences, linechunks, mixing, nearest, packing, pii, quality, simhash
+from loftline.llm import imatch, licences, linechunks, mixing, nearest, packing, pages, pii, quality, simhash
 from loftline.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +30,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linechunks.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -55,7 +59,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_personal_data, op2_quality, op3_simhash, op5_line_chunks, op6_packing, op7_nearest, op8_imatch, op9_mixing, op10_licences)}
+    f.__name__: f for f in (op1_personal_data, op2_quality, op3_simhash, op4_main_text, op5_line_chunks, op6_packing, op7_nearest, op8_imatch, op9_mixing, op10_licences)}
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
