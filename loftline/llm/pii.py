@@ -38,7 +38,8 @@ _NEAR = {
     "tel": {"phone", "tel", "call", "mobile", "fax", "telefon", "teléfono", "téléphone"},
 }
 _AGAINST = {"version", "isbn", "issn", "order", "invoice", "serial", "section", "page", "build", "part"}
-NEAR_CHARS, FLOOR = 40, 0.5
+#: Code points looked at before and after a span; words against it count only close before it.
+BEFORE, AFTER, CLOSE, FLOOR = 40, 20, 15, 0.5
 
 
 def luhn(digits: str) -> bool:
@@ -87,8 +88,10 @@ def _iban(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def _score(text: str, start: int, end: int, kind: str) -> float:
-    near = {w.lower() for w in _LETTERS.findall(text[max(0, start - NEAR_CHARS):start] + " " + text[end:end + NEAR_CHARS])}
-    return min(1.0, max(0.0, _PRIOR[kind] + 0.3 * bool(near & _NEAR[kind]) - 0.3 * bool(near & _AGAINST)))
+    words = lambda a, b: {w.lower() for w in _LETTERS.findall(text[max(0, a):b])}
+    near = words(start - BEFORE, start) | words(end, end + AFTER)
+    against = words(start - CLOSE, start) & _AGAINST
+    return min(1.0, max(0.0, _PRIOR[kind] + 0.3 * bool(near & _NEAR[kind]) - 0.3 * bool(against)))
 
 
 _ANY = re.compile(r"[0-9@]")
