@@ -162,6 +162,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     named = member.join(nodes, "fp").groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_fp = (nodes.join(member.join(named, "root").select("fp", "root", "component_id"), "fp", "left")
              .select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first_id").alias("component_id")))
+    of_fp = settled(of_fp)   # both sides of the last join are then dealt for it alone, and Spark can split a hot fingerprint
     return marked.join(of_fp, "fp").select("doc_id", "fp", "root", "component_id", *keep)
 
 
