@@ -14,41 +14,36 @@ from pyspark.sql import functions as F
 from loftline.llm.common import text_of
 
 SEEDS = 4
-#: One in so many pairs of lines is a cut.
-CUT = 3
-MIN_LINES, MIN_WORDS = 2, 25
+#: A pair of lines is a cut if its hash digit for the seed and side is below this, 5 times in 16.
+CUT = "5"
+MIN_LINES, MIN_CHARS = 2, 150
 
 
-def _cut_hash(seed: int, side: str, a: Column, b: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}{side}:"), a, F.lit(":"), b)), 1, 8), 16, 10).cast("long") % CUT == 0
+def _starts(seed: int) -> Column:
+    """First lines of the runs between the cuts of one seed, counted from 0, from the pair hashes ``_p``."""
+    below = lambda at, digit: F.coalesce(F.substring(F.get("_p", at), digit, 1) < CUT, F.lit(False))
+    return F.filter(F.sequence(F.lit(0), F.size("_l") - 1),
+                    lambda i: (i == 0) | below(i, 2 * seed + 1) | below(i - 2, 2 * seed + 2))
 
 
-def _chunks(seed: int) -> Column:
-    """(start, end, md5) of the runs of lines between the cuts, for runs of at least MIN_LINES; lines count from 0."""
-    line = lambda i: F.element_at("_h", i + 1)
-    last = F.size("_h") - 1
-
-    def cut_before(i: Column) -> Column:
-        opens = F.when(i < last, _cut_hash(seed, "b", line(i), line(F.least(i + 1, last))))
-        closes = F.when(i > 1, _cut_hash(seed, "a", line(F.greatest(i - 2, F.lit(0))), line(F.greatest(i - 1, F.lit(0)))))
-        return (i == 0) | F.coalesce(opens, F.lit(False)) | F.coalesce(closes, F.lit(False))
-
-    starts = F.filter(F.sequence(F.lit(0), last), cut_before)
-    runs = F.transform(starts, lambda s, k: F.struct(
-        s.alias("start"), F.coalesce(F.get(starts, k + 1), F.size("_h")).alias("end")))
-    return F.filter(runs, lambda r: r["end"] - r["start"] >= MIN_LINES)
+def _runs(starts: str) -> Column:
+    """(start, end, hash, chunk) of the runs of at least MIN_LINES; the hash is that of the hashes of the lines."""
+    runs = F.transform(starts, lambda s, k: F.struct(s.alias("start"), F.coalesce(F.get(starts, k + 1), F.size("_l")).alias("end")))
+    part = lambda of, r: F.slice(of, r["start"] + 1, r["end"] - r["start"])
+    return F.transform(F.filter(runs, lambda r: r["end"] - r["start"] >= MIN_LINES), lambda r: F.struct(
+        r["start"], r["end"], F.md5(F.array_join(part("_h", r), ":")).alias("hash"), F.array_join(part("_l", r), "\n").alias("chunk")))
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """(_key, doc_id, start, end, chunk, hash): each chunk of MIN_LINES lines and MIN_WORDS words of each cutting."""
+    """(_key, doc_id, start, end, hash, chunk): each chunk of MIN_LINES lines and MIN_CHARS characters of each cutting."""
     lined = docs.select("_key", "doc_id", F.split("_t", "\n", -1).alias("_l")).filter(F.size("_l") >= MIN_LINES)
     hashed = lined.withColumn("_h", F.transform("_l", lambda x: F.substring(F.md5(x), 1, 16)))
-    parts = hashed.select("_key", "doc_id", "_l", *[_chunks(k).alias(f"_c{k}") for k in range(SEEDS)])
-    runs = parts.select("_key", "doc_id", "_l", F.explode(F.array_distinct(F.concat(*[f"_c{k}" for k in range(SEEDS)]))).alias("r"))
-    text = runs.select("_key", "doc_id", "r.start", "r.end",
-                       F.array_join(F.slice("_l", F.col("r.start") + 1, F.col("r.end") - F.col("r.start")), "\n").alias("chunk"))
-    return (text.filter(F.regexp_count("chunk", F.lit("[^ \\n]+")) >= MIN_WORDS)
-            .withColumn("hash", F.md5("chunk")))
+    pairs = hashed.withColumn("_p", F.transform(F.slice("_h", 1, F.size("_h") - 1), lambda h, i: F.md5(F.concat(h, F.lit(":"), F.get("_h", i + 1)))))
+    starts = pairs.select("_key", "doc_id", "_l", "_h", *[_starts(k).alias(f"_s{k}") for k in range(SEEDS)])
+    # texts are cut before the rows are made, so that no row carries the lines of its whole document
+    parts = starts.select("_key", "doc_id", *[_runs(f"_s{k}").alias(f"_c{k}") for k in range(SEEDS)])
+    rows = parts.select("_key", "doc_id", F.inline(F.array_distinct(F.concat(*[f"_c{k}" for k in range(SEEDS)]))))
+    return rows.filter(F.length("chunk") >= MIN_CHARS)
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -86,15 +81,14 @@ ORACLE = f"""
 WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t, md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', coalesce(text, ''))) AS k FROM documents),
 l AS (SELECT k, doc_id, t, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS i FROM d),
 h AS (SELECT *, substr(md5(line), 1, 16) AS h FROM l),
-n AS (SELECT *, lead(h) OVER w AS nx, lag(h) OVER w AS p1, lag(h, 2) OVER w AS p2 FROM h WINDOW w AS (PARTITION BY k ORDER BY i)),
-s AS (SELECT n.*, seed, (i = 0
-        OR coalesce(CAST('0x' || substr(md5(seed || 'b:' || h || ':' || nx), 1, 8) AS BIGINT) % {CUT} = 0, false)
-        OR coalesce(CAST('0x' || substr(md5(seed || 'a:' || p2 || ':' || p1), 1, 8) AS BIGINT) % {CUT} = 0, false)) AS cut
-      FROM n, (SELECT CAST(unnest(range({SEEDS})) AS VARCHAR) AS seed)),
+n AS (SELECT *, md5(h || ':' || lead(h) OVER (PARTITION BY k ORDER BY i)) AS p FROM h),
+q AS (SELECT *, lag(p, 2) OVER (PARTITION BY k ORDER BY i) AS p2 FROM n),
+s AS (SELECT q.*, seed, (i = 0 OR coalesce(substr(p, 2 * seed + 1, 1) < '{CUT}', false) OR coalesce(substr(p2, 2 * seed + 2, 1) < '{CUT}', false)) AS cut
+      FROM q, (SELECT unnest(range({SEEDS})) AS seed)),
 g AS (SELECT *, sum(cut::INT) OVER (PARTITION BY k, seed ORDER BY i) AS c FROM s),
 c AS (SELECT DISTINCT k, doc_id, a, b, chunk FROM (
         SELECT k, any_value(doc_id) AS doc_id, min(i) AS a, max(i) AS b, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS m FROM g GROUP BY k, seed, c)
-      WHERE m >= {MIN_LINES} AND len(regexp_extract_all(chunk, '[^ \\n]+')) >= {MIN_WORDS}),
+      WHERE m >= {MIN_LINES} AND length(chunk) >= {MIN_CHARS}),
 f AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id NULLS LAST, k, a) AS r FROM c),
 x AS (SELECT DISTINCT k, unnest(range(a, b + 1)) AS i FROM f WHERE r > 1),
 o AS (SELECT l.k, count(*) AS n_lines, count(x.i) AS n_removed, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE x.i IS NULL), '') AS text
