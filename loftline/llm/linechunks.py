@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loftline.llm.common import text_of
+from loftline.llm.common import settled, text_of
 
 SEEDS = 4
 #: A pair of lines is a cut if its hash digit for the seed and side is below this, 5 times in 16.
 CUT = "5"
 MIN_LINES, MIN_CHARS = 2, 150
+#: Repeated hashes that are broadcast at most: 50 bytes each.
+BROADCAST = 500_000
 
 
 def _starts(seed: int) -> Column:
@@ -26,24 +28,26 @@ def _starts(seed: int) -> Column:
                     lambda i: (i == 0) | below(i, 2 * seed + 1) | below(i - 2, 2 * seed + 2))
 
 
-def _runs(starts: str) -> Column:
-    """(start, end, hash, chunk) of the runs of at least MIN_LINES; the hash is that of the hashes of the lines."""
+def _runs(starts: str, with_text: bool) -> Column:
+    """(start, end, hash, chars, chunk) of the runs of at least MIN_LINES; the hash is that of the hashes of the lines."""
     runs = F.transform(starts, lambda s, k: F.struct(s.alias("start"), F.coalesce(F.get(starts, k + 1), F.size("_l")).alias("end")))
     part = lambda of, r: F.slice(of, r["start"] + 1, r["end"] - r["start"])
+    text = lambda r: F.array_join(part("_l", r), "\n")
     return F.transform(F.filter(runs, lambda r: r["end"] - r["start"] >= MIN_LINES), lambda r: F.struct(
-        r["start"], r["end"], F.md5(F.array_join(part("_h", r), ":")).alias("hash"), F.array_join(part("_l", r), "\n").alias("chunk")))
+        r["start"], r["end"], F.unhex(F.md5(F.array_join(part("_h", r), ":"))).alias("hash"), F.length(text(r)).alias("chars"),
+        *([text(r).alias("chunk")] if with_text else [])))
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """(_key, doc_id, start, end, hash, chunk): each chunk of MIN_LINES lines and MIN_CHARS characters of each cutting."""
+def chunk_rows(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """(_key, doc_id, start, end, hash): each chunk of MIN_LINES lines and MIN_CHARS characters of each cutting; its text if asked for."""
     lined = docs.select("_key", "doc_id", F.split("_t", "\n", -1).alias("_l")).filter(F.size("_l") >= MIN_LINES)
     hashed = lined.withColumn("_h", F.transform("_l", lambda x: F.substring(F.md5(x), 1, 16)))
     pairs = hashed.withColumn("_p", F.transform(F.slice("_h", 1, F.size("_h") - 1), lambda h, i: F.md5(F.concat(h, F.lit(":"), F.get("_h", i + 1)))))
     starts = pairs.select("_key", "doc_id", "_l", "_h", *[_starts(k).alias(f"_s{k}") for k in range(SEEDS)])
-    # texts are cut before the rows are made, so that no row carries the lines of its whole document
-    parts = starts.select("_key", "doc_id", *[_runs(f"_s{k}").alias(f"_c{k}") for k in range(SEEDS)])
+    # chunks are cut before the rows are made, so that no row carries the lines of its whole document
+    parts = starts.select("_key", "doc_id", *[_runs(f"_s{k}", with_text).alias(f"_c{k}") for k in range(SEEDS)])
     rows = parts.select("_key", "doc_id", F.inline(F.array_distinct(F.concat(*[f"_c{k}" for k in range(SEEDS)]))))
-    return rows.filter(F.length("chunk") >= MIN_CHARS)
+    return rows.filter(F.col("chars") >= MIN_CHARS).drop("chars")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -53,27 +57,31 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     keeps it; null ids are last.  Chunks with one hash but other bytes are left alone.  A document's lines that lie
     in any removed chunk go; the others stay in order.  Null text counts as empty; texts of a single line, and short
     chunks, are never cut.  Rows that repeat both id and text are one place and are treated alike.
-    Hot chunks are combined map-side and joined back; a join on a hot hash is split by Spark.
+
+    Hashes and places come first; texts are read again only for hashes met more than once and compared by their least
+    and greatest bytes.  Counts and texts are combined map-side and joined back, so a passage that many documents share
+    is a skewed join, which Spark splits.  The repeated hashes are counted and broadcast only while they are few.
     """
-    keyed = docs.drop("n_lines", "n_removed").withColumns({
-        "_t": text_of(), "_key": F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text_of()))})
-    chunks = chunk_rows(keyed.select("_key", "doc_id", "_t")).withColumn(
-        "place", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key", "start"))
-    first = (chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"),
-                                        F.min("chunk").alias("lo"), F.max("chunk").alias("hi"))
-             .filter((F.col("n") > 1) & (F.col("lo") == F.col("hi"))).select("hash", "first"))
-    gone = (chunks.select("_key", "place", "start", "end", "hash").join(first, "hash")
-            .filter((F.col("place._key") != F.col("first._key")) | (F.col("start") != F.col("first.start")))
-            .groupBy("_key").agg(F.collect_set(F.struct("start", "end")).alias("_runs")))
+    identity = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text_of()))
+    keyed = docs.drop("n_lines", "n_removed").withColumns({"_t": text_of(), "_key": F.unhex(identity)})
+    cut = keyed.select("_key", "doc_id", "_t")
+    chunks = settled(chunk_rows(cut))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key", "start")
+    twice = settled(chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1")
+                    .select("hash", F.col("first._key").alias("_fk"), F.col("first.start").alias("_fs")))
+    sent = F.broadcast if twice.count() <= BROADCAST else (lambda df: df)
+    texts = chunk_rows(cut, with_text=True).select("hash", "chunk").join(sent(twice.select("hash")), "hash")
+    differ = texts.groupBy("hash").agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi")).filter("lo <> hi").select("hash")
+    gone = (chunks.join(sent(twice), "hash").filter((F.col("_key") != F.col("_fk")) | (F.col("start") != F.col("_fs")))
+            .join(differ, "hash", "left_anti").groupBy("_key").agg(F.collect_set(F.struct("start", "end")).alias("_runs")))
     lines, n = F.split("_t", "\n", -1), F.size(F.split("_t", "\n", -1))
     removed = F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["start"], r["end"] - 1))))
     kept = F.array_except(F.sequence(F.lit(0), n - 1), removed)
-    out = keyed.join(gone, "_key", "left")
-    cut = F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n")
-    return (out.withColumns({"text": F.when(F.col("_runs").isNull(), F.col("_t")).otherwise(cut),
-                             "n_lines": n.cast("long"),
-                             "n_removed": F.when(F.col("_runs").isNull(), F.lit(0)).otherwise(F.size(removed)).cast("long")})
-            .drop("_t", "_key", "_runs"))
+    out = keyed.drop("text").join(gone, "_key", "left").withColumns({"_l": lines, "_kept": kept})
+    text = F.array_join(F.transform("_kept", lambda i: F.element_at("_l", i + 1)), "\n")
+    return (out.withColumns({"text": F.when(F.col("_runs").isNull(), F.col("_t")).otherwise(text), "n_lines": F.size("_l").cast("long"),
+                             "n_removed": F.when(F.col("_runs").isNull(), F.lit(0)).otherwise(F.size("_l") - F.size("_kept")).cast("long")})
+            .select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed"))
 
 
 #: The same rows in DuckDB, by numbering lines and summing cuts.
