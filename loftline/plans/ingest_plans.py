@@ -14,7 +14,7 @@ from loftline.sources import shotlists as L
 from loftline.streaming import trails as T
 
 # gps_v is sparse in time, so limits are rescaled: 20 m and 12 h
-SPARSE = DEFAULTS.merged({"thin_m": 20.0, "thin_s": 43200.0, "stop_radius_m": 25.0, "stop_min_s": 3600.0, "stop_match_yds": 12.0, "trail_max_points": 10 ** 9})
+SPARSE = DEFAULTS.merged({"thin_m": 20.0, "thin_s": 43200.0, "stop_radius_m": 25.0, "stop_min_s": 3600.0, "stop_match_yds": 12.0})
 
 
 @query("report_lines", r"""SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN regexp_matches(line, '[0-9]+') THEN 1 ELSE 0 END) AS BIGINT) AS with_number, CAST(max(length(line)) AS INT) AS longest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id""")
@@ -135,7 +135,11 @@ def fixes(d):
     return d.gps.select("player_id", F.to_date("ts").alias("day"), "event_id", "t_s", "lat", "lng", F.col("acc_m").cast("double").alias("acc_m"))
 
 
-@query("trail_thin")
+@query("trail_thin", """WITH RECURSIVE f AS (SELECT event_id, player_id, t_s, lat, lng, row_number() OVER w AS rn, min(event_id) OVER (PARTITION BY player_id, CAST(ts AS DATE)) AS g FROM gps_v WINDOW w AS (PARTITION BY player_id, CAST(ts AS DATE) ORDER BY t_s, event_id)),
+ k AS (SELECT event_id, player_id, t_s, g, rn, t_s AS kt, lat AS kla, lng AS kln, true AS kept FROM f WHERE rn=1
+  UNION ALL SELECT event_id, player_id, t_s, g, rn, CASE WHEN ok THEN t_s ELSE kt END, CASE WHEN ok THEN lat ELSE kla END, CASE WHEN ok THEN lng ELSE kln END, ok FROM (
+   SELECT f.*, kt, kla, kln, f.t_s-kt>=43200 OR 2*6371008.8::DOUBLE*asin(least(1, sqrt(pow(sin(radians(lat-kla)/2),2)+cos(radians(kla))*cos(radians(lat))*pow(sin(radians(lng-kln)/2),2))))>=20 AS ok FROM k JOIN f ON f.g=k.g AND f.rn=k.rn+1))
+ SELECT event_id, player_id, t_s FROM k WHERE kept""", ("gps_v",))
 def trail_thin(d):
     """S-01: a fold over kept fixes; the stream form must keep the same rows (tests)."""
     return T.thin(fixes(d), SPARSE).select("event_id", "player_id", "t_s")
@@ -148,9 +152,15 @@ def trail_stops(d):
 
 @query("stop_match")
 def stop_match(d):
+    """P-19: a third of the fixes stand for recorded shots; the greedy pairing is checked against a plain loop in the tests."""
     st = T.stops(fixes(d), SPARSE)
-    starts = fixes(d).filter("event_id % 3 = 0").select("player_id", "day", "lat", "lng", (F.col("event_id") % 90).cast("int").alias("shot_no"))
-    return T.match_stops(st, starts, SPARSE).select("player_id", "t0", "shot_no", "dist_yds")
+    starts = fixes(d).filter("event_id % 3 = 0").select("player_id", "day", "lat", "lng", F.col("event_id").alias("shot_id"), (F.col("event_id") % 18 + 1).cast("int").alias("shot_no"))
+    return T.match_stops(st, starts, SPARSE).select("player_id", "t0", "shot_id", "shot_no", "dist_yds")
+
+
+@query("next_shot", """SELECT player_id, round_id, hole, CAST(coalesce(min(CASE WHEN contact IS NULL AND shot_id%2=0 THEN shot_no END), max(shot_no)+1) AS INT) AS shot_no FROM shots_v GROUP BY ALL""", ("shots_v",))
+def next_shot(d):
+    return T.next_shot_no(d.shots.select("player_id", "round_id", "hole", "shot_no", F.col("contact").alias("lat"), (F.col("shot_id") % 2 == 1).alias("placed")))
 
 
 @query("window_counts", """SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS day, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL""")

@@ -148,7 +148,6 @@ class Settings:
     stop_min_s: float = 15.0
     thin_m: float = 3.0
     thin_s: float = 10.0
-    trail_max_points: int = 600
     stop_match_yds: float = 8.0
     # maps
     assign_m: float = 40.0

@@ -238,17 +238,84 @@ def _walk(spark):
     return spark.createDataFrame(pts, "player_id long, event_id long, t_s long, lat double, lng double, acc_m double").withColumn("day", F.to_date(F.lit("2026-01-01")))
 
 
+def _stream(spark, df, parts, query, name):
+    """Feeds the rows part by part through a streaming query and returns what it wrote."""
+    src, ck = tempfile.mkdtemp(prefix="src-"), tempfile.mkdtemp(prefix="ck-")
+    timed = df.withColumn("ts", F.timestamp_seconds("t_s"))
+    for part in parts:
+        timed.filter(part).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = query(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", ck).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    return spark.table(name).collect()
+
+
+def _two_days(spark):
+    """The walk of two players over midnight, 1,400 fixes each, and a last far fix that moves the watermark on."""
+    rnd = random.Random(8)
+    pts, n = [], 0
+    for player in (1, 2):
+        t, la = 86400 - 1500, 34.0 + player
+        for i in range(1400):
+            t += rnd.choice([1, 2, 4])
+            la += 0.00002 * ((i // 30) % 2)
+            n += 1
+            pts.append((player, n, t, la + rnd.uniform(-1, 1) * 1e-6, -84.0, 5.0))
+    pts.append((3, n + 1, 86400 * 4, 0.0, 0.0, 5.0))
+    pts.append((3, n + 2, 86400 * 6, 0.0, 0.0, 5.0))
+    df = spark.createDataFrame(pts, "player_id long, event_id long, t_s long, lat double, lng double, acc_m double")
+    return df.withColumn("day", F.to_date(F.timestamp_seconds("t_s"))), [F.col("t_s") < 86400 - 600, (F.col("t_s") >= 86400 - 600) & (F.col("t_s") < 86400 + 900), (F.col("t_s") >= 86400 + 900) & (F.col("player_id") < 3), (F.col("player_id") == 3) & (F.col("t_s") < 86400 * 5), F.col("t_s") >= 86400 * 5]
+
+
 def test_thin_batch_equals_stream(spark):
-    df = _walk(spark)
+    df, parts = _two_days(spark)
     want = sorted(r.event_id for r in T.thin(df).collect())
-    src, ck = tempfile.mkdtemp(prefix="src-"), tempfile.mkdtemp(prefix="ck-")
-    timed = df.withColumn("ts", F.timestamp_seconds("t_s")).select("player_id", "event_id", "t_s", "lat", "lng", "ts")
-    for k in range(3):
-        timed.filter((F.col("event_id") >= k * 100) & (F.col("event_id") < k * 100 + 100)).coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(src).withWatermark("ts", "1 hour")
-    q = T.stream_thin(stream).writeStream.format("memory").queryName("thinned").option("checkpointLocation", ck).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted(r.event_id for r in spark.table("thinned").collect()) == want and 20 < len(want) < 300
+    got = _stream(spark, df, parts, lambda s: T.stream_thin(s.withWatermark("ts", "1 hour")), "thinned")
+    assert sorted(r.event_id for r in got) == want and len(want) > 900
+
+
+def test_stops_batch_equals_stream_and_plain_loop(spark):
+    df, parts = _two_days(spark)
+    want = sorted((r.player_id, r.t0, r.t1, r.n) for r in T.stops(df).collect())
+    got = _stream(spark, df, parts, lambda s: T.stream_stops(s.withWatermark("ts", "1 hour")), "stopped")
+    assert sorted((r.player_id, r.t0, r.t1, r.n) for r in got) == want and len(want) > 20
+    plain = []
+    for key in {(r.player_id, r.day) for r in df.collect()}:
+        fx = [r for r in sorted(df.collect(), key=lambda r: (r.t_s, r.event_id)) if (r.player_id, r.day) == key]
+        a = 0
+        for b in range(1, len(fx) + 1):   # fixes a..b-1 are near each other
+            far = [k for k in range(a, b) if b < len(fx) and T.metres(fx[k].lat, fx[k].lng, fx[b].lat, fx[b].lng) > 6.0]
+            if b == len(fx) or far:
+                if fx[b - 1].t_s - fx[a].t_s >= 15:
+                    plain.append((key[0], fx[a].t_s, fx[b - 1].t_s, b - a))
+                    a = b
+                elif far:
+                    a = far[-1] + 1
+    assert want == sorted(plain)
+
+
+def test_rest_holds_few_fixes():
+    rest = T.Rest(T.DEFAULTS)
+    for t in range(20000):
+        rest.take(t, 34.0 + (t % 3) * 1e-6, -84.0, 4.0)
+    assert len(rest.s["fixes"]) + len(rest.s["places"]) < 20 and rest.stop()[2] == 20000
+
+
+def test_holes_and_close_expire(spark):
+    df, parts = _two_days(spark)
+    near = df.withColumn("near_hole", F.when(F.col("event_id") % 40 == 0, ((F.col("event_id") / 40).cast("int") % 9 + 1)))
+    got = _stream(spark, near, parts, lambda s: T.stream_holes(s.withWatermark("ts", "1 hour"), length=9), "holes")
+    assert [r.hole for r in sorted((r for r in got if r.player_id == 1), key=lambda r: r.t_s)][:4] == [2, 3, 4, 5]
+    pos = df.filter("event_id % 100 = 0").withColumn("hole", F.lit(1))
+    got = _stream(spark, pos, parts, lambda s: T.stream_close(s.withWatermark("ts", "1 hour")), "closed")
+    assert {r.player_id for r in got} == {1, 2} and len(got) == 26
+
+
+def test_ids_once(spark):
+    df, parts = _two_days(spark)
+    twice = df.unionByName(df)
+    got = _stream(spark, twice, parts, lambda s: T.once_per_id(s, "1 hour"), "once")
+    assert sorted(r.event_id for r in got) == sorted(r.event_id for r in df.collect())
 
 
 def test_stops_found_on_pauses(spark):
@@ -258,16 +325,44 @@ def test_stops_found_on_pauses(spark):
 
 def test_match_stops_is_one_to_one(spark):
     sch = "player_id long, day string, t0 long, lat double, lng double"
-    st = spark.createDataFrame([(1, "d", 0, 34.0, -84.0), (1, "d", 9, 34.00003, -84.0)], sch)
-    x = spark.createDataFrame([(1, "d", 34.00002, -84.0, 1)], "player_id long, day string, lat double, lng double, shot_no int")
-    assert {r.t0: r.shot_no for r in T.match_stops(st, x).collect()} == {0: None, 9: 1}
+    st = spark.createDataFrame([(1, "d", 0, 34.0, -84.0), (1, "d", 9, 34.00003, -84.0), (1, "d", 20, 34.01, -84.0)], sch)
+    # two holes of a day, each with its own shot 1
+    x = spark.createDataFrame([(1, "d", 34.00002, -84.0, 71, 1), (1, "d", 34.01, -84.0, 72, 1)], "player_id long, day string, lat double, lng double, shot_id long, shot_no int")
+    assert {r.t0: r.shot_id for r in T.match_stops(st, x).collect()} == {0: None, 9: 71, 20: 72}
+
+
+def test_match_stops_equals_plain_greedy(spark):
+    rnd = random.Random(12)
+    st = [(p, "d", i, 60.0 + rnd.uniform(0, 4e-4), 20.0 + rnd.uniform(0, 8e-4)) for p in (1, 2) for i in range(40)]
+    xs = [(p, "d", 60.0 + rnd.uniform(0, 4e-4), 20.0 + rnd.uniform(0, 8e-4), p * 1000 + i, i % 5) for p in (1, 2) for i in range(50)]
+    got = {(r.player_id, r.t0): r.shot_id for r in T.match_stops(spark.createDataFrame(st, "player_id long, day string, t0 long, lat double, lng double"),
+                                                                 spark.createDataFrame(xs, "player_id long, day string, lat double, lng double, shot_id long, shot_no int")).collect()}
+    want, used = {(p, t): None for p, _, t, *_ in st}, set()
+    for yds, p, t, sid in sorted((T.metres(a, b, c, d) / 0.9144, p, t, sid) for p, _, t, a, b in st for q, _, c, d, sid, _ in xs if p == q):
+        if yds <= 8 and want[p, t] is None and sid not in used:
+            want[p, t] = sid
+            used.add(sid)
+    assert got == want and len(used) > 10
+
+
+def test_next_shot_no(spark):
+    rows_ = [(1, 1, 1, 1, 34.0, False), (1, 1, 1, 2, None, False), (1, 1, 1, 3, None, False), (1, 1, 2, 1, 34.0, False), (1, 1, 2, 4, None, True)]
+    got = T.next_shot_no(spark.createDataFrame(rows_, "player_id long, round_id long, hole int, shot_no int, lat double, placed boolean")).collect()
+    assert {r.hole: r.shot_no for r in got} == {1: 2, 2: 5}
 
 
 def test_mirror_sink_replay_is_harmless(spark):
-    out = tempfile.mkdtemp(prefix="mirror-")
+    out, small = tempfile.mkdtemp(prefix="mirror-"), tempfile.mkdtemp(prefix="mirror-")
     sink = T.mirror_sink(out)
     sch = "id int, stamp long, body string"
     sink(spark.createDataFrame([(1, 1, "a"), (2, 5, "b")], sch), 0)
     for _ in range(2):
         sink(spark.createDataFrame([(1, 2, "a2"), (2, 3, "old")], sch), 1)
-    assert sorted(rows(spark.read.parquet(f"{out}/v=1").select("id", "stamp", "body"))) == [(1, 2, "a2"), (2, 5, "b")]
+    want = [(1, 2, "a2"), (2, 5, "b")]
+    assert sorted(rows(T.mirror_table(spark, out).select("id", "stamp", "body"))) == want
+    spark.sparkContext.setLocalProperty("sql.streaming.queryId", "another")   # a new query over a table that exists
+    sink(spark.createDataFrame([(3, 1, "c")], sch), 0)
+    spark.sparkContext.setLocalProperty("sql.streaming.queryId", None)
+    assert sorted(rows(T.mirror_table(spark, out).select("id", "stamp", "body"))) == [*want, (3, 1, "c")]
+    T.compact_mirror(spark, out, small)
+    assert T.mirror_table(spark, small).count() == 3
