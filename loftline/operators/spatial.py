@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from loftline.functions import rings as G
 from loftline.functions.numbers import c
 from loftline.operators.skew import evaluated_once
-from loftline.settings import DEFAULTS, Settings, lookup
+from loftline.settings import DEFAULTS, YARDS_PER_METRE, Settings, lookup
 
 CELL = 60.0
 PRIORITY = {"green": 1, "sand": 2, "water": 3, "tee": 4, "fairway": 5, "trees": 6, "ob": 7, "rough": 8}
@@ -77,19 +77,18 @@ def lie_confidence(points: DataFrame, features: DataFrame, key: str, acc: Column
     """P-04: the surface at a fix and at 32 probes on circles of r and r/2; any change, poor accuracy or a penalty
     surface makes it low.
 
-    Pairs are found once per fix with the circle as margin.  Probes are opened up inside the task that holds the
-    pair and only hits leave it, so the shuffle carries hits, not probes.
+    A fix that is too coarse is low whatever lies around it and probes its centre alone; the circle of any other is
+    at most that of the coarsest fix that counts, which is the margin.  Probes are opened up inside the task that holds
+    the pair and only hits leave it, so the shuffle carries hits, not probes.
     """
-    yd = 1.0936133
-    r = F.greatest(acc, F.lit(5.0)) * yd
-    pts = points.withColumn("_r", r).withColumn("_acc", acc)
-    big = 16 * yd
-    cand = near(pts, features, big, keep_box=True)
+    fine = F.coalesce(acc <= cfg.coarse_m, F.lit(True))
+    pts = points.withColumn("_r", F.greatest(F.when(fine, acc), F.lit(5.0)) * YARDS_PER_METRE).withColumn("_fine", fine)
+    cand = near(pts, features, max(5.0, cfg.coarse_m) * YARDS_PER_METRE, keep_box=True)
     probes = [(0, F.lit(0.0), F.lit(0.0))] + [(1 + i + 16 * h, F.col("_r") * f * math.cos(i * math.pi / 8), F.col("_r") * f * math.sin(i * math.pi / 8))
                                             for h, f in enumerate((1.0, 0.5)) for i in range(16)]
     arr = F.array(*[F.struct(F.lit(n).alias("n"), (F.col("x") + dx).alias("px"), (F.col("y") + dy).alias("py")) for n, dx, dy in probes])
     k = F.when((F.col("kind") == "green") & (F.col("f_hole") != F.col("hole")), "fairway").otherwise(F.col("kind"))
-    hit = cand.select(key, "kind", "f_hole", "hole", "ring", "inner", "_x0", "_y0", "_x1", "_y1", F.explode(arr).alias("_b"))
+    hit = cand.select(key, "kind", "f_hole", "hole", "ring", "inner", "_x0", "_y0", "_x1", "_y1", F.explode(F.when(F.col("_fine"), arr).otherwise(F.slice(arr, 1, 1))).alias("_b"))
     box = (F.col("_b.px") >= F.col("_x0")) & (F.col("_b.px") <= F.col("_x1")) & (F.col("_b.py") >= F.col("_y0")) & (F.col("_b.py") <= F.col("_y1"))
     hit = hit.filter(box & inside("_b.px", "_b.py"))
     per = hit.groupBy(key, F.col("_b.n").alias("n")).agg(F.min(lookup(k, PRIORITY)).alias("p"), F.max((F.col("kind") == "boundary").cast("int")).alias("b"))
@@ -110,7 +109,7 @@ def lie_confidence(points: DataFrame, features: DataFrame, key: str, acc: Column
     same_hits = (slo == s0) & (surf(hi) == s0)
     same = F.when(full, same_hits).when(F.coalesce("_n", F.lit(0)) == 0, F.lit(True)).otherwise(same_hits & (surf(bare) == s0))
     pen = s0.isin(PRIORITY["water"], PRIORITY["ob"])
-    return out.select(key, lookup(s0.cast("int"), NAME).alias("lie"), F.when(~same | pen | (F.col("_acc") > 8), "low").otherwise("high").alias("confidence"))
+    return out.select(key, lookup(s0.cast("int"), NAME).alias("lie"), F.when(~same | pen | (F.col("_acc") > cfg.coarse_m), "low").otherwise("high").alias("confidence"))
 
 
 def nearest(points: DataFrame, features: DataFrame, key: str, reach: float) -> DataFrame:
@@ -158,10 +157,13 @@ def assign_features(lines: DataFrame, features: DataFrame, reach: float) -> Data
 
 
 def assign_greens(lines: DataFrame, greens: DataFrame, reach: float) -> DataFrame:
-    """P-08: the green holding the line's end, else the nearest centroid in reach; holes without one are reported."""
+    """P-08: the green holding the line's end, else the nearest centroid in reach; holes without one keep a null.
+
+    A centroid in reach has its box in reach, so the reach is the margin of the search.
+    """
     ends = lines.select("course_id", "hole", F.col("x1").alias("x"), F.col("y1").alias("y"))
     g = evaluated_once(greens.withColumn("_ctr", G.centroid("ring")))
-    j = near(ends, g, reach + 40).withColumn("_in", G.contains("ring", "x", "y")).withColumn("_d", F.hypot(F.col("x") - F.col("_ctr.x"), F.col("y") - F.col("_ctr.y")))
+    j = near(ends, g, reach).withColumn("_in", G.contains("ring", "x", "y")).withColumn("_d", F.hypot(F.col("x") - F.col("_ctr.x"), F.col("y") - F.col("_ctr.y")))
     j = j.filter(F.col("_in") | (F.col("_d") <= reach))
     best = j.groupBy("course_id", "hole").agg(F.min_by("feature_id", F.struct(F.when(F.col("_in"), 0).otherwise(1), F.when(F.col("_in"), F.lit(0.0)).otherwise(F.col("_d")), F.col("feature_id"))).alias("green_id"))
     return lines.select("course_id", "hole").join(best, ["course_id", "hole"], "left")
@@ -242,8 +244,8 @@ def clamp_inside(df: DataFrame) -> DataFrame:
     df = evaluated_once(df.withColumn("_in", G.contains("ring", "x", "y")).withColumn("_q", F.array_min(F.transform(G.edges("ring"), foot))))
     df = evaluated_once(df.withColumn("_s", F.hypot(F.col("_q.x") - F.col("ctr.x"), F.col("_q.y") - F.col("ctr.y"))))
     out_x = df.filter("NOT _in").withColumn("_k", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("_s") / 0.25).cast("int") - 1))))
-    out_x = out_x.withColumn("cx", F.col("_q.x") + (F.col("ctr.x") - F.col("_q.x")) * F.col("_k") * 0.25 / F.col("_s")).withColumn(
-        "cy", F.col("_q.y") + (F.col("ctr.y") - F.col("_q.y")) * F.col("_k") * 0.25 / F.col("_s"))
+    out_x = out_x.withColumn("cx", F.col("_q.x") + (F.col("ctr.x") - F.col("_q.x")) * F.col("_k") * 0.25 / F.nullif("_s", F.lit(0.0))).withColumn(
+        "cy", F.col("_q.y") + (F.col("ctr.y") - F.col("_q.y")) * F.col("_k") * 0.25 / F.nullif("_s", F.lit(0.0)))
     keys = [k for k in df.columns if k not in ("ring", "ctr", "x", "y", "_in", "_q", "_s")]
     first = out_x.withColumn("_ok", G.contains("ring", "cx", "cy")).groupBy(*keys).agg(
         F.min(F.when(F.col("_ok"), F.struct("_k", "cx", "cy"))).alias("m"), F.first("ctr").alias("ctr"))
@@ -251,36 +253,54 @@ def clamp_inside(df: DataFrame) -> DataFrame:
     return df.filter("_in").select(*keys, "x", "y").unionByName(moved)
 
 
-def safest_spot(greens: DataFrame, hazards: DataFrame, step: float = 2.0, reach: float = 200.0) -> DataFrame:
+def safest_spot(greens: DataFrame, hazards: DataFrame, boundaries: DataFrame | None = None, step: float = 2.0) -> DataFrame:
     """P-14: the point of a 2-yard grid inside the green farthest from its hole's nearest hazard; ties nearer the centre.
 
-    Hazards join on (course, hole), a handful per hole; distances are combined map-side per grid point.
+    A course's boundary counts as a hazard of each of its greens, by its outline.  A green without either, or one that
+    holds no grid point, gives its centre and no distance.  Hazards join on (course, hole), a handful per hole;
+    distances are combined map-side per grid point.
     """
     b = G.bbox("ring")
     n = lambda lo, hi: F.sequence(F.lit(0), F.floor((hi - lo) / step).cast("int"))
+    name = ["course_id", "hole", "green_id"]
     g = evaluated_once(greens.select("course_id", F.col("f_hole").alias("hole"), F.col("feature_id").alias("green_id"), "ring", G.centroid("ring").alias("_c"), b["x0"].alias("_x0"), b["y0"].alias("_y0"), n(b["x0"], b["x1"]).alias("_i"), n(b["y0"], b["y1"]).alias("_j")))
-    g = g.select("*", F.explode("_i").alias("i")).select("*", F.explode("_j").alias("j")).withColumn("x", F.col("_x0") + F.col("i") * step).withColumn("y", F.col("_y0") + F.col("j") * step)
-    g = g.filter(G.contains("ring", "x", "y")).select("course_id", "hole", "green_id", "x", "y", F.hypot(F.col("x") - F.col("_c.x"), F.col("y") - F.col("_c.y")).alias("dc"))
-    h = hazards.select("course_id", F.col("f_hole").alias("hole"), F.col("ring").alias("hring"))
-    d = g.join(h, ["course_id", "hole"]).groupBy("course_id", "hole", "green_id", "x", "y", "dc").agg(F.min(G.distance("hring", "x", "y")).alias("d"))
-    key = F.struct(F.round(F.col("d"), 6), -F.col("dc"), -F.col("y"), -F.col("x"))
-    return d.groupBy("course_id", "hole", "green_id").agg(F.max_by(F.struct("x", "y", "d"), key).alias("m")).select("course_id", "hole", "green_id", "m.*")
-
-
-def water_entry(shots: DataFrame, features: DataFrame, key: str, step: float = 2.0, max_back: float = 400.0) -> DataFrame:
+    p = g.select("*", F.explode("_i").alias("i")).select("*", F.explode("_j").alias("j")).withColumn("x", F.col("_x0") + F.col("i") * step).withColumn("y", F.col("_y0") + F.col("j") * step)
+    p = p.filter(G.contains("ring", "x", "y")).select(*name, "x", "y", F.hypot(F.col("x") - F.col("_c.x"), F.col("y") - F.col("_c.y")).alias("dc"))
+    h = hazards.select("course_id", F.col("f_hole").alias("hole"), F.col("ring").alias("hring"), F.lit(False).alias("edge"))
+    d = p.join(h, ["course_id", "hole"])
+    if boundaries is not None:
+        out = boundaries.select("course_id", F.col("ring").alias("hring"), F.lit(True).alias("edge"))
+        d = d.unionByName(p.join(out, "course_id").select(d.columns))
+    away = F.when(F.col("edge"), G.edge_distance("hring", "x", "y")).otherwise(G.distance("hring", "x", "y"))
+    d = d.groupBy(*name, "x", "y", "dc").agg(F.min(away).alias("d"))
+    key = F.struct(F.round("d", 6), -F.round("dc", 6), -F.col("y"), -F.col("x"))
+    best = d.groupBy(*name).agg(F.max_by(F.struct("x", "y", "d"), key).alias("m"))
+    return g.select(*name, "_c").join(best, name, "left").select(*name, F.coalesce("m.x", "_c.x").alias("x"), F.coalesce("m.y", "_c.y").alias("y"), F.col("m.d").alias("d"))
+
+
+def _wet(points: DataFrame, features: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Keys of the points whose surface is water: in water, and neither in sand nor on the hole's own green."""
+    hit = containing(points, features.filter("kind IN ('water', 'sand', 'green')"))
+    own = (F.col("kind") == "sand") | ((F.col("kind") == "green") & F.col("f_hole").eqNullSafe(F.col("hole")))
+    return hit.groupBy(*key).agg(F.bool_or(F.col("kind") == "water").alias("w"), F.bool_or(own).alias("o")).filter("w AND NOT o").select(*key)
+
+
+def water_entry(shots: DataFrame, features: DataFrame, key: str, step: float = 2.0) -> DataFrame:
     """P-26: walking back from a landing in water toward the ball every 2 yards, the first point that is not water; else the ball.
 
-    Steps are opened only for shots that landed in water.
+    The whole line is walked, and never past the ball: a line shorter than a step has no point on it.  Steps are
+    opened only for shots that landed in water.  ``k0`` is the number of the step, null for the ball.
     """
-    wet = shots.select(key, "course_id", F.col("ex").alias("x"), F.col("ey").alias("y"), "sx", "sy").withColumn("_l", F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")))
-    water = features.filter("kind = 'water'")
-    wet = containing(wet, water).select(key, "course_id", F.col("x").alias("lx"), F.col("y").alias("ly"), "sx", "sy", "_l").dropDuplicates([key])
-    walk = wet.withColumn("k", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.least(F.col("_l"), F.lit(max_back)) / step)).cast("int"))))
-    walk = walk.withColumn("x", F.col("lx") + (F.col("sx") - F.col("lx")) / F.col("_l") * F.col("k") * step).withColumn("y", F.col("ly") + (F.col("sy") - F.col("ly")) / F.col("_l") * F.col("k") * step)
-    in_water = containing(walk, water).select(key, "k").distinct().withColumn("_w", F.lit(True))
-    dry = walk.join(in_water, [key, "k"], "left_anti").groupBy(key).agg(F.min("k").alias("k0"))
-    return wet.join(dry, key, "left").select(key, F.when(F.col("k0").isNull(), F.col("sx")).otherwise(F.col("lx") + (F.col("sx") - F.col("lx")) / F.col("_l") * F.col("k0") * step).alias("x"),
-                                             F.when(F.col("k0").isNull(), F.col("sy")).otherwise(F.col("ly") + (F.col("sy") - F.col("ly")) / F.col("_l") * F.col("k0") * step).alias("y"), F.col("k0"))
+    at = shots.select(key, "course_id", "hole", F.col("ex").alias("x"), F.col("ey").alias("y"), "sx", "sy")
+    wet = at.join(_wet(at, features, [key]), key, "left_semi").dropDuplicates([key]).select(
+        key, "course_id", "hole", F.col("x").alias("lx"), F.col("y").alias("ly"), "sx", "sy", F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")).alias("_l"))
+    n = F.floor(F.col("_l") / step).cast("int")
+    along = lambda k, a, b: F.col(a) + (F.col(b) - F.col(a)) / F.nullif("_l", F.lit(0.0)) * k * step
+    walk = wet.withColumn("k", F.explode(F.when(n > 0, F.sequence(F.lit(1), n))))
+    walk = walk.withColumn("x", along(F.col("k"), "lx", "sx")).withColumn("y", along(F.col("k"), "ly", "sy"))
+    dry = walk.join(_wet(walk, features, [key, "k"]), [key, "k"], "left_anti").groupBy(key).agg(F.min("k").alias("k0"))
+    return wet.join(dry, key, "left").select(key, F.coalesce(along(F.col("k0"), "lx", "sx"), F.col("sx").cast("double")).alias("x"),
+                                             F.coalesce(along(F.col("k0"), "ly", "sy"), F.col("sy").cast("double")).alias("y"), "k0")
 
 
 def tone(surface_col) -> Column:
@@ -324,32 +344,38 @@ def override_vote(fixes: DataFrame, corrections: DataFrame, cfg: Settings = DEFA
     return g.groupBy("course_id", "qx", "qy").agg(F.max(F.struct("votes", "latest", "corrected")).alias("b")).select("course_id", "qx", "qy", F.col("b.corrected").alias("lie"), F.col("b.votes").alias("votes"))
 
 
-def idw(queries: DataFrame, samples: DataFrame, key: str, k: int = 4, cell: float = 8.0, levels: int = 7, snap: float = 1.0) -> DataFrame:
-    """P-16: inverse-square mean of the k nearest samples, exact at any density.
+def idw(queries: DataFrame, samples: DataFrame, key: str, k: int = 4, cell: float = 8.0, snap: float = 1.0) -> DataFrame:
+    """P-16: inverse-square mean of the k nearest samples, exact at any density and distance.
 
-    Level by level the cell doubles; a query is settled at the first level where its k-th neighbour lies within one
-    cell, since nothing nearer can lie outside the 3x3 block.  Dense places settle in small cells, so they never
-    pair with everything; the last level takes what its block holds.  ``ord`` breaks distance ties.
+    Samples are counted in cells of every doubling of ``cell`` up to one that covers them all.  Each query takes the
+    smallest size at which its 3x3 block of cells holds k samples: those lie within 2 * sqrt(2) cells, so the k nearest
+    are in the 7x7 block.  Dense places thus look only into small cells and lonely ones into large.  A query farther
+    out than the largest block takes all samples of the top cells.  One join finds the size and one the samples;
+    ``ord`` breaks distance ties.  With fewer than k samples all of them count; with none there is no row.
     """
-    left = queries
-    parts = []
-    near_k = None
-    for lv in range(levels):
-        size = cell * 2 ** lv
-        s = samples.select(F.col("x").alias("_sx"), F.col("y").alias("_sy"), F.col("z").alias("_z"), F.col("ord").alias("_o"), G.cell("x", size).alias("_cx"), G.cell("y", size).alias("_cy"))
-        q = left.withColumn("_c", F.explode(G.cover_cells("x", "y", "x", "y", size, size))).select("*", F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy")).drop("_c")
-        d = F.hypot(F.col("x") - F.col("_sx"), F.col("y") - F.col("_sy"))
-        j = q.join(s, ["_cx", "_cy"]).withColumn("_d", d)
-        w = Window.partitionBy(key).orderBy("_d", "_o")
-        top = j.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
-        g = top.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("_d").alias("far"), F.min_by("_z", F.col("_r")).alias("z1"), F.min("_d").alias("d1"),
-                                 F.sum(1 / F.nullif(F.col("_d") * F.col("_d"), F.lit(0.0))).alias("w"), F.sum(F.col("_z") / F.nullif(F.col("_d") * F.col("_d"), F.lit(0.0))).alias("v"))
-        ok = (F.col("n") == k) & (F.col("far") <= size)
-        settled = g.filter(ok) if lv < levels - 1 else g
-        parts.append(settled)
-        if lv < levels - 1:
-            left = left.join(settled.select(key), key, "left_anti")
-    near_k = parts[0]
-    for p in parts[1:]:
-        near_k = near_k.unionByName(p)
-    return near_k.select(key, F.when(F.col("d1") < snap, F.col("z1")).otherwise(F.col("v") / F.col("w")).alias("z"), F.col("n").cast("bigint").alias("used"))
+    lo = samples.unionByName(queries.select("x", "y"), allowMissingColumns=True).agg(
+        *[f(c_) for f in (F.min, F.max) for c_ in ("x", "y")]).first()
+    if lo[0] is None:
+        return queries.select(key, F.lit(None).cast("double").alias("z"), F.lit(0).cast("bigint").alias("used")).limit(0)
+    span = max(lo[2] - lo[0], lo[3] - lo[1], cell)
+    top = max(0, math.ceil(math.log2(span / cell)))   # two neighbouring cells of this size cover everything
+    levels = F.sequence(F.lit(0), F.lit(top))
+    size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_lv"))
+    at = lambda v: F.floor(F.col(v) / size)
+    s = samples.select(F.col("x").alias("_sx"), F.col("y").alias("_sy"), F.col("z").alias("_z"), F.col("ord").alias("_o"), F.explode(levels).alias("_lv"))
+    s = s.withColumns({"_cx": at("_sx"), "_cy": at("_sy")})
+    full = s.groupBy("_lv", "_cx", "_cy").agg(F.count(F.lit(1)).alias("_n"))
+    step = lambda r: F.array(*[F.lit(i) for i in range(-r, r + 1)])
+    q = queries.select(key, "x", "y")
+
+    def block(df: DataFrame, r: int) -> DataFrame:
+        return (df.withColumn("_i", F.explode(step(r))).withColumn("_j", F.explode(step(r)))
+                .withColumns({"_cx": at("x") + F.col("_i"), "_cy": at("y") + F.col("_j")}).drop("_i", "_j"))
+
+    around = block(q.withColumn("_lv", F.explode(levels)), 1).join(full, ["_lv", "_cx", "_cy"]).groupBy(key, "_lv").agg(F.sum("_n").alias("_n"))
+    chosen = around.groupBy(key).agg(F.coalesce(F.min(F.when(F.col("_n") >= k, F.col("_lv"))), F.lit(top)).alias("_lv"))
+    pairs = block(q.join(chosen, key), 3).join(s, ["_lv", "_cx", "_cy"]).withColumn("_d", F.hypot(F.col("x") - F.col("_sx"), F.col("y") - F.col("_sy")))
+    best = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_d", "_o"))).filter(F.col("_r") <= k)
+    sq = F.nullif(F.col("_d") * F.col("_d"), F.lit(0.0))
+    g = best.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min_by("_z", "_r").alias("z1"), F.min("_d").alias("d1"), F.sum(1 / sq).alias("w"), F.sum(F.col("_z") / sq).alias("v"))
+    return g.select(key, F.when(F.col("d1") < snap, F.col("z1")).otherwise(F.col("v") / F.col("w")).alias("z"), F.col("n").cast("bigint").alias("used"))

@@ -129,7 +129,7 @@ def line_samples(d):
 LN = ("feat_v", "lines_v", "shots_v")
 @query("feature_assign")
 def feature_assign(d):
-    return P.assign_features(d.view("lines_v"), features(d).filter("kind <> 'boundary' AND kind <> 'green'"), DEFAULTS.assign_m).select("course_id", "feature_id", "kind", "hole", half_up("d", 6).alias("d"))
+    return P.assign_features(d.view("lines_v"), features(d).filter("kind <> 'boundary' AND kind <> 'green'"), DEFAULTS.yards("assign_m")).select("course_id", "feature_id", "kind", "hole", half_up("d", 6).alias("d"))
 
 
 @query("near_hole_features", f"WITH {EDGES}, {LNS}, {DIST('q', 'smp', 'course_id, hole, k', 100)} SELECT course_id, hole, kind, CAST(count(DISTINCT feature_id) AS BIGINT) AS n FROM q WHERE kind<>'boundary' AND dd<=100 GROUP BY ALL", LN)
@@ -141,7 +141,7 @@ def near_hole_features(d):
 
 @query("green_assign")
 def green_assign(d):
-    return P.assign_greens(d.view("lines_v"), features(d).filter("kind = 'green'"), DEFAULTS.assign_m)
+    return P.assign_greens(d.view("lines_v"), features(d).filter("kind = 'green'"), DEFAULTS.yards("assign_m"))
 
 
 @query("course_boundary", f"WITH {EDGES}, en AS (SELECT course_id, x0 AS x, y0 AS y, hole AS o, 0 AS e FROM lines_v UNION ALL SELECT course_id, x1, y1, hole, 1 FROM lines_v), {hits('h', 'en', 'o, e, x, y')} SELECT CAST(-feature_id-1 AS BIGINT) AS course_id, feature_id, CAST(count(*) AS BIGINT) AS ends FROM h WHERE kind='boundary' GROUP BY feature_id", LN)
@@ -149,11 +149,11 @@ def course_boundary(d):
     return P.best_boundary(d.view("lines_v"), features(d).filter("kind = 'boundary'"))
 
 
-@query("hole_by_tee", f"WITH {EDGES}, st AS (SELECT shot_id, course_id, sx AS x, sy AS y FROM shots_v), {DIST('q', 'st', 'shot_id', 30)}, r AS (SELECT shot_id, f_hole, dd, row_number() OVER (PARTITION BY shot_id ORDER BY dd, f_hole) AS rn FROM q JOIN feat_v USING (feature_id) WHERE q.kind='tee' AND dd<=30) SELECT shot_id, f_hole AS hole, {HU('dd', 1)} AS dist FROM r WHERE rn=1", NEEDS)
+@query("hole_by_tee", f"WITH {EDGES}, st AS (SELECT shot_id, course_id, sx AS x, sy AS y FROM shots_v), {DIST('q', 'st', 'shot_id', '30*1.0936133::DOUBLE')}, r AS (SELECT shot_id, f_hole, dd, row_number() OVER (PARTITION BY shot_id ORDER BY dd, f_hole) AS rn FROM q JOIN feat_v USING (feature_id) WHERE q.kind='tee' AND dd<=30*1.0936133::DOUBLE) SELECT shot_id, f_hole AS hole, {HU('dd', 1)} AS dist FROM r WHERE rn=1", NEEDS)
 def hole_by_tee(d):
-    """P-18: from an unknown hole, the nearest tee within 30 of the fix."""
+    """P-18: from an unknown hole, the nearest tee within 30 metres of the fix."""
     st = d.shots.select("shot_id", "course_id", F.col("sx").alias("x"), F.col("sy").alias("y"))
-    j = P.near(st, features(d).filter("kind = 'tee'"), DEFAULTS.tee_detect_m).withColumn("dd", G.distance("ring", "x", "y")).filter(F.col("dd") <= DEFAULTS.tee_detect_m)
+    j = P.near(st, features(d).filter("kind = 'tee'"), DEFAULTS.yards("tee_detect_m")).withColumn("dd", G.distance("ring", "x", "y")).filter(F.col("dd") <= DEFAULTS.yards("tee_detect_m"))
     return j.groupBy("shot_id").agg(F.min(F.struct("dd", "f_hole")).alias("m")).select("shot_id", F.col("m.f_hole").alias("hole"), half_up("m.dd", 1).alias("dist"))
 
 
@@ -196,14 +196,30 @@ def fairway_span(d):
     return j.select("shot_id", "feature_id", *[half_up(f, 6).alias(f) for f in ("left_x", "right_x", "center_x")])
 
 
-@query("safest_spot")
+@query("safest_spot", f"""WITH {EDGES}, g AS (SELECT course_id, f_hole AS hole, feature_id AS green_id, cx, cy, cx-rx AS x0, cy-ry AS y0, rx, ry FROM feat_v WHERE kind='green'),
+ p0 AS (SELECT g.*, x0+i*2.0::DOUBLE AS x, y0+j*2.0::DOUBLE AS y FROM (SELECT *, unnest(range(0, CAST(floor(((cx+rx)-x0)/2) AS BIGINT)+1)) AS i FROM g) g, (SELECT unnest(range(0, 40)) AS j) WHERE y0+j*2.0::DOUBLE<=cy+ry),
+ p AS (SELECT course_id, hole, green_id, x, y, any_value(sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy))) AS dc FROM p0 JOIN ed ON ed.feature_id=green_id AND ring=0 GROUP BY ALL HAVING sum({CROSS})%2=1),
+ hz AS (SELECT course_id, f_hole AS hole, feature_id AS hid, false AS bd FROM feat_v WHERE kind IN ('sand','water','trees') UNION ALL SELECT DISTINCT g.course_id, g.hole, feature_id, true FROM g JOIN feat_v b ON b.course_id=g.course_id AND b.kind='boundary'),
+ t AS (SELECT p.*, hid, bd, ax, ay, bx, bw, greatest(0, least(1, ((x-ax)*(bx-ax)+(y-ay)*(bw-ay))/((bx-ax)*(bx-ax)+(bw-ay)*(bw-ay)))) AS tt FROM p JOIN hz USING (course_id, hole) JOIN ed ON ed.feature_id=hid AND ring=0),
+ dd AS (SELECT course_id, hole, green_id, x, y, dc, hid, CASE WHEN NOT bd AND sum({CROSS})%2=1 THEN 0 ELSE min({SEGD('x', 'y')}) END AS d FROM t GROUP BY course_id, hole, green_id, x, y, dc, hid, bd),
+ m AS (SELECT course_id, hole, green_id, x, y, dc, min(d) AS d FROM dd GROUP BY ALL),
+ b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY green_id ORDER BY round(d,6) DESC, round(dc,6), y, x)=1)
+SELECT g.course_id, g.hole, g.green_id, {HU('coalesce(b.x, cx)', 4)} AS x, {HU('coalesce(b.y, cy)', 4)} AS y, {HU('b.d', 4)} AS d FROM g LEFT JOIN b USING (green_id)""", ("feat_v", "shots_v"))
 def safest_spot(d):
     f = features(d)
-    s = P.safest_spot(f.filter("kind = 'green'"), f.filter("kind IN ('sand','water','trees')"))
+    s = P.safest_spot(f.filter("kind = 'green'"), f.filter("kind IN ('sand','water','trees')"), f.filter("kind = 'boundary'"))
     return s.select("course_id", "hole", "green_id", half_up("x", 4).alias("x"), half_up("y", 4).alias("y"), half_up("d", 4).alias("d"))
 
 
-@query("water_entry")
+WET = "HAVING bool_or(kind='water') AND NOT bool_or(kind='sand' OR (kind='green' AND f_hole=hole))"
+
+
+@query("water_entry", f"""WITH {EDGES}, {hits('h', 'bal', 'shot_id, hole, x, y', "kind IN ('water','sand','green')")}, lw AS (SELECT shot_id FROM h GROUP BY shot_id, hole {WET}),
+ w AS (SELECT shot_id, course_id, hole, ex, ey, sx, sy, sqrt((ex-sx)*(ex-sx)+(ey-sy)*(ey-sy)) AS l FROM shots_v JOIN lw USING (shot_id)),
+ wk AS (SELECT shot_id, course_id, hole, st, ex+(sx-ex)/l*st*2 AS x, ey+(sy-ey)/l*st*2 AS y FROM (SELECT *, unnest(range(1, CAST(floor(l/2) AS BIGINT)+1)) AS st FROM w WHERE l>0)),
+ {hits('h2', 'wk', 'shot_id, hole, st, x, y', "kind IN ('water','sand','green')")}, ww AS (SELECT shot_id, st FROM h2 GROUP BY shot_id, st, hole {WET}),
+ f AS (SELECT shot_id, min(st) AS k0 FROM wk WHERE NOT EXISTS (SELECT 1 FROM ww WHERE ww.shot_id=wk.shot_id AND ww.st=wk.st) GROUP BY shot_id)
+SELECT shot_id, {HU('coalesce(ex+(sx-ex)/nullif(l,0)*k0*2, sx)', 4)} AS x, {HU('coalesce(ey+(sy-ey)/nullif(l,0)*k0*2, sy)', 4)} AS y, CAST(k0 AS INT) AS k0 FROM w LEFT JOIN f USING (shot_id)""", NEEDS)
 def water_entry(d):
     w = P.water_entry(d.shots, features(d), "shot_id")
     return w.select("shot_id", half_up("x", 4).alias("x"), half_up("y", 4).alias("y"), "k0")

@@ -151,6 +151,7 @@ class Settings:
     stop_match_yds: float = 8.0
     # maps
     assign_m: float = 40.0
+    coarse_m: float = 8.0
     vote_radius_m: float = 15.0
     vote_min: int = 2
     tee_detect_m: float = 30.0
@@ -170,6 +171,10 @@ class Settings:
     irrigation_before_hour: int = 10
     weather_fresh_min: float = 15.0
 
+    def yards(self, field: str) -> float:
+        """A setting in metres, in the yards that hole frames are in."""
+        return getattr(self, field) * YARDS_PER_METRE
+
     def merged(self, overrides: Mapping[str, Any] | None) -> "Settings":
         """A copy with the given fields replaced; mappings are merged key by key."""
         known = {f.name for f in fields(self)}

@@ -190,13 +190,53 @@ def test_idw_equals_brute_force(spark):
     pts = [(i, rnd.uniform(-90, 90) * (0.05 if i % 2 else 1), rnd.uniform(-90, 90), rnd.uniform(0, 9)) for i in range(80)]
     s = spark.createDataFrame(pts, "ord long, x double, y double, z double")
     q = spark.createDataFrame([(i, rnd.uniform(-90, 90), rnd.uniform(-90, 90)) for i in range(25)], "id int, x double, y double")
-    got = dict(rows(SP.idw(q, s, "id", levels=5, cell=20.0).select("id", "z")))
+    got = dict(rows(SP.idw(q, s, "id", cell=20.0).select("id", "z")))
     for i, x, y in rows(q):
         near = sorted((math.hypot(px - x, py - y), o, z) for o, px, py, z in pts)[:4]
         want = near[0][2] if near[0][0] < 1 else sum(z / d ** 2 for d, _, z in near) / sum(1 / d ** 2 for d, _, _ in near)
         assert got[i] == pytest.approx(want)
 
 
+def test_idw_reaches_any_distance(spark):
+    s = spark.createDataFrame([(i, 5000.0 * (i % 4), 5000.0 * (i // 4), float(i)) for i in range(8)], "ord long, x double, y double, z double")
+    q = spark.createDataFrame([(1, 10.0, 10.0), (2, 90000.0, -70000.0), (3, 5000.2, 0.1)], "id int, x double, y double")
+    got = {r.id: r for r in SP.idw(q, s, "id").collect()}
+    assert {i: r.used for i, r in got.items()} == {1: 4, 2: 4, 3: 4} and got[3].z == 1.0
+    assert {r.used for r in SP.idw(q, s.limit(2), "id").collect()} == {2} and SP.idw(q, s.limit(0), "id").count() == 0
+
+
+def _square(x0, y0, x1, y1):
+    return [(float(x0), float(y0)), (float(x1), float(y0)), (float(x1), float(y1)), (float(x0), float(y1))]
+
+
+FEATURE = "course_id long, feature_id long, kind string, f_hole int, ring array<struct<x:double,y:double>>, inner array<array<struct<x:double,y:double>>>"
+
+
+def test_water_entry_walks_the_whole_line(spark):
+    f = spark.createDataFrame([(1, 1, "water", 1, _square(-20, 150, 20, 700), None), (1, 2, "green", 1, _square(-5, 600, 5, 640), None), (1, 3, "water", 2, _square(500, 0, 510, 10), None)], FEATURE)
+    shots = [(1, 1, 1, 0.0, 650.0, 0.0, 0.0), (2, 1, 1, 0.0, 500.0, 0.0, 0.0), (3, 1, 1, 0.0, 151.0, 0.0, 150.0), (4, 1, 1, 0.0, 400.0, 0.0, 400.0), (5, 1, 1, 300.0, 0.0, 0.0, 0.0), (6, 1, 2, 0.0, 650.0, 0.0, 0.0)]
+    df = spark.createDataFrame(shots, "shot_id long, course_id long, hole int, ex double, ey double, sx double, sy double")
+    got = {r.shot_id: (r.x, r.y, r.k0) for r in SP.water_entry(df, f, "shot_id").collect()}
+    assert got[1] == (0.0, 638.0, 6)                # an own green inside the water is reached first
+    assert got[2] == (0.0, 148.0, 176)              # 352 yards back
+    assert got[3] == (0.0, 150.0, None) and got[4] == (0.0, 400.0, None)   # under a step, and no line at all: the ball
+    assert 5 not in got and got[6] == (0.0, 148.0, 251)   # another hole's green is no way out
+
+
+def test_safest_spot_without_hazards(spark):
+    g = spark.createDataFrame([(1, 1, "green", 1, _square(0, 0, 10, 10), None), (1, 2, "green", 2, _square(100, 0, 110, 10), None), (2, 3, "green", 1, _square(0, 0, 10, 10), None)], FEATURE)
+    h = spark.createDataFrame([(1, 9, "water", 1, _square(12, 0, 20, 10), None)], FEATURE)
+    b = spark.createDataFrame([(2, 8, "boundary", 0, _square(-2, -500, 500, 500), None)], FEATURE)
+    got = {r.green_id: (r.x, r.y, r.d) for r in SP.safest_spot(g, h, b).collect()}
+    assert got[2] == (105.0, 5.0, None) and got[1] == (0.0, 4.0, 12.0) and got[3][0] == 8.0 and got[3][2] == 10.0
+
+
+def test_pin_on_the_centre_does_not_divide(spark):
+    ring = [(0.0, 0.0), (10.0, 0.0), (10.0, 0.0), (0.0, 0.0)]
+    df = spark.createDataFrame([(1, ring, (5.0, 0.0), 5.0, 0.0)], "id int, ring array<struct<x:double,y:double>>, ctr struct<x:double,y:double>, x double, y double")
+    assert [(r.x, r.y) for r in SP.clamp_inside(df).collect()] == [(5.0, 0.0)]
+
+
 def test_stitch_rings_closes_reversed_members(spark):
     seg = spark.createDataFrame([(1, "outer", 0, [(0.0, 0.0), (0.0, 1.0)]), (1, "outer", 1, [(0.0, 0.0), (1.0, 1.0), (0.0, 1.0)])],
                                 "relation_id long, role string, pos int, pts array<struct<lat:double,lon:double>>")
