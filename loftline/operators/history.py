@@ -15,9 +15,8 @@ LAST_N = 5
 
 def without_carded_days(pool: DataFrame) -> DataFrame:
     """J-16: a played round on a day that also has a card is dropped; the card stands for it."""
-    days = pool.filter(F.col("kind") == "card").select("player_id", "day_no").distinct()
-    return pool.filter(F.col("kind") == "card").unionByName(
-        pool.filter(F.col("kind") != "card").join(days, ["player_id", "day_no"], "left_anti"))
+    carded = F.max(F.col("kind") == "card").over(Window.partitionBy("player_id", "day_no"))   # a day holds a few rounds
+    return pool.withColumn("_carded", carded).filter((F.col("kind") == "card") | ~F.col("_carded")).drop("_carded")
 
 
 def latest_n(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, out: str = "rn") -> DataFrame:

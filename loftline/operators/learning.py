@@ -109,7 +109,7 @@ def merge_overlay(entries: DataFrame, over: DataFrame) -> DataFrame:
                     F.when(~keep & F.col("_carry").isNotNull(), "derived").otherwise(F.col("carry_source")).alias("carry_source"),
                     F.coalesce("_dsd", "dist_sd").alias("dist_sd"), F.coalesce("_lsd", "lat_sd_deg").alias("lat_sd_deg"),
                     F.when(F.coalesce("_t", F.lit(False)), F.col("_n")).otherwise(F.col("n")).alias("n"),
-                    F.when(F.col("_has"), F.when(F.col("_t"), "loop").otherwise("blend")).alias("source"))
+                    F.when(F.col("_has"), F.when(F.col("_t"), "own").otherwise("blend")).alias("source"))
 
 
 # ---- tendencies ---------------------------------------------------------------------------------------
@@ -121,7 +121,7 @@ def pct(k: Column, n: Column) -> Column:
 def tendencies(shots: DataFrame, keys: Sequence[str], types=("full", "finesse", "putt"), cfg: Settings = DEFAULTS) -> DataFrame:
     """A-16: shares of left/right/short/long/big misses, each over the rows that know that axis.
 
-    Putts count under "Putter" with signs from the graded axes; loop yards win over sign words.
+    Putts count under "Putter" with signs from the graded axes; graded yards win over sign words.
     """
     putt = F.col("shot_type") == "putt"
     df = (shots.filter(S.teaches() & (F.col("logged") != "skipped") & ~F.coalesce(F.col("end_assumed"), F.lit(False)) & F.col("shot_type").isin(*types))

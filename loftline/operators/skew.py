@@ -18,15 +18,16 @@ def _back(keys: Sequence[str], bucket: str):
 
 
 def carried_sums(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column],
-                 values: dict[str, Column]) -> DataFrame:
-    """Running sums of several values in (bucket, order) per key, in one pass.
+                 values: dict[str, Column], totals: bool = False) -> DataFrame:
+    """Running sums of several values in (bucket, order) per key, in one pass; ``totals`` adds each key's ``<name>_tot``.
 
     Sub-totals per (key, bucket) are map-side combined; the window over them sees one row per bucket.
     """
     df = df.select("*", *[v.alias(f"_v_{o}") for o, v in values.items()])
     sub = df.groupBy(*keys, bucket).agg(*[F.sum(f"_v_{o}").alias(f"_s_{o}") for o in values])
     w = _back(keys, bucket).rowsBetween(Window.unboundedPreceding, -1)
-    off = sub.select(*keys, bucket, *[F.coalesce(F.sum(f"_s_{o}").over(w), F.lit(0)).alias(f"_o_{o}") for o in values])
+    off = sub.select(*keys, bucket, *[F.coalesce(F.sum(f"_s_{o}").over(w), F.lit(0)).alias(f"_o_{o}") for o in values],
+                     *[F.sum(f"_s_{o}").over(Window.partitionBy(*keys)).alias(f"{o}_tot") for o in values if totals])
     local = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = df.join(off, [*keys, bucket]).select(
         "*", *[(F.sum(f"_v_{o}").over(local) + F.col(f"_o_{o}")).alias(o) for o in values])

@@ -22,9 +22,7 @@ def cumulative(df: DataFrame, keys: Sequence[str], value: str, weight: Column |
     w = F.lit(1.0) if weight is None else weight
     pts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.sum(w).alias("w"))
     pts = pts.withColumn("_b", F.floor(F.col("v") / width))
-    run = carried_sums(pts, keys, "_b", [F.col("v")], {"cum": F.col("w")}).drop("_b")
-    tot = pts.groupBy(*keys).agg(F.sum("w").alias("tot"))
-    return run.join(tot, list(keys))
+    return carried_sums(pts, keys, "_b", [F.col("v")], {"cum": F.col("w")}, totals=True).drop("_b").withColumnRenamed("cum_tot", "tot")
 
 
 def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None,

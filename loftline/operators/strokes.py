@@ -1,7 +1,7 @@
 """Strokes-gained pricing: distance lookups, expected strokes, gains, finish chances, pattern statistics.
 
-Distances are priced at whole yards, so every range rule becomes a small table with one row per yard and lie,
-broadcast once (its size is fixed by the settings: yards x lies) and joined by equality.
+Distances are priced at whole yards, so every range rule becomes a table with one row per yard and lie, joined by
+equality; beyond its last yard the price goes on along the handicap line.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from loftline.functions.numbers import c, half_up, normal_cdf
 from loftline.operators.stats import ELL80_K, shrink
 from loftline.settings import BASELINE_PUTTS, BUCKET_LIE, DEFAULTS, SHORT_BAND_LIE, Settings, lookup
 
+#: Last yard of the price table; past it only the handicap line changes, which is straight.
 MAX_YDS = 700
 
 
@@ -30,12 +31,12 @@ def shrink_rows(df: DataFrame, keys: Sequence[str], value: str, cfg: Settings =
 # ---- J-06, J-07, J-08: lookups ------------------------------------------------------------------------
 
 def range_join(df: DataFrame, bands: DataFrame, value: str, on: str | None = None) -> DataFrame:
-    """J-06: half-open [from, to) bands, optionally per lie.  ``bands`` is a settings table and arrives broadcast."""
+    """J-06: half-open [from, to) bands, optionally per lie."""
     b = bands
     cond = (df[value] >= b["from_yds"]) & (df[value] < b["to_yds"])
     if on:
         cond = cond & (df[on] == b["band_lie"])
-    return df.join(F.broadcast(b), cond, "left")
+    return df.join(b, cond, "left")
 
 
 def putt_bands(bands: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def putt_bands(bands: DataFrame) -> DataFrame:
 
 def putt_join(df: DataFrame, bands: DataFrame, ft: str) -> DataFrame:
     b = putt_bands(bands)
-    return df.join(F.broadcast(b), (df[ft] >= b["from_ft"]) & (df[ft] < b["until_ft"]), "left")
+    return df.join(b, (df[ft] >= b["from_ft"]) & (df[ft] < b["until_ft"]), "left")
 
 
 def segments(points: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
@@ -70,7 +71,7 @@ def strokes_by_yard(baseline: DataFrame) -> DataFrame:
     yds = baseline.select("lie").distinct().select("lie", F.explode(F.sequence(F.lit(0), F.lit(MAX_YDS))).alias("d"))
     yds = yds.withColumn("read", F.when((F.col("lie") == "tee") & (F.col("d") < 100), "fairway").otherwise(F.col("lie")))
     s = seg.withColumnRenamed("lie", "read")
-    return yds.join(F.broadcast(s), (yds["read"] == s["read"]) & (yds["d"] >= s["lo"]) & (yds["d"] < s["hi"])).select(
+    return yds.join(s, (yds["read"] == s["read"]) & (yds["d"] >= s["lo"]) & (yds["d"] < s["hi"])).select(
         yds["lie"], yds["d"], at(yds["d"]).alias("base"))
 
 
@@ -118,7 +119,7 @@ def expected_by_yard(base: DataFrame, bands: DataFrame, putts: DataFrame, putt_d
     b = base.withColumn("band_lie", F.when(F.col("d") < 50, lookup(F.col("lie"), SHORT_BAND_LIE)).otherwise(lookup(F.col("lie"), BUCKET_LIE)))
     b = b.withColumn("prox_lie", F.coalesce("band_lie", F.lit("rough")))
     one = bands.select(F.col("band_lie").alias("_l"), "from_yds", "to_yds", "sg", "prox_ft")
-    j = b.join(F.broadcast(one), (b["prox_lie"] == one["_l"]) & (b["d"] >= one["from_yds"]) & (b["d"] < one["to_yds"]), "left")
+    j = b.join(one, (b["prox_lie"] == one["_l"]) & (b["d"] >= one["from_yds"]) & (b["d"] < one["to_yds"]), "left")
     sg = F.when(F.col("band_lie").isNotNull(), F.col("sg"))
     j = j.withColumn("_sg", sg).withColumn("_px", half_up("prox_ft")).drop("from_yds", "to_yds")
     j = putt_join(j, putts, "_px")
@@ -128,18 +129,25 @@ def expected_by_yard(base: DataFrame, bands: DataFrame, putts: DataFrame, putt_d
     return j.select("lie", "d", (F.col("base") + personal + gap).alias("e"))
 
 
-def price(df: DataFrame, table: DataFrame, yds: str, lie: str, out: str) -> DataFrame:
-    """Attach expected strokes: one broadcast equality join on (lie, whole yard)."""
+def price(df: DataFrame, table: DataFrame, yds: str, lie: str, out: str, beyond: float = 0.0) -> DataFrame:
+    """Attach expected strokes: one equality join on (lie, whole yard); each yard past the table adds ``beyond``."""
     t = table.select(F.col("lie").alias("_l"), F.col("d").alias("_d"), F.col("e").alias(out))
     k = F.least(F.lit(MAX_YDS), half_up(yds)).cast("int")
+    past = F.when(half_up(yds) > MAX_YDS, (half_up(yds) - MAX_YDS) * beyond).otherwise(0.0)
     l = F.when(F.col(lie) == "trees", "recovery").when(F.col(lie) == "green", "fairway").otherwise(F.col(lie))
     df = df.withColumn("_kd", k).withColumn("_kl", l)
-    return df.join(F.broadcast(t), (df["_kd"] == t["_d"]) & (df["_kl"] == t["_l"]), "left").drop("_kd", "_kl", "_d", "_l")
+    return df.join(t, (df["_kd"] == t["_d"]) & (df["_kl"] == t["_l"]), "left").withColumn(out, F.col(out) + past).drop("_kd", "_kl", "_d", "_l")
 
 
-def strokes_gained(shots: DataFrame, table: DataFrame) -> DataFrame:
+def handicap_slope(cfg: Settings = DEFAULTS) -> float:
+    """Strokes that each further yard adds to the handicap line."""
+    return cfg.hcp_blend * (cfg.hcp_line_ninety[1] - cfg.hcp_line_tour[1])
+
+
+def strokes_gained(shots: DataFrame, table: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """A-37: E(start) - E(end) - 1 - penalty strokes; a holed shot ends at 0, on the green at expected putts."""
-    s = price(price(shots, table, "to_pin_yds", "lie", "e0"), table, "end_to_pin", "end_lie", "e1")
+    far = handicap_slope(cfg)
+    s = price(price(shots, table, "to_pin_yds", "lie", "e0", far), table, "end_to_pin", "end_lie", "e1", far)
     end = F.when(F.col("holed"), 0.0).when(F.col("end_lie") == "green", putts_at(F.col("end_to_pin") * 3)).otherwise(F.col("e1"))
     return s.withColumn("sg", F.col("e0") - end - 1 - F.coalesce(F.col("penalty"), F.lit(0)))
 

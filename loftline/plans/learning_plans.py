@@ -77,12 +77,12 @@ def weighted_var(d):
 ELLK = "2*sqrt(-2*ln(0.2))"
 
 
-@query("ell80", f"""WITH {WS}, c AS (SELECT player_id, club, {VAR('lm')} AS sxx, {VAR('dist_miss_yds')} AS syy, {COV} AS sxy FROM ws GROUP BY player_id, club HAVING count(*)>=8),
+@query("ell80", f"""WITH {WS}, c AS (SELECT player_id, club, {VAR('lm')} AS sxx, {VAR('dist_miss_yds')} AS syy, {COV} AS sxy FROM ws GROUP BY player_id, club),
  e AS (SELECT *, (sxx+syy)/2 AS half, sqrt(pow((sxx-syy)/2,2)+sxy*sxy) AS disc, degrees(atan2(2*sxy, sxx-syy))/2 AS th FROM c)
 SELECT player_id, club, {HU(f'{ELLK}*sqrt(half+disc)', 4)} AS w_yds, {HU(f'{ELLK}*sqrt(greatest(0,half-disc))', 4)} AS h_yds, {HU('th-180*floor(th/180)', 4)} AS tilt_deg FROM e""", ("entries_v", "shots_v"))
 def ell80(d):
     x = ws(d).withColumn("lm", S.pattern_lat()).withColumn("ny", -F.col("dist_miss_yds"))
-    g = x.groupBy("player_id", "club").agg(F.count(F.lit(1)).alias("n"), *W.moments("lm", "ny", "w")).filter("n >= 8")
+    g = x.groupBy("player_id", "club").agg(F.count(F.lit(1)).alias("n"), *W.moments("lm", "ny", "w"))
     g = g.withColumn("e", W.ell80(W.w_var(), W.w_var("_YY", "_Y"), W.w_cov()))
     return g.select("player_id", "club", *[half_up(F.col(f"e.{f}"), 4).alias(f) for f in ("w_yds", "h_yds", "tilt_deg")])
 
@@ -136,7 +136,7 @@ def overlay(d):
 @query("overlay_merge", f"""WITH {OVER} SELECT player_id, club, swing, lie, {HU('coalesce(ov.total, total_yds)+1e-9', 4)} AS total,
   {HU("CASE WHEN NOT coalesce(takeover,false) AND carry_source='measured' AND ov.n IS NOT NULL THEN carry_yds ELSE coalesce(ov.carry, carry_yds) END+1e-9", 4)} AS carry,
   CASE WHEN ov.carry IS NOT NULL AND NOT (NOT takeover AND coalesce(carry_source,'')='measured') THEN 'derived' ELSE carry_source END AS carry_source,
-  {HU('coalesce(ov.dist_sd, e.dist_sd)+1e-9', 4)} AS dist_sd, {HU('coalesce(ov.lat_sd_deg, e.lat_sd_deg)+1e-9', 4)} AS lat_sd_deg, CASE WHEN takeover THEN ov.n ELSE e.n END AS n, CASE WHEN takeover THEN 'loop' WHEN ov.n IS NOT NULL THEN 'blend' END AS source
+  {HU('coalesce(ov.dist_sd, e.dist_sd)+1e-9', 4)} AS dist_sd, {HU('coalesce(ov.lat_sd_deg, e.lat_sd_deg)+1e-9', 4)} AS lat_sd_deg, CASE WHEN takeover THEN ov.n ELSE e.n END AS n, CASE WHEN takeover THEN 'own' WHEN ov.n IS NOT NULL THEN 'blend' END AS source
 FROM entries_v e FULL JOIN ov USING (player_id, club, swing, lie)""", ("entries_v", "shots_v"))
 def overlay_merge(d):
     m = L.merge_overlay(d.view("entries_v"), over(d))

@@ -207,8 +207,5 @@ def lookup(col: Column, table: Mapping, default=None) -> Column:
 
 
 def table(spark: SparkSession, schema: str, rows) -> DataFrame:
-    """A small settings table as a broadcast DataFrame; its size is fixed by the settings, not the data."""
-    rows = [tuple(r) for r in rows]
-    if len(rows) > 2000:
-        raise ValueError("settings tables are broadcast and must stay small")
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    """A settings table as a DataFrame; how it is joined is left to Spark, which knows its size."""
+    return spark.createDataFrame([tuple(r) for r in rows], schema)
