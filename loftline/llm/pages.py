@@ -28,6 +28,8 @@ from loftline.llm.common import settled, text_of
 
 #: Share of a host's pages that a template token is on, and pages that a host needs to have its words taken for a template's.
 OFTEN, PAGES = 0.6, 8
+#: Templates that are broadcast at most: a path and a few dozen marks each.
+HOSTS = 50_000
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
     |<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)(?:>|\Z)
@@ -163,12 +165,13 @@ def _host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def _runs(blocks: list[Block]) -> Counter:
-    return Counter((b.path, xxhash.xxh64_hexdigest(t)) for b in blocks if (t := b.text()))
+def _run(block: Block) -> str:
+    """Token of a run of text: a mark, as the text may be long."""
+    return "#" + xxhash.xxh64_hexdigest(f"{block.path}\0{block.text()}")
 
 
 def token_counts(pages: DataFrame) -> DataFrame:
-    """(host, path, run, support, vector, chars): tags have a null run; chars is the text straight under a path."""
+    """(host, token, support, vector, chars): a container's token is its path; chars is the text straight under it."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             seen: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0])
@@ -178,18 +181,16 @@ def token_counts(pages: DataFrame) -> DataFrame:
                 for b in blocks:
                     if not b.away:
                         chars[b.path] += len(b.text())
-                tokens = [((p, None), c) for p, c in paths.items()] + list(_runs(blocks).items())
-                for (path, run), c in [((None, None), 1), *tokens]:
-                    s = seen[host, path, run]
+                for token, c in [*paths.items(), *Counter(_run(b) for b in blocks if b.text()).items()]:
+                    s = seen[host, token]
                     s[0] += 1
                     s[1] ^= xxhash.xxh64_intdigest(f"{page_id}:{c}") >> 1
-                    s[2] += chars[path] if run is None else 0
+                    s[2] += chars.get(token, 0)
             rows = [(*k, *v) for k, v in seen.items()]
-            yield pd.DataFrame(rows, columns=["host", "path", "run", "support", "vector", "chars"])
+            yield pd.DataFrame(rows, columns=["host", "token", "support", "vector", "chars"])
 
-    read_pages = pages.select("_k", "host", "html").mapInPandas(count, "host string, path string, run string, support long, vector long, chars long")
-    return read_pages.groupBy("host", "path", "run").agg(
-        F.sum("support").alias("support"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"))
+    read_pages = pages.select("_k", "host", "html").mapInPandas(count, "host string, token string, support long, vector long, chars long")
+    return read_pages.groupBy("host", "token").agg(F.sum("support").alias("support"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"))
 
 
 def deduce(tokens: pd.DataFrame, pages: int) -> tuple[str | None, list[str]]:
@@ -197,40 +198,34 @@ def deduce(tokens: pd.DataFrame, pages: int) -> tuple[str | None, list[str]]:
     classes: dict[tuple, list] = defaultdict(list)
     for r in tokens.itertuples(index=False):
         classes[r.support, r.vector].append(r)
-    valid: set[str] = {""}
-    kept = []
-    for (support, _), members in sorted(classes.items(), key=lambda c: -c[0][0]):
-        tags = sorted({m.path for m in members if m.run is None}, key=lambda p: p.count("/"))
-        inside = [p for p in tags if p.rpartition("/")[0] in valid or p.rpartition("/")[0] in tags]
-        if len(inside) < len(tags):   # a class whose tags do not nest in the template is none of its classes
-            continue
-        valid.update(tags)
-        kept += [m for m in members if m.run is None or m.path in valid]
-    own = {(m.path, m.run) for m in kept if m.run is not None} if pages >= PAGES else set()
-    chars = {m.path: m.chars for m in kept if m.run is None}
-    if not chars:
-        return None, []
+    valid, kept = {""}, []
+    for _, members in sorted(classes.items(), key=lambda c: -c[0][0]):
+        tags = {m.token for m in members if m.token[0] == "/"}
+        # a class whose tags do not nest in each other and the template so far is none of its classes
+        if all(p.rpartition("/")[0] in valid | tags for p in tags):
+            valid |= tags
+            kept += members
+    own = sorted(m.token for m in kept if m.token[0] == "#") if pages >= PAGES else []
+    chars = {m.token: m.chars for m in kept if m.token[0] == "/"}
     under = {p: sum(c for q, c in chars.items() if q == p or q.startswith(p + "/")) for p in chars}
-    total = max(under.values())
     main = None
     for p in sorted(chars, key=lambda p: p.count("/")):   # go down while nearly all text is below
-        if total and under[p] >= 0.9 * total and (main is None or p.startswith(main + "/")):
+        if under[p] and under[p] >= 0.9 * max(under.values()) and (main is None or p.startswith(main + "/")):
             main = p
-    return main, sorted(f"{p}\t{r}" for p, r in own)
+    return main, own
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, main, own): a host's template from the tokens on at least OFTEN of its pages.
 
-    Tokens on fewer pages go before the host's are put together, so a host brings at most 1 / OFTEN times the tokens
-    of an average page, however many pages it has.
+    Tokens of a single page go before anything is dealt by host, and those on too few pages before a host's tokens are
+    put together, so a host brings at most 1 / OFTEN times the tokens of an average page, however many pages it has.
+    A host of one page has no template; its page speaks for itself.
     """
-    counted = settled(token_counts(pages))
-    size = counted.filter("path IS NULL").select("host", F.col("support").alias("pages"))
-    frequent = counted.filter("path IS NOT NULL").join(size, "host").filter(F.col("support") >= OFTEN * F.col("pages"))
+    size = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    frequent = token_counts(pages).filter("support > 1").join(size, "host").filter(F.col("support") >= OFTEN * F.col("pages"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.astype({"run": object}).where(pdf.notna(), None)
         main, own = deduce(pdf, int(pdf["pages"].iloc[0]))
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "main": [main], "own": [own]})
 
@@ -248,20 +243,21 @@ def extract(page: str, main: str | None, own: set[str]) -> str:
     shown = [(b, t) for b in blocks if not b.away and (t := b.text())]
     slot = [(b, t) for b, t in shown if main is not None and (b.path == main or b.path.startswith(main + "/"))] or shown
     slot = [(b, t) for b, t in slot if b.article] or slot
-    return "\n".join(t for b, t in slot if b.article or f"{b.path}\t{xxhash.xxh64_hexdigest(t)}" not in own)
+    return "\n".join(t for b, t in slot if b.article or _run(b) not in own)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row.
 
     Null html counts as empty and gives an empty text; pages without a host in their url share one template.  Repeated
-    rows come out once each, and count as one page each for the template.  Other columns are not read.  Pages meet
-    their host's template in a join that Spark splits where one host has most pages.
+    rows come out once each, and count as one page each for the template.  Other columns are not read.  Templates
+    are counted and sent to all tasks while they are few; beyond that pages meet them in a join by host, which Spark
+    splits where one host has most pages.
     """
     read_pages = pages.select("page_id", "url", text_of("html").alias("html"), _host(F.col("url")).alias("host"),
                               F.xxhash64("page_id", "url", "html").alias("_k"))
     known = settled(templates(read_pages))
-    joined = read_pages.join(known, "host", "left")
+    joined = read_pages.join(F.broadcast(known) if known.count() <= HOSTS else known, "host", "left")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
