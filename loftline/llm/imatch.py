@@ -22,8 +22,8 @@ from loftline.llm.common import settled, text_of
 
 LOW, HIGH, MOST = 1 / 2000, 1 / 4, 2_000_000
 SEEDS, LEVELS = 8, (4, 16, 64, 256)
-#: Ranges of ids that order the documents; each is sorted by a task of its own.
-RANGES = 256
+#: Documents in a range of ids, which one task sorts, and least and greatest number of ranges.
+RANGE, RANGES = 20_000, (256, 8192)
 
 
 def _words(text: Column) -> Column:
@@ -78,15 +78,26 @@ def _printed(sigs: str) -> Column:
 
 
 def _in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
-    """Rows with their range ``b`` in descending doc_id; null ids come last.  The borders are at most ``ranges`` quantiles."""
-    q = [k / ranges for k in range(1, ranges)]
-    borders = sorted(set(docs.select(F.percentile_approx("doc_id", q, 20000)).first()[0] or []))
-    above = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in borders]), lambda x: x > F.col("doc_id"))) if borders else F.lit(0)
-    return docs.select("doc_id", "t", F.when(F.col("doc_id").isNull(), F.lit(ranges + 1)).otherwise(above).alias("b"),
-                       F.bitwise_not("doc_id").alias("o1"), F.md5("t").alias("o2"))
-
+    """Rows with their range ``b`` in descending doc_id; null ids come last.
 
-def with_next(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
+    The borders are at most ``ranges`` quantiles, in order; a row looks among every 64th of them first and then among
+    the 64 that are left, so it compares with few whatever their number.
+    """
+    q = [k / ranges for k in range(1, ranges)]
+    borders = sorted(set(docs.select(F.percentile_approx("doc_id", q, max(20000, 4 * ranges))).first()[0] or []))
+    row = docs.select("doc_id", "t", F.bitwise_not("doc_id").alias("o1"), F.md5("t").alias("o2"))
+    if not borders:
+        return row.withColumn("b", F.lit(0))
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    over = lambda xs: F.size(F.filter(xs, lambda x: x > F.col("doc_id")))
+    heads = borders[::64]
+    row = row.withColumn("_j", F.lit(len(heads)) - over(longs(heads)))   # blocks that do not begin above the id
+    rest = F.when(F.col("_j") > 0, over(F.slice(longs(borders), (F.col("_j") - 1) * 64 + 1, 64))).otherwise(0)
+    above = F.lit(len(borders)) - F.least(F.col("_j") * 64, F.lit(len(borders))) + rest
+    return row.withColumn("b", F.when(F.col("doc_id").isNull(), F.lit(len(borders) + 1)).otherwise(above)).drop("_j")
+
+
+def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     """(b, rn, halo, doc_id, t, nt): nt is the text of the next document in descending doc_id, of the first after the last.
 
     Each range is ordered by itself; a copy of the next range's first row (``halo``) closes it.  Of rows that repeat an
@@ -106,18 +117,20 @@ def with_next(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", low: float = LOW, high: float = HIGH,
-                 ranges: int = RANGES) -> DataFrame:
+                 ranges: int | None = None) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
     The edited text has its last half replaced by the start of the next document's.  Null text counts as empty.  A text
     without terms in the band is known by the hash of the whole text.  Equal texts have equal fingerprints; repeated
-    rows follow one another.  A single row is its own next.  No other columns are read.
+    rows follow one another.  A single row is its own next.  No other columns are read.  Documents are put in order in
+    ``ranges`` of ids, by default as many as hold RANGE documents each.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("t"))
     terms = lexicon(base, low, high)
     small = terms.count() <= MOST
     words = terms.unionByName(docs.sparkSession.range(1).select(_every().alias("term")))
     half = F.col("n") - F.expr("n div 2").cast("int")
+    ranges = ranges or min(RANGES[1], max(RANGES[0], base.count() // RANGE))
     x = with_next(base, ranges).withColumn("n", F.length("t")).withColumn(
         "ed", F.when(~F.col("halo"), F.concat(F.substr("t", F.lit(1), half), F.substr("nt", F.lit(1), F.col("n") - half))))
     key = ["b", "rn", "halo", "doc_id", "n", "sha"]
