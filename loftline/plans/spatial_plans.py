@@ -127,7 +127,15 @@ def line_samples(d):
 
 
 LN = ("feat_v", "lines_v", "shots_v")
-@query("feature_assign")
+REACH = f"({DEFAULTS.assign_m}*1.0936133::DOUBLE)"
+OUTLINE = DIST("q", "smp", "course_id, hole, k", REACH).replace(f" AND sum(CASE WHEN ring=1 THEN {CROSS} ELSE 0 END)%2=0", "")
+
+
+@query("feature_assign", f"""WITH {EDGES}, {LNS}, {OUTLINE}, m AS (SELECT course_id, hole, feature_id, kind, min(dd) AS d FROM q WHERE kind NOT IN ('boundary','green') GROUP BY ALL HAVING min(dd)<={REACH}),
+ st AS (SELECT course_id, hole, x0 AS x, y0 AS y FROM lines_v), {hits('h', 'st', 'p.course_id, hole, x, y', "kind='tee'")},
+ w AS (SELECT m.*, CASE WHEN m.kind='tee' THEN h.feature_id IS NOT NULL ELSE d=0 END AS hit FROM m LEFT JOIN h ON h.course_id=m.course_id AND h.hole=m.hole AND h.feature_id=m.feature_id),
+ z AS (SELECT *, bool_or(hit) OVER (PARTITION BY course_id, feature_id) AS anyhit, row_number() OVER (PARTITION BY course_id, feature_id ORDER BY d, hole) AS rn FROM w)
+SELECT course_id, feature_id, kind, hole, {HU('d', 6)} AS d FROM z WHERE CASE WHEN kind IN ('trees','sand','water') THEN true WHEN anyhit THEN hit ELSE rn=1 END""", LN)
 def feature_assign(d):
     return P.assign_features(d.view("lines_v"), features(d).filter("kind <> 'boundary' AND kind <> 'green'"), DEFAULTS.yards("assign_m")).select("course_id", "feature_id", "kind", "hole", half_up("d", 6).alias("d"))
 
@@ -139,7 +147,10 @@ def near_hole_features(d):
     return x.groupBy("course_id", "hole", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("green_assign")
+@query("green_assign", f"""WITH {EDGES}, e AS (SELECT course_id, hole, x1 AS x, y1 AS y FROM lines_v),
+ g AS (SELECT e.course_id, e.hole, f.feature_id, any_value(sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy))) AS d, sum({CROSS})%2=1 AS ins FROM e JOIN feat_v f ON f.course_id=e.course_id AND f.kind='green' JOIN ed ON ed.feature_id=f.feature_id AND ring=0 GROUP BY ALL),
+ b AS (SELECT * FROM g WHERE ins OR d<={REACH} QUALIFY row_number() OVER (PARTITION BY course_id, hole ORDER BY ins DESC, CASE WHEN ins THEN 0 ELSE d END, feature_id)=1)
+SELECT l.course_id, l.hole, b.feature_id AS green_id FROM lines_v l LEFT JOIN b ON b.course_id=l.course_id AND b.hole=l.hole""", LN)
 def green_assign(d):
     return P.assign_greens(d.view("lines_v"), features(d).filter("kind = 'green'"), DEFAULTS.yards("assign_m"))
 
@@ -164,7 +175,13 @@ def at_green(d):
     return d.shots.select("shot_id", "course_id", "hole", F.col("sx").alias("x"), F.col("sy").alias("y"), "ex", "ey").join(g, ["course_id", "hole"])
 
 
-@query("green_distances")
+AT_GREEN = "z AS (SELECT s.shot_id, f.feature_id, sx AS px, sy AS py, ex, ey, cx, cy, sqrt((cx-sx)*(cx-sx)+(cy-sy)*(cy-sy)) AS c FROM shots_v s JOIN feat_v f ON f.course_id=s.course_id AND f.f_hole=s.hole AND f.kind='green')"
+
+
+@query("green_distances", f"""WITH {EDGES}, {AT_GREEN}, r AS (SELECT shot_id, z.feature_id, c, (cx-px)/nullif(c,0) AS dx, (cy-py)/nullif(c,0) AS dy, ax-px AS rx, ay-py AS ry, bx-ax AS ux, bw-ay AS uy FROM z JOIN ed ON ed.feature_id=z.feature_id AND ring=0),
+ tu AS (SELECT *, CASE WHEN abs(dx*uy-dy*ux)>=1e-12 THEN (rx*uy-ry*ux)/(dx*uy-dy*ux) END AS tt, CASE WHEN abs(dx*uy-dy*ux)>=1e-12 THEN (rx*dy-ry*dx)/(dx*uy-dy*ux) END AS uu FROM r),
+ m AS (SELECT shot_id, feature_id, any_value(c) AS c, min(tt) FILTER (tt>=0 AND uu>=0 AND uu<=1) AS f, max(tt) FILTER (tt>=0 AND uu>=0 AND uu<=1) AS b FROM tu GROUP BY ALL)
+SELECT shot_id, feature_id, {HU('coalesce(f, greatest(0, c-12))+1e-7', 1)} AS front, {HU('c+1e-7', 1)} AS center, {HU('coalesce(b, c+12)+1e-7', 1)} AS back FROM m""", NEEDS)
 def green_distances(d):
     g = P.green_distances(at_green(d))
     return g.select("shot_id", "feature_id", *[half_up(F.col(f) + 1e-7, 1).alias(f) for f in ("front", "center", "back")])
@@ -178,7 +195,14 @@ def green_position(d):
     return P.green_position(at_green(d), "ex", "ey", "x", "y").select("shot_id", "feature_id", "v", "h")
 
 
-@query("pin_clamp")
+@query("pin_clamp", f"""WITH {EDGES}, {AT_GREEN}, t AS (SELECT shot_id, z.feature_id, ex AS x, ey AS y, cx, cy, k, ax, ay, bx, bw, greatest(0, least(1, ((ex-ax)*(bx-ax)+(ey-ay)*(bw-ay))/((bx-ax)*(bx-ax)+(bw-ay)*(bw-ay)))) AS tt FROM z JOIN ed ON ed.feature_id=z.feature_id AND ring=0),
+ n AS (SELECT *, ax+tt*(bx-ax) AS qx, ay+tt*(bw-ay) AS qy, {SEGD('x', 'y')} AS d FROM t),
+ q AS (SELECT shot_id, feature_id, any_value(x) AS px, any_value(y) AS py, any_value(cx) AS cx, any_value(cy) AS cy, sum({CROSS})%2=1 AS ins, min(d) AS d, arg_min(qx, (d, qx, qy)) AS qx, arg_min(qy, (d, qx, qy)) AS qy FROM n GROUP BY ALL),
+ w AS (SELECT *, sqrt((qx-cx)*(qx-cx)+(qy-cy)*(qy-cy)) AS s FROM q WHERE ins OR d<=3),
+ st AS (SELECT *, qx+(cx-qx)*i*0.25/nullif(s,0) AS x, qy+(cy-qy)*i*0.25/nullif(s,0) AS y FROM (SELECT *, unnest(range(1, greatest(1, CAST(ceil(s/0.25) AS BIGINT)-1)+1)) AS i FROM w WHERE NOT ins)),
+ ok AS (SELECT shot_id, st.feature_id, i, any_value(x) AS x, any_value(y) AS y FROM st JOIN ed ON ed.feature_id=st.feature_id AND ring=0 GROUP BY ALL HAVING sum({CROSS})%2=1),
+ b AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY shot_id, feature_id ORDER BY i)=1)
+SELECT shot_id, w.feature_id, {HU('CASE WHEN ins THEN px ELSE coalesce(b.x, cx) END', 4)} AS x, {HU('CASE WHEN ins THEN py ELSE coalesce(b.y, cy) END', 4)} AS y FROM w LEFT JOIN b USING (shot_id, feature_id)""", NEEDS)
 def pin_clamp(d):
     """P-27: taps within 3 yards of the green pulled inside it."""
     t = at_green(d).filter(G.distance("ring", "ex", "ey") <= 3.0)
