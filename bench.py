@@ -9,7 +9,7 @@ from loftline.session import build_session
 
 HEADLINE = ("miss_summary", "closeout", "tendencies", "weighted_median", "evidence", "hole_review", "match_points", "last5_rolling", "strokes_gained",
             "expected_strokes", "plain_pick", "lww_merge", "import_upsert", "surface_classify", "raster_bin", "plane_fit", "weather_asof", "trail_stops", "recency_weights",
-            "aggression_scorecard")
+            "aggression_scorecard", "idw_elevation", "overlay_merge", "lie_confidence")
 
 
 def main() -> None:

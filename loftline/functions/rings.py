@@ -85,9 +85,12 @@ def centroid(ring) -> Column:
 
 
 def ray_hits(ax, ay, bx, by, ring) -> Column:
-    """Distances from (ax, ay) at which the ray toward (bx, by) meets the ring, ascending."""
+    """Distances from (ax, ay) at which the ray toward (bx, by) meets the ring, ascending; none if the two points are one.
+
+    A ray through a vertex meets at least one of its edges, whatever the rounding.
+    """
     ln = F.hypot(c(bx) - c(ax), c(by) - c(ay))
-    dx, dy = (c(bx) - c(ax)) / F.nullif(ln, F.lit(0.0)), (c(by) - c(ay)) / F.nullif(ln, F.lit(0.0))
+    dx, dy = (c(bx) - c(ax)) / F.when(ln > 1e-9, ln), (c(by) - c(ay)) / F.when(ln > 1e-9, ln)
 
     def t_of(e):
         ex, ey = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
@@ -95,7 +98,7 @@ def ray_hits(ax, ay, bx, by, ring) -> Column:
         rx, ry = e["a"]["x"] - c(ax), e["a"]["y"] - c(ay)
         safe = F.when(F.abs(den) >= 1e-12, den)
         t, u = (rx * ey - ry * ex) / safe, (rx * dy - ry * dx) / safe
-        return F.when((t >= 0) & (u >= 0) & (u <= 1), t)
+        return F.when((t >= 0) & (u >= -1e-9) & (u <= 1 + 1e-9), t)
 
     return F.array_sort(F.filter(F.transform(edges(ring), t_of), lambda v: v.isNotNull()))
 

@@ -39,14 +39,32 @@ def vocabulary(d):
     return d.part.select("p_partkey", L.map_club(name).alias("club"), L.map_lie(lie).alias("lie"))
 
 
-@query("flatten_rounds")
+CATS = {"driving": "lie='tee' AND shot_type<>'putt'", "approach": "lie<>'tee' AND shot_type IN ('full','finesse')", "shortGame": "lie<>'tee' AND shot_type='shortGame'", "putting": "shot_type='putt'"}
+
+
+@query("flatten_rounds", f"""WITH c AS (SELECT *, CASE {' '.join(f"WHEN {w} THEN {i}" for i, w in enumerate(CATS.values()))} END AS rank FROM shots_v),
+ w AS (SELECT *, CAST(row_number() OVER (PARTITION BY round_id, hole ORDER BY rank, shot_id) AS INT) AS no FROM c),
+ m AS (SELECT *, part_no%3 AS note FROM w)
+SELECT CAST(round_id AS VARCHAR) AS key, CAST(hole AS INT) AS hole, no AS shot_no, CASE rank WHEN 0 THEN 'driving' WHEN 1 THEN 'approach' WHEN 2 THEN 'shortGame' ELSE 'putting' END AS category,
+ CASE WHEN rank=3 THEN 'Putter' ELSE club END AS club_id, CASE rank WHEN 0 THEN 'tee' WHEN 3 THEN 'green' ELSE lie END AS start_lie, coalesce(end_lie, 'rough') AS end_lie,
+ CASE WHEN rank=3 THEN 'putt' WHEN rank=2 AND to_pin_yds<50 THEN 'finesse' ELSE 'full' END AS shot_type,
+ CASE WHEN rank=0 THEN CAST(300+hole*10 AS DOUBLE) WHEN rank=3 THEN NULL ELSE CAST(to_pin_yds AS DOUBLE) END AS start_yds, CASE WHEN rank=3 THEN CAST(putt_ft AS DOUBLE) END AS putt_ft,
+ rank=3 AND part_no%2=0 AS made,
+ CASE WHEN rank=0 THEN NULL WHEN rank=3 AND part_no%2=0 THEN 0 WHEN note=0 THEN -1 WHEN note=1 THEN 1 END AS dist_sign,
+ CASE WHEN rank=0 THEN CAST(sign(lat_miss_yds) AS INT) WHEN rank=3 AND part_no%2=0 THEN 0 WHEN note=0 THEN -1 WHEN note=2 THEN 1 END AS lat_sign FROM m""", ("shots_v",))
 def flatten_rounds(d):
-    """O-02: nested round documents built from the tables, parsed back and flattened."""
-    s = d.shots.filter("shot_type <> 'putt'").groupBy("round_id").agg(F.array_sort(F.collect_list(F.struct(F.col("hole"), F.lower("club").alias("club"), F.col("to_pin_yds").alias("startYds"), F.lit("rough").alias("startLie"),
-                                                                                                        F.lit("fairway").alias("endLie"), F.lit("short left").alias("missNote"), F.col("putt_ft").alias("toHoleFt")))).alias("approach"))
-    doc = s.select(F.col("round_id").cast("string").alias("key"), F.to_json(F.struct(F.lit(1).alias("schema"), F.struct(F.lit("2026-01-05").alias("date")).alias("round"), "approach")).alias("j"))
-    parsed = doc.select("key", F.from_json("j", L.ROUND).alias("r")).select("key", "r.*")
-    return L.flatten(parsed).select("key", "hole", "shot_no", "club_id", "shot_type", "dist_sign", "lat_sign")
+    """O-02/O-05: round documents of all four categories built from the tables, parsed back and flattened."""
+    rank = F.expr("CASE " + " ".join(f"WHEN {w} THEN '{c}'" for c, w in CATS.items()) + " END")
+    note = F.when(F.col("part_no") % 3 == 0, "short left").when(F.col("part_no") % 3 == 1, "long").otherwise("right")
+    row = F.struct("shot_id", F.col("hole").cast("int").alias("hole"), F.lower("club").alias("club"), F.col("to_pin_yds").cast("double").alias("startYds"), F.col("lie").alias("startLie"), F.coalesce("end_lie", F.lit("rough")).alias("endLie"),
+                   F.abs("lat_miss_yds").alias("offlineYds"), F.when(F.col("lat_miss_yds") < 0, "left").otherwise("right").alias("side"), note.alias("missNote"), F.col("putt_ft").cast("double").alias("startFt"), F.when(F.col("part_no") % 2 == 0, "make").otherwise("miss").alias("result"))
+    bare = {"driving": ["startFt", "startYds"], "approach": ["startFt"], "shortGame": ["startFt"], "putting": ["startYds", "startLie"]}
+    of = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("_c") == c, row))), lambda r: r.dropFields("shot_id", *bare[c], *([] if c == "putting" else ["result"]), *(["missNote"] if c == "driving" else [])))
+    s = d.shots.withColumn("_c", rank).groupBy("round_id").agg(*[of(c).alias(c) for c in CATS])
+    head = F.struct(F.lit("2026-01-05").alias("date"), F.transform(F.sequence(F.lit(1), F.lit(18)), lambda h: (h * 10 + 300).cast("double")).alias("yardsPerHoleSP"))
+    doc = s.select(F.col("round_id").cast("string").alias("key"), F.to_json(F.struct(F.lit(1).alias("schema"), head.alias("round"), *CATS)).alias("j"))
+    f = L.flatten(doc.select("key", F.from_json("j", L.ROUND).alias("r")).select("key", "r.*"))
+    return f.select("key", "hole", "shot_no", "category", "club_id", F.coalesce("start_lie", F.when(F.col("category") == "putting", "green")).alias("start_lie"), "end_lie", "shot_type", "start_yds", "putt_ft", "made", "dist_sign", "lat_sign")
 
 
 @query("backup_roundtrip", "SELECT o_orderkey AS id, o_orderstatus AS body FROM orders")

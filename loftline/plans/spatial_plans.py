@@ -178,9 +178,9 @@ def at_green(d):
 AT_GREEN = "z AS (SELECT s.shot_id, f.feature_id, sx AS px, sy AS py, ex, ey, cx, cy, sqrt((cx-sx)*(cx-sx)+(cy-sy)*(cy-sy)) AS c FROM shots_v s JOIN feat_v f ON f.course_id=s.course_id AND f.f_hole=s.hole AND f.kind='green')"
 
 
-@query("green_distances", f"""WITH {EDGES}, {AT_GREEN}, r AS (SELECT shot_id, z.feature_id, c, (cx-px)/nullif(c,0) AS dx, (cy-py)/nullif(c,0) AS dy, ax-px AS rx, ay-py AS ry, bx-ax AS ux, bw-ay AS uy FROM z JOIN ed ON ed.feature_id=z.feature_id AND ring=0),
+@query("green_distances", f"""WITH {EDGES}, {AT_GREEN}, r AS (SELECT shot_id, z.feature_id, c, (cx-px)/CASE WHEN c>1e-9 THEN c END AS dx, (cy-py)/CASE WHEN c>1e-9 THEN c END AS dy, ax-px AS rx, ay-py AS ry, bx-ax AS ux, bw-ay AS uy FROM z JOIN ed ON ed.feature_id=z.feature_id AND ring=0),
  tu AS (SELECT *, CASE WHEN abs(dx*uy-dy*ux)>=1e-12 THEN (rx*uy-ry*ux)/(dx*uy-dy*ux) END AS tt, CASE WHEN abs(dx*uy-dy*ux)>=1e-12 THEN (rx*dy-ry*dx)/(dx*uy-dy*ux) END AS uu FROM r),
- m AS (SELECT shot_id, feature_id, any_value(c) AS c, min(tt) FILTER (tt>=0 AND uu>=0 AND uu<=1) AS f, max(tt) FILTER (tt>=0 AND uu>=0 AND uu<=1) AS b FROM tu GROUP BY ALL)
+ m AS (SELECT shot_id, feature_id, any_value(c) AS c, min(tt) FILTER (tt>=0 AND uu>=-1e-9 AND uu<=1+1e-9) AS f, max(tt) FILTER (tt>=0 AND uu>=-1e-9 AND uu<=1+1e-9) AS b FROM tu GROUP BY ALL)
 SELECT shot_id, feature_id, {HU('coalesce(f, greatest(0, c-12))+1e-7', 1)} AS front, {HU('c+1e-7', 1)} AS center, {HU('coalesce(b, c+12)+1e-7', 1)} AS back FROM m""", NEEDS)
 def green_distances(d):
     g = P.green_distances(at_green(d))
