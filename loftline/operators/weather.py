@@ -31,18 +31,41 @@ def parse_hours(docs: DataFrame, column: str) -> DataFrame:
                     to_f("h.dew_point_2m", "units.t").alias("dew_f"), F.col("h.cloud_cover").alias("cloud"), to_mph("h.wind_speed_10m", "units.w").alias("wind"))
 
 
+def by_hour(hours: DataFrame) -> DataFrame:
+    """Readings of one course and time put together, so that a question meets a time once however many readings it has."""
+    return hours.groupBy("course_id", "t_s").agg(
+        F.sum("rain_mm").alias("rain"), F.min(F.col("temp_f") - F.col("dew_f")).alias("spread"),
+        F.sum("cloud").alias("cloud"), F.count("cloud").alias("cloud_n"), F.sum("wind").alias("wind"), F.count("wind").alias("wind_n"))
+
+
+def _asked(hours: DataFrame, asof: DataFrame, last: Column, span_s: int) -> DataFrame:
+    """Readings in (last - span, last] of each question, joined on course and day: a question looks at two days."""
+    day = F.floor(last / 86400)
+    q = asof.withColumn("_last", last).withColumn("_day", F.explode(F.array_distinct(F.array(day, F.floor((last - span_s) / 86400)))))
+    h = by_hour(hours).withColumn("_day", F.floor(F.col("t_s") / 86400))
+    return q.join(h, ["course_id", "_day"]).filter((F.col("t_s") <= F.col("_last")) & (F.col("t_s") > F.col("_last") - span_s))
+
+
+def _means() -> list[Column]:
+    return [F.min("spread").alias("spread"), (F.sum("cloud") / F.nullif(F.sum("cloud_n"), F.lit(0))).alias("cloud"), (F.sum("wind") / F.nullif(F.sum("wind_n"), F.lit(0))).alias("wind")]
+
+
 def rain_windows(hours: DataFrame, asof: DataFrame) -> DataFrame:
-    """A-27: rain over (asOf - 12 h, asOf] and (asOf - 24 h, asOf] per question, joined on course and day.
+    """A-27: rain over (asOf - 12 h, asOf] and (asOf - 24 h, asOf] per question, and spread, cloud and wind of the 24 hours."""
+    late = F.col("t_s") > F.col("_last") - 43200
+    g = _asked(hours, asof, F.col("asof_s"), 86400).groupBy("q_id").agg(F.sum(F.when(late, F.col("rain"))).alias("rain12"), F.sum("rain").alias("rain24"), *_means())
+    return asof.join(g, "q_id", "left")
+
 
-    Each question looks at two days only, so hours meet it through (course, day) keys, never as a whole history.
+def night_block(hours: DataFrame, asof: DataFrame) -> DataFrame:
+    """A-27: least spread, mean cloud and mean wind of the night: the 8 hours before ``sunrise_s``, cut at the question.
+
+    To a tenth; null where the night has no reading of a kind.
     """
-    q = asof.withColumn("day", F.explode(F.array(F.floor(F.col("asof_s") / 86400), F.floor(F.col("asof_s") / 86400) - 1)))
-    h = hours.withColumn("day", F.floor(F.col("t_s") / 86400))
-    j = q.join(h, ["course_id", "day"]).filter((F.col("t_s") <= F.col("asof_s")) & (F.col("t_s") > F.col("asof_s") - 86400))
-    late = F.col("t_s") > F.col("asof_s") - 43200
-    g = j.groupBy("q_id").agg(F.sum(F.when(late, F.col("rain_mm"))).alias("rain12"), F.sum("rain_mm").alias("rain24"), F.min(F.col("temp_f") - F.col("dew_f")).alias("spread"),
-                              F.avg("cloud").alias("cloud"), F.avg("wind").alias("wind"))
-    return asof.join(g, "q_id", "left")
+    rise = F.least("sunrise_s", "asof_s")
+    got = _asked(hours, asof, rise, 28800).filter(F.col("t_s") > F.col("sunrise_s") - 28800)
+    g = got.groupBy("q_id").agg(*_means())
+    return asof.join(g, "q_id", "left").withColumns({c_: r1(F.col(c_) + 1e-9) for c_ in ("spread", "cloud", "wind")})
 
 
 def conditions(df: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loftline.functions.numbers import half_up
+from loftline.operators import nines as N
 from loftline.operators import weather as W
 from loftline.plans.registry import HU, query
 from loftline.settings import DEFAULTS
@@ -103,6 +104,48 @@ def feature_twins(d):
     return M.mirror_links(links, holes, 9)
 
 
+HOLES27 = """nh AS (SELECT p_partkey%60 AS course_id, CAST(CAST(floor(p_partkey/60) AS INT)%27+1 AS INT) AS ref, CAST(CASE WHEN p_partkey%60<50 THEN CAST(floor(p_partkey/60) AS INT)%27+1 ELSE p_partkey END AS VARCHAR) AS key,
+  CASE WHEN p_partkey%3=0 THEN CASE CAST(floor(CAST(floor(p_partkey/60) AS INT)%27/9) AS INT) WHEN 0 THEN 'Village ' WHEN 1 THEN 'School ' ELSE 'Mill-pond ' END || CAST(CAST(floor(p_partkey/60) AS INT)%9+1 AS VARCHAR) END AS name, min(p_partkey) AS id FROM part GROUP BY ALL)"""
+
+
+def holes27(d):
+    k = F.floor(F.col("p_partkey") / 60).cast("int") % 27
+    word = F.when(F.floor(k / 9) == 0, "Village ").when(F.floor(k / 9) == 1, "School ").otherwise("Mill-pond ")
+    h = d.part.select((F.col("p_partkey") % 60).alias("course_id"), (k + 1).alias("ref"), F.when(F.col("p_partkey") % 60 < 50, k + 1).otherwise(F.col("p_partkey")).cast("string").alias("key"),
+                      F.when(F.col("p_partkey") % 3 == 0, F.concat(word, (k % 9 + 1).cast("string"))).alias("name"))
+    return h.distinct()
+
+
+def routings27(d):
+    ids = d.part.select((F.col("p_partkey") % 60).alias("course_id")).distinct()
+    named = F.col("course_id") % 3 == 0
+    words = lambda *w: F.array(*[F.lit(x) for x in w])
+    return ids.select("course_id", F.when(named, words("Village", "School", "Mill-pond")).when(F.col("course_id") % 3 == 1, words("1", "2", "3")).otherwise(words("Oak", "Elm", "Ash")).alias("club"),
+                      F.when(named, words("School", "Mill-pond")).when(F.col("course_id") % 3 == 1, words("3", "1")).otherwise(words("Elm", "Ash")).alias("play"), (F.col("course_id") % 2 == 0).alias("ordered"))
+
+
+MAP27 = f"""{HOLES27}, nine AS (SELECT course_id, key, CASE WHEN course_id%3=0 THEN CASE split_part(name, ' ', 1) WHEN 'Village' THEN 1 WHEN 'School' THEN 2 WHEN 'Mill-pond' THEN 3 END ELSE CAST(ceil(ref/9.0) AS INT) END AS nine, (ref-1)%9+1 AS hole, count(*) OVER (PARTITION BY course_id, ref) AS same FROM nh),
+ whole AS (SELECT course_id, nine FROM nine WHERE nine=ANY(CASE course_id%3 WHEN 0 THEN [2,3] WHEN 1 THEN [3,1] ELSE [2,3] END) GROUP BY ALL HAVING count(*)=9 AND count(DISTINCT hole)=9),
+ good AS (SELECT course_id FROM whole GROUP BY 1 HAVING count(*)=2), dup AS (SELECT DISTINCT course_id FROM nine WHERE same>1),
+ mp AS (SELECT course_id, key, CAST(nine AS INT) AS nine, CAST(hole AS INT) AS hole FROM nine WHERE course_id IN (SELECT course_id FROM good) AND (course_id%3=0 OR (course_id NOT IN (SELECT course_id FROM dup) AND (course_id%3=1 OR course_id%2=0))))"""
+
+
+@query("nine_map", f"WITH {MAP27} SELECT course_id, key, nine, hole FROM mp")
+def nine_map(d):
+    return N.nine_map(holes27(d), routings27(d))
+
+
+@query("card_hole_key", f"""WITH {MAP27}, c AS (SELECT DISTINCT course_id, CASE WHEN course_id IN (SELECT course_id FROM mp) THEN CASE course_id%3 WHEN 1 THEN [3,1] ELSE [2,3] END END AS play FROM nh), n AS (SELECT *, unnest(range(1,19)) AS card_hole FROM c),
+ f AS (SELECT course_id, nine, hole, min(key) AS k FROM mp GROUP BY ALL)
+SELECT n.course_id, CAST(card_hole AS INT) AS card_hole, CASE WHEN play IS NULL THEN (SELECT min(key) FROM nh WHERE nh.course_id=n.course_id AND nh.key=CAST(card_hole AS VARCHAR)) ELSE f.k END AS key FROM n LEFT JOIN f ON f.course_id=n.course_id AND f.nine=play[CASE WHEN card_hole<=9 THEN 1 ELSE 2 END] AND f.hole=(card_hole-1)%9+1""")
+def card_hole_key(d):
+    h, r = holes27(d), routings27(d)
+    m = N.nine_map(h, r)
+    play = F.when(F.col("course_id") % 3 == 1, F.array(F.lit(3), F.lit(1))).otherwise(F.array(F.lit(2), F.lit(3)))
+    c = r.select("course_id").join(m.select("course_id", F.lit(1).alias("_m")).distinct(), "course_id", "left").select("course_id", F.when(F.col("_m").isNotNull(), play).alias("play"))
+    return N.card_hole_keys(c, h, m)
+
+
 @query("coverage_check", """WITH m AS (SELECT p_partkey%40 AS course_id, CAST(p_partkey%18+1 AS INT) AS hole, bool_or(p_size%7=0) AS g FROM part WHERE p_size%5=0 GROUP BY ALL) SELECT c.course_id, CAST(h AS INT) AS hole, CASE WHEN m.g IS NULL THEN 'no line' ELSE 'no green' END AS reason FROM (SELECT DISTINCT p_partkey%40 AS course_id FROM part) c CROSS JOIN (SELECT unnest(range(1,19)) AS h) LEFT JOIN m ON m.course_id=c.course_id AND m.hole=h WHERE m.g IS NULL OR NOT m.g""")
 def coverage_check(d):
     k = F.col("p_partkey")
@@ -133,10 +176,25 @@ def rain_windows(d):
     return rain(d).select("q_id", *[half_up(F.col(f) + 1e-9, 4).alias(f) for f in ("rain12", "rain24", "spread")])
 
 
-@query("course_conditions", f"""WITH {RAIN} SELECT q_id, CASE WHEN rain12>=5 OR rain24>=10 THEN 'wet' WHEN q_id%7<3 AND spread<=3 AND cloud<=40 AND wind<=5 THEN 'wet' WHEN q_id%12+1 IN (6,7,8,9) AND q_id%24<10 THEN 'wet' WHEN q_id%5>=3 AND q_id%3<2.5 AND rain24<2.5 AND q_id%50+50>=85 THEN 'firm' ELSE 'normal' END AS conditions FROM w""")
+NIGHT = f"{RAIN}, nq AS (SELECT *, asof_s-asof_s%86400+18000+q_id%3*3600 AS rise FROM q), nt AS (SELECT nq.q_id, floor((min(temp_f-dew_f)+1e-9)*10+0.5)/10 AS spread, floor((avg(cloud)+1e-9)*10+0.5)/10 AS cloud, floor((avg(wind)+1e-9)*10+0.5)/10 AS wind FROM nq LEFT JOIN h ON h.course_id=nq.course_id AND t_s>rise-28800 AND t_s<=least(rise, asof_s) GROUP BY nq.q_id)"
+
+
+def night(d):
+    h = hours(d)
+    rise = F.col("t_s") - F.col("t_s") % 86400 + 18000 + F.col("event_id") % 3 * 3600
+    return W.night_block(h.drop("event_id"), h.filter("event_id % 4 = 0").select(F.col("event_id").alias("q_id"), "course_id", F.col("t_s").alias("asof_s"), rise.alias("sunrise_s")))
+
+
+@query("night_block", f"WITH {NIGHT} SELECT q_id, spread, cloud, wind FROM nt")
+def night_block(d):
+    """A-27: a quarter of the readings ask, each about the night before it."""
+    return night(d).select("q_id", "spread", "cloud", "wind")
+
+
+@query("course_conditions", f"""WITH {NIGHT} SELECT q_id, CASE WHEN rain12>=5 OR rain24>=10 THEN 'wet' WHEN q_id%7<3 AND spread<=3 AND cloud<=40 AND wind<=5 THEN 'wet' WHEN q_id%12+1 IN (6,7,8,9) AND q_id%24<10 THEN 'wet' WHEN q_id%5>=3 AND q_id%3<2.5 AND rain24<2.5 AND q_id%50+50>=85 THEN 'firm' ELSE 'normal' END AS conditions FROM (SELECT q_id, rain12, rain24 FROM w) JOIN nt USING (q_id)""")
 def course_conditions(d):
     k = F.col("q_id")
-    r = rain(d).withColumn("since_sunrise_h", (k % 7).cast("double")).withColumn("month", k % 12 + 1).withColumn("hour", k % 24).withColumn("dry_days", k % 5).withColumn("day_mm_max", (k % 3).cast("double")).withColumn("tmax", (k % 50 + 50).cast("double"))
+    r = rain(d).drop("spread", "cloud", "wind").join(night(d).select("q_id", "spread", "cloud", "wind"), "q_id").withColumn("since_sunrise_h", (k % 7).cast("double")).withColumn("month", k % 12 + 1).withColumn("hour", k % 24).withColumn("dry_days", k % 5).withColumn("day_mm_max", (k % 3).cast("double")).withColumn("tmax", (k % 50 + 50).cast("double"))
     return W.conditions(r).select("q_id", "conditions")
 
 
