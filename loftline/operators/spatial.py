@@ -169,6 +169,24 @@ def assign_greens(lines: DataFrame, greens: DataFrame, reach: float) -> DataFram
     return lines.select("course_id", "hole").join(best, ["course_id", "hole"], "left")
 
 
+def tee_places(lines: DataFrame, tees: DataFrame, share: float = 0.6, clear: float = 100 * YARDS_PER_METRE) -> DataFrame:
+    """P-18: what stands for each hole's tee: its tee polygons, or where none is mapped the first ``share`` of its line,
+    ended ``clear`` yards before the green; a line is a ring of two points, which holds nothing but has a distance."""
+    ln = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    part = F.when(ln > 0, F.greatest(F.lit(0.0), F.least(F.lit(share), (ln - clear) / F.nullif(ln, F.lit(0.0))))).otherwise(0.0)
+    end = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * part
+    bare = lines.withColumn("f_hole", F.col("hole")).join(tees.select("course_id", "f_hole").distinct(), ["course_id", "f_hole"], "left_anti")
+    stretch = bare.select("course_id", F.lit(None).cast("long").alias("feature_id"), F.lit("tee").alias("kind"), "f_hole",
+                          F.array(G.pt("x0", "y0"), G.pt(end("x0", "x1"), end("y0", "y1"))).alias("ring"), F.lit(None).cast("array<array<struct<x:double,y:double>>>").alias("inner"))
+    return tees.select("course_id", "feature_id", "kind", "f_hole", "ring", "inner").unionByName(stretch)
+
+
+def hole_by_tee(points: DataFrame, lines: DataFrame, tees: DataFrame, key: str, reach: float) -> DataFrame:
+    """P-18: from an unknown hole, the hole whose tee is nearest, within reach of the fix."""
+    j = near(points, tee_places(lines, tees), reach).withColumn("dd", G.distance("ring", "x", "y")).filter(F.col("dd") <= reach)
+    return j.groupBy(key).agg(F.min(F.struct("dd", "f_hole")).alias("m")).select(key, F.col("m.f_hole").alias("hole"), F.col("m.dd").alias("dist"))
+
+
 def best_boundary(lines: DataFrame, outlines: DataFrame) -> DataFrame:
     """P-09: per course the outline holding the most line ends."""
     ends = lines.select("course_id", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("e")).select("course_id", "e.*")

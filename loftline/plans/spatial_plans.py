@@ -160,12 +160,17 @@ def course_boundary(d):
     return P.best_boundary(d.view("lines_v"), features(d).filter("kind = 'boundary'"))
 
 
-@query("hole_by_tee", f"WITH {EDGES}, st AS (SELECT shot_id, course_id, sx AS x, sy AS y FROM shots_v), {DIST('q', 'st', 'shot_id', '30*1.0936133::DOUBLE')}, r AS (SELECT shot_id, f_hole, dd, row_number() OVER (PARTITION BY shot_id ORDER BY dd, f_hole) AS rn FROM q JOIN feat_v USING (feature_id) WHERE q.kind='tee' AND dd<=30*1.0936133::DOUBLE) SELECT shot_id, f_hole AS hole, {HU('dd', 1)} AS dist FROM r WHERE rn=1", NEEDS)
+@query("hole_by_tee", f"""WITH {EDGES}, st AS (SELECT shot_id, course_id, sx AS x, sy AS y FROM shots_v), {DIST('q', 'st', 'shot_id', '30*1.0936133::DOUBLE')},
+ bare AS (SELECT course_id, hole, x0 AS ax, y0 AS ay, x1-x0 AS ux, y1-y0 AS uy, sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)) AS l FROM lines_v WHERE NOT EXISTS (SELECT 1 FROM feat_v f WHERE f.course_id=lines_v.course_id AND f.f_hole=lines_v.hole AND f.kind='tee')),
+ sg AS (SELECT course_id, hole, ax, ay, ux*p AS vx, uy*p AS vy FROM (SELECT *, greatest(0, least(0.6, (l-100*1.0936133::DOUBLE)/l)) AS p FROM bare)),
+ bl AS (SELECT shot_id, hole AS f_hole, sqrt(pow(x-(ax+t*vx),2)+pow(y-(ay+t*vy),2)) AS dd FROM (SELECT *, CASE WHEN vx=0 AND vy=0 THEN 0 ELSE greatest(0, least(1, ((x-ax)*vx+(y-ay)*vy)/(vx*vx+vy*vy))) END AS t FROM st JOIN sg USING (course_id))),
+ al AS (SELECT shot_id, f_hole, dd FROM q JOIN feat_v USING (feature_id) WHERE q.kind='tee' UNION ALL SELECT * FROM bl)
+SELECT shot_id, f_hole AS hole, {HU('dd', 1)} AS dist FROM al WHERE dd<=30*1.0936133::DOUBLE QUALIFY row_number() OVER (PARTITION BY shot_id ORDER BY dd, f_hole)=1""", (*NEEDS, "lines_v"))
 def hole_by_tee(d):
-    """P-18: from an unknown hole, the nearest tee within 30 metres of the fix."""
+    """P-18: from an unknown hole, the nearest tee within 30 metres of the fix, the start of the line where no tee is mapped."""
     st = d.shots.select("shot_id", "course_id", F.col("sx").alias("x"), F.col("sy").alias("y"))
-    j = P.near(st, features(d).filter("kind = 'tee'"), DEFAULTS.yards("tee_detect_m")).withColumn("dd", G.distance("ring", "x", "y")).filter(F.col("dd") <= DEFAULTS.yards("tee_detect_m"))
-    return j.groupBy("shot_id").agg(F.min(F.struct("dd", "f_hole")).alias("m")).select("shot_id", F.col("m.f_hole").alias("hole"), half_up("m.dd", 1).alias("dist"))
+    h = P.hole_by_tee(st, d.view("lines_v"), features(d).filter("kind = 'tee'"), "shot_id", DEFAULTS.yards("tee_detect_m"))
+    return h.select("shot_id", "hole", half_up("dist", 1).alias("dist"))
 
 
 # ---- greens and fairways seen from shots ----------------------------------------------------------------

@@ -33,27 +33,57 @@ def features(elements: DataFrame) -> DataFrame:
     return e.filter(F.when(F.col("kind") == "hole", F.size("ring") >= 2).otherwise(F.size("ring") >= 3)).select("id", "kind", F.col("tags")["ref"].alias("ref"), F.col("tags")["name"].alias("name"), "ring")
 
 
+def _rings(members: list[list[tuple]]) -> list[list[tuple]]:
+    """Rings of ways that share end points.
+
+    Each way is two arcs, one for each direction, filed under the point where it begins; an arc goes on with the first
+    arc of another way filed under its end.
+    """
+    arcs = [pts for way in members for pts in (way, way[::-1])]
+    begins: dict[tuple, list[int]] = {}
+    for a, pts in enumerate(arcs):
+        begins.setdefault(pts[0], []).append(a)
+    used, out = set(), []
+    for way in range(len(members)):
+        if way in used:
+            continue
+        used.add(way)
+        chain = [2 * way]
+        while arcs[chain[-1]][-1] != arcs[chain[0]][0]:
+            on = next((a for a in begins.get(arcs[chain[-1]][-1], ()) if a // 2 not in used), None)
+            if on is None:
+                break
+            used.add(on // 2)
+            chain.append(on)
+        out.append([arcs[chain[0]][0], *(p for a in chain for p in arcs[a][1:])])
+    return out
+
+
 def stitch_rings(segments: DataFrame) -> DataFrame:
-    """O-10: member ways of one relation joined end to end until each ring closes.
+    """O-10: member ways of one relation joined end to end until each ring closes; a relation has a bounded list of members.
 
-    The walk depends on order, and a relation holds a bounded list of members, so it runs per (relation, role).
     Columns: relation_id, role, pos, pts array<struct<lat,lon>>.
     """
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        rid, role = int(pdf.relation_id.iloc[0]), pdf.role.iloc[0]
-        todo = [[(p["lat"], p["lon"]) for p in pts] for pts in pdf.sort_values("pos").pts if len(pts) >= 2]
-        out = []
-        while todo:
-            ring = todo.pop(0)
-            while ring[0] != ring[-1]:
-                nxt = next((k for k, s in enumerate(todo) if ring[-1] in (s[0], s[-1])), None)
-                if nxt is None:
-                    break
-                s = todo.pop(nxt)
-                ring = ring + (s if s[0] == ring[-1] else s[::-1])[1:]
-            out.append((rid, role, len(out), [{"lat": a, "lon": b} for a, b in ring]))
-        return pd.DataFrame(out, columns=["relation_id", "role", "ring_no", "ring"])
-    return segments.groupBy("relation_id", "role").applyInPandas(walk, f"relation_id long, role string, ring_no int, ring {_PT}")
+    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
+        ways = [[(p["lat"], p["lon"]) for p in pts] for pts in pdf.sort_values("pos").pts if len(pts) >= 2]
+        rows = [(int(pdf.relation_id.iloc[0]), pdf.role.iloc[0], k, [{"lat": a, "lon": b} for a, b in ring]) for k, ring in enumerate(_rings(ways))]
+        return pd.DataFrame(rows, columns=["relation_id", "role", "ring_no", "ring"])
+    return segments.groupBy("relation_id", "role").applyInPandas(stitch, f"relation_id long, role string, ring_no int, ring {_PT}")
+
+
+def relation_features(elements: DataFrame) -> DataFrame:
+    """O-09/O-10: relations with their kind, a row for each closed outer ring, with the closed inner rings of the relation.
+
+    Rings come without the point that closes them; a relation none of whose outer rings closes falls out.
+    """
+    r = elements.filter("type = 'relation'").withColumn("kind", feature_kind()).filter("kind IS NOT NULL")
+    seg = r.select(F.col("id").alias("relation_id"), F.posexplode("members").alias("pos", "m")).filter("m.geometry IS NOT NULL")
+    seg = seg.select("relation_id", F.when(F.col("m.role") == "inner", "inner").otherwise("outer").alias("role"), "pos", F.col("m.geometry").alias("pts"))
+    g = F.col("ring")
+    rings = stitch_rings(seg).filter((F.size(g) >= 4) & (g[0] == F.element_at(g, -1))).withColumn("ring", F.slice(g, 1, F.size(g) - 1))
+    inner = rings.filter("role = 'inner'").groupBy("relation_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ring_no", "ring"))), lambda x: x["ring"]).alias("inner"))
+    out = rings.filter("role = 'outer'").join(inner, "relation_id", "left").join(r.select(F.col("id").alias("relation_id"), "kind", "tags"), "relation_id")
+    return out.select(F.col("relation_id").alias("id"), "ring_no", "kind", F.col("tags")["name"].alias("name"), "ring", "inner")
 
 
 def read_osm_xml(spark: SparkSession, path: str) -> DataFrame:

@@ -244,6 +244,15 @@ def test_stitch_rings_closes_reversed_members(spark):
     assert len(r) == 1 and r[0].ring[0] == r[0].ring[-1] and len(r[0].ring) == 4
 
 
+def test_relations_with_clearings(spark):
+    pt = lambda *ps: [{"lat": float(a), "lon": float(b)} for a, b in ps]
+    way = lambda role, *ps: {"type": "way", "role": role, "geometry": pt(*ps)}
+    rel = [(7, "relation", {"natural": "wood"}, None, [way("outer", (0, 0), (0, 9)), way("inner", (2, 2), (2, 3), (3, 3), (2, 2)), way("outer", (9, 9), (0, 9)), way("outer", (9, 9), (9, 0), (0, 0)), way("outer", (20, 20), (21, 21))]),
+           (8, "relation", {"golf": "bunker"}, None, [way("outer", (0, 0), (0, 1))])]
+    got = maps.relation_features(spark.createDataFrame(rel, "id long, type string, tags map<string,string>, geometry array<struct<lat:double,lon:double>>, members array<struct<type:string,role:string,geometry:array<struct<lat:double,lon:double>>>>")).collect()
+    assert [(r.id, r.kind, len(r.ring), len(r.inner), len(r.inner[0])) for r in got] == [(7, "trees", 4, 1, 3)]
+
+
 def test_shot_list_folder(spark):
     import json
     import os
