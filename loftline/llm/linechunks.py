@@ -18,7 +18,7 @@ SEEDS = 4
 CUT = "5"
 MIN_LINES, MIN_CHARS = 2, 150
 #: Repeated hashes that are broadcast at most: 50 bytes each.
-BROADCAST = 500_000
+BROADCAST = 200_000
 
 
 def _starts(seed: int) -> Column:
