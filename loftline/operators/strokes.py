@@ -1,7 +1,7 @@
 """Strokes-gained pricing: distance lookups, expected strokes, gains, finish chances, pattern statistics.
 
 Distances are priced at whole yards, so every range rule becomes a table with one row per yard and lie, joined by
-equality; beyond its last yard the price goes on along the handicap line.
+equality.  Past its last yard the baseline no longer changes; the handicap line goes on with the distance itself.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from loftline.functions.numbers import c, half_up, normal_cdf
 from loftline.operators.stats import ELL80_K, shrink
 from loftline.settings import BASELINE_PUTTS, BUCKET_LIE, DEFAULTS, SHORT_BAND_LIE, Settings, lookup
 
-#: Last yard of the price table; past it only the handicap line changes, which is straight.
+#: Last yard of the baseline table.
 MAX_YDS = 700
 
 
@@ -110,46 +110,52 @@ def handicap_prior(d, cfg: Settings = DEFAULTS) -> Column:
     return F.lit(cfg.hcp_blend) * (F.lit(n[0] - t[0]) + F.lit(n[1] - t[1]) * c(d))
 
 
-def expected_by_yard(base: DataFrame, bands: DataFrame, putts: DataFrame, putt_deficit: float, cfg: Settings = DEFAULTS) -> DataFrame:
-    """A-36 for every lie and whole yard: baseline, less the personal gain (or plus the handicap prior), plus the putting gap.
-
-    ``bands`` (band_lie, from_yds, to_yds, sg, prox_ft) holds short bands under 50 yards and approach buckets above;
-    ``putts`` (from_ft, to_ft, make_pct, three_pct).  All three are settings-sized, so is the result.
-    """
-    b = base.withColumn("band_lie", F.when(F.col("d") < 50, lookup(F.col("lie"), SHORT_BAND_LIE)).otherwise(lookup(F.col("lie"), BUCKET_LIE)))
-    b = b.withColumn("prox_lie", F.coalesce("band_lie", F.lit("rough")))
-    one = bands.select(F.col("band_lie").alias("_l"), "from_yds", "to_yds", "sg", "prox_ft")
-    j = b.join(one, (b["prox_lie"] == one["_l"]) & (b["d"] >= one["from_yds"]) & (b["d"] < one["to_yds"]), "left")
-    sg = F.when(F.col("band_lie").isNotNull(), F.col("sg"))
-    j = j.withColumn("_sg", sg).withColumn("_px", half_up("prox_ft")).drop("from_yds", "to_yds")
-    j = putt_join(j, putts, "_px")
-    mine = F.lit(1.0) + (1 - F.col("make_pct")) + F.col("three_pct")
-    gap = F.when(F.col("prox_ft").isNull(), F.lit(float(putt_deficit))).otherwise(F.greatest(F.lit(0.0), mine - putts_at("prox_ft")))
-    personal = F.when(F.col("_sg").isNull(), handicap_prior("d", cfg)).otherwise(-F.col("_sg"))
-    return j.select("lie", "d", (F.col("base") + personal + gap).alias("e"))
-
-
-def price(df: DataFrame, table: DataFrame, yds: str, lie: str, out: str, beyond: float = 0.0) -> DataFrame:
-    """Attach expected strokes: one equality join on (lie, whole yard); each yard past the table adds ``beyond``."""
+def price(df: DataFrame, table: DataFrame, yds: str, lie: str, out: str) -> DataFrame:
+    """Attach a price: one equality join on (lie, whole yard); past the last yard the baseline stays as it is there."""
     t = table.select(F.col("lie").alias("_l"), F.col("d").alias("_d"), F.col("e").alias(out))
     k = F.least(F.lit(MAX_YDS), half_up(yds)).cast("int")
-    past = F.when(half_up(yds) > MAX_YDS, (half_up(yds) - MAX_YDS) * beyond).otherwise(0.0)
     l = F.when(F.col(lie) == "trees", "recovery").when(F.col(lie) == "green", "fairway").otherwise(F.col(lie))
     df = df.withColumn("_kd", k).withColumn("_kl", l)
-    return df.join(t, (df["_kd"] == t["_d"]) & (df["_kl"] == t["_l"]), "left").withColumn(out, F.col(out) + past).drop("_kd", "_kl", "_d", "_l")
-
+    return df.join(t, (df["_kd"] == t["_d"]) & (df["_kl"] == t["_l"]), "left").drop("_kd", "_kl", "_d", "_l")
 
-def handicap_slope(cfg: Settings = DEFAULTS) -> float:
-    """Strokes that each further yard adds to the handicap line."""
-    return cfg.hcp_blend * (cfg.hcp_line_ninety[1] - cfg.hcp_line_tour[1])
 
+def expected_for(df: DataFrame, base: DataFrame, yds: str, lie: str, out: str, putt_deficit: float, cfg: Settings = DEFAULTS) -> DataFrame:
+    """A-36 by the player's own profile, which the row carries: ``bands`` (J-06) and ``putts`` (J-07) as arrays.
 
-def strokes_gained(shots: DataFrame, table: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
-    """A-37: E(start) - E(end) - 1 - penalty strokes; a holed shot ends at 0, on the green at expected putts."""
-    far = handicap_slope(cfg)
-    s = price(price(shots, table, "to_pin_yds", "lie", "e0", far), table, "end_to_pin", "end_lie", "e1", far)
+    ``bands`` array<struct<band_lie,from_yds,to_yds,sg,prox_ft>>, ``putts`` array<struct<from_ft,to_ft,make_pct,three_pct>>:
+    a few dozen entries a player, joined to shots once by player, so no table of players x lies x yards is built.
+    """
+    d = half_up(yds)
+    flat = F.when(F.col(lie) == "trees", "recovery").when(F.col(lie) == "green", "fairway").otherwise(F.col(lie))
+    own = price(df, base.withColumnRenamed("base", "e"), yds, lie, "_base").withColumns({
+        "_d": d, "_band_lie": F.when(d < 50, lookup(flat, SHORT_BAND_LIE)).otherwise(lookup(flat, BUCKET_LIE))})
+    own = own.withColumn("_b", F.get(F.filter("bands", lambda b: (b["band_lie"] == F.coalesce("_band_lie", F.lit("rough"))) & (F.col("_d") >= b["from_yds"]) & (F.col("_d") < b["to_yds"])), F.lit(0)))
+    own = own.withColumn("_px", half_up(F.col("_b.prox_ft")))
+    own = own.withColumn("_p", F.get(F.filter("putts", lambda p: (F.col("_px") >= p["from_ft"]) & (p["to_ft"].isNull() | (F.col("_px") < p["to_ft"] + 1))), F.lit(0)))
+    mine = F.lit(1.0) + (1 - F.col("_p.make_pct")) + F.col("_p.three_pct")
+    gap = F.when(F.col("_b.prox_ft").isNull(), F.lit(float(putt_deficit))).otherwise(F.greatest(F.lit(0.0), mine - putts_at("_b.prox_ft")))
+    sg = F.when(F.col("_band_lie").isNotNull(), F.col("_b.sg"))
+    personal = F.when(sg.isNull(), handicap_prior("_d", cfg)).otherwise(-sg)
+    return own.withColumn(out, F.col("_base") + personal + gap).drop("_base", "_d", "_band_lie", "_b", "_px", "_p")
+
+
+def category() -> Column:
+    """A-37: the part of the game that a shot belongs to."""
+    return (F.when(F.col("shot_type") == "putt", "putting").when(F.col("lie") == "tee", "off the tee")
+            .when(F.col("to_pin_yds") < 50, "around the green").otherwise("approach"))
+
+
+def strokes_gained(shots: DataFrame, base: DataFrame, putt_deficit: float, cfg: Settings = DEFAULTS) -> DataFrame:
+    """A-37: E(start) - E(end) - 1 - penalty strokes, by the player's own profile, with its ``category``.
+
+    A putt starts at expected putts from ``putt_ft``; a holed shot ends at 0, one on the green at expected putts from
+    where it lies.
+    """
+    s = expected_for(shots, base, "to_pin_yds", "lie", "e0", putt_deficit, cfg)
+    s = expected_for(s, base, "end_to_pin", "end_lie", "e1", putt_deficit, cfg)
+    start = F.when(F.col("shot_type") == "putt", putts_at("putt_ft")).otherwise(F.col("e0"))
     end = F.when(F.col("holed"), 0.0).when(F.col("end_lie") == "green", putts_at(F.col("end_to_pin") * 3)).otherwise(F.col("e1"))
-    return s.withColumn("sg", F.col("e0") - end - 1 - F.coalesce(F.col("penalty"), F.lit(0)))
+    return s.withColumn("sg", start - end - 1 - F.coalesce(F.col("penalty"), F.lit(0))).withColumn("category", category())
 
 
 def hole_out_cdf(m, j, cfg: Settings = DEFAULTS) -> Column:

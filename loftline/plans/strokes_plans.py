@@ -47,8 +47,18 @@ def putts(d):
     return table(d.spark, "from_ft int, to_ft int, make_pct double, three_pct double", PUTTS)
 
 
-def expected(d):
-    return X.expected_by_yard(X.strokes_by_yard(baseline(d)), bands(d), putts(d), DEFICIT)
+# five kinds of player, each with bands and putting of its own
+OWN = (TABLES.replace("bd.sg END AS sg, bd.prox_ft FROM ex0 LEFT JOIN bd ON bd.band_lie", "bd.sg+pid*0.01::DOUBLE END AS sg, bd.prox_ft+pid AS prox_ft FROM (SELECT ex0.*, pid FROM ex0 CROSS JOIN (SELECT unnest(range(0,5)) AS pid)) ex0 LEFT JOIN bd ON bd.band_lie")
+       .replace("SELECT ex0.*, CASE WHEN bl2", "SELECT ex0.*, CASE WHEN bl2").replace("ex AS (SELECT lie, d,", "ex AS (SELECT pid, lie, d,").replace("1+(1-make_pct)+three_pct", "1+(1-(make_pct-pid*0.01::DOUBLE))+three_pct"))
+
+
+def players(d):
+    """The shots with their player's profile."""
+    k = F.col("player_id") % 5
+    band = lambda l, a, b, sg, px: F.struct(F.lit(l).alias("band_lie"), F.lit(a).alias("from_yds"), F.lit(b).alias("to_yds"), (F.lit(sg).cast("double") + k * 0.01).alias("sg"), (F.lit(px) + k).alias("prox_ft"))
+    putt = lambda a, b, m, t: F.struct(F.lit(a).alias("from_ft"), F.lit(b).cast("int").alias("to_ft"), (F.lit(m) - k * 0.01).alias("make_pct"), F.lit(t).alias("three_pct"))
+    p = d.rounds.select("player_id").distinct().select("player_id", F.array(*[band(*b) for b in BANDS]).alias("bands"), F.array(*[putt(*b) for b in PUTTS]).alias("putts"))
+    return d.shots.join(p, "player_id")
 
 
 @query("bucket_join", f"WITH bd(band_lie, from_yds, to_yds, sg, prox_ft) AS (VALUES {_v(BANDS)}) SELECT s.player_id, bd.band_lie, bd.from_yds, CAST(count(*) AS BIGINT) AS n FROM shots_v s LEFT JOIN bd ON bd.band_lie=CASE WHEN lie='rough' THEN 'rough' ELSE 'fairway' END AND to_pin_yds>=from_yds AND to_pin_yds<to_yds GROUP BY ALL", ("shots_v",))
@@ -69,30 +79,44 @@ def baseline_interp(d):
     return X.price(d.shots, t, "intended_yds", "lie", "v").select("shot_id", half_up("v", 6).alias("strokes"))
 
 
-@query("expected_strokes", f"WITH {TABLES} SELECT shot_id, {HU('e', 5)} AS e FROM shots_v s JOIN ex ON ex.lie=s.lie AND ex.d=floor(to_pin_yds+0.5)", ("shots_v",))
+@query("expected_strokes", f"WITH {OWN} SELECT shot_id, {HU('e', 5)} AS e FROM shots_v s JOIN ex ON ex.pid=s.player_id%5 AND ex.lie=s.lie AND ex.d=floor(to_pin_yds+0.5)", ("shots_v",))
 def expected_strokes(d):
-    return X.price(d.shots, expected(d), "to_pin_yds", "lie", "v").select("shot_id", half_up("v", 5).alias("e"))
+    return X.expected_for(players(d), X.strokes_by_yard(baseline(d)), "to_pin_yds", "lie", "v", DEFICIT).select("shot_id", half_up("v", 5).alias("e"))
 
 
-SG = f"""{TABLES}, sh AS (SELECT *, floor(to_pin_yds/8+0.5) AS etp FROM shots_v WHERE shot_type<>'putt'),
- ends AS (SELECT s.*, e0.e AS a, CASE WHEN part_no%7=0 AND end_lie='green' THEN 0 WHEN end_lie='green' THEN (SELECT CASE WHEN etp*3<=1 THEN 1.001 WHEN etp*3>=90 THEN 2.398 ELSE max(putts+(etp*3-ft)/(ft1-ft)*(p1-putts)) END FROM pseg WHERE etp*3>ft AND etp*3<=ft1) ELSE e1.e END AS b
-   FROM sh s JOIN ex e0 ON e0.lie=s.lie AND e0.d=floor(to_pin_yds+0.5) LEFT JOIN ex e1 ON e1.lie=coalesce(end_lie,'rough') AND e1.d=etp),
- sg AS (SELECT *, a-b-1-CASE WHEN part_no%29=0 THEN 1 ELSE 0 END AS sg FROM ends)"""
+_PUTTS = lambda ft: f"(SELECT CASE WHEN {ft}<=1 THEN 1.001 WHEN {ft}>=90 THEN 2.398 ELSE max(putts+({ft}-ft)/(ft1-ft)*(p1-putts)) END FROM pseg WHERE {ft}>ft AND {ft}<=ft1)"
+SG = f"""{OWN}, sh AS (SELECT *, CASE WHEN shot_type='putt' THEN floor(putt_ft/18+0.5) ELSE floor(to_pin_yds/8+0.5) END AS etp, CASE WHEN shot_type='putt' THEN 'green' ELSE coalesce(end_lie,'rough') END AS el FROM shots_v),
+ ends AS (SELECT s.*, CASE WHEN shot_type='putt' THEN {_PUTTS('putt_ft')} ELSE e0.e END AS a, CASE WHEN part_no%7=0 AND el='green' THEN 0 WHEN el='green' THEN {_PUTTS('etp*3')} ELSE e1.e END AS b
+   FROM sh s JOIN ex e0 ON e0.pid=s.player_id%5 AND e0.lie=s.lie AND e0.d=floor(to_pin_yds+0.5) LEFT JOIN ex e1 ON e1.pid=s.player_id%5 AND e1.lie=CASE WHEN el='green' THEN 'fairway' ELSE el END AND e1.d=etp),
+ sg AS (SELECT *, a-b-1-CASE WHEN part_no%29=0 THEN 1 ELSE 0 END AS sg, CASE WHEN shot_type='putt' THEN 'putting' WHEN lie='tee' THEN 'off the tee' WHEN to_pin_yds<50 THEN 'around the green' ELSE 'approach' END AS category FROM ends)"""
 
 
 def gained(d):
-    s = (d.shots.filter("shot_type <> 'putt'").withColumn("end_to_pin", half_up(F.col("to_pin_yds") / 8)).withColumn("holed", (F.col("part_no") % 7 == 0) & F.coalesce(F.col("end_lie") == "green", F.lit(False)))
-         .withColumn("end_lie", F.coalesce("end_lie", F.lit("rough"))).withColumn("penalty", F.when(F.col("part_no") % 29 == 0, 1).otherwise(0)))
-    return X.strokes_gained(s, expected(d))
+    """All shots, putts among them: a putt stays on the green."""
+    putt = F.col("shot_type") == "putt"
+    s = players(d).withColumns({"end_to_pin": F.when(putt, half_up(F.col("putt_ft") / 18)).otherwise(half_up(F.col("to_pin_yds") / 8)),
+                                "end_lie": F.when(putt, "green").otherwise(F.coalesce("end_lie", F.lit("rough"))), "penalty": F.when(F.col("part_no") % 29 == 0, 1).otherwise(0)})
+    return X.strokes_gained(s.withColumn("holed", (F.col("part_no") % 7 == 0) & (F.col("end_lie") == "green")), X.strokes_by_yard(baseline(d)), DEFICIT)
+
+
+def _sums(df, *keys):
+    return df.groupBy(*keys).agg(F.count("sg").alias("n"), F.sum("sg").alias("s"))
 
 
 @query("strokes_gained", f"WITH {SG} SELECT player_id, club, CAST(count(sg) AS BIGINT) AS n, {HU('sum(sg)+1e-9', 4)} AS sg, {HU('avg(sg)+1e-9', 5)} AS per_shot FROM sg GROUP BY GROUPING SETS ((player_id, club),(player_id))", ("shots_v",))
 def strokes_gained(d):
-    per = gained(d).groupBy("player_id", "club").agg(F.count("sg").alias("n"), F.sum("sg").alias("s"))
+    per = _sums(gained(d), "player_id", "club")
     allc = per.groupBy("player_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("club", F.lit(None).cast("string"))
     return per.unionByName(allc).select("player_id", "club", "n", half_up(F.col("s") + 1e-9, 4).alias("sg"), half_up(F.col("s") / F.col("n") + 1e-9, 5).alias("per_shot"))
 
 
+@query("strokes_gained_category", f"WITH {SG} SELECT player_id, category, CAST(count(sg) AS BIGINT) AS n, {HU('sum(sg)+1e-9', 4)} AS sg, {HU('sum(sg)/count(DISTINCT round_id)+1e-9', 5)} AS per_round FROM sg GROUP BY ALL", ("shots_v",))
+def strokes_gained_category(d):
+    """A-37: off the tee, approach, around the green and putting, in all and a round."""
+    per = _sums(gained(d), "player_id", "category", "round_id").groupBy("player_id", "category").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("r"))
+    return per.select("player_id", "category", "n", half_up(F.col("s") + 1e-9, 4).alias("sg"), half_up(F.col("s") / F.col("r") + 1e-9, 5).alias("per_round"))
+
+
 @query("strokes_gained_round", f"WITH {SG} SELECT player_id, round_id, {HU('sum(sg)+1e-9', 4)} AS sg FROM sg GROUP BY ALL", ("shots_v",))
 def strokes_gained_round(d):
     return gained(d).groupBy("player_id", "round_id").agg(half_up(F.sum("sg") + 1e-9, 4).alias("sg"))
