@@ -3,7 +3,7 @@
 Lines are hashed; two rolling hashes over neighbouring line hashes decide where a text is cut: before a line by the
 pair that it begins, after a line by the pair that it ends.  Either pair lies inside a passage whose first or last
 line it is, so the cuts move with the passage wherever it stands.  Several seeds cut the same text differently; what
-one cutting tears the next may hold together.  Only native column functions are used.
+one cutting tears the next may hold together.  In one more cutting every line stands alone, and long lines count.  Only native column functions are used.
 """
 
 from __future__ import annotations
@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from loftline.llm.common import settled, text_of
 
-SEEDS = 4
+SEEDS = 6
 #: A pair of lines is a cut if its hash digit for the seed and side is below this, 5 times in 16.
 CUT = "5"
 MIN_LINES, MIN_CHARS = 2, 150
+#: A line of more words than this is a passage of its own.
+LONG_WORDS = 50
 #: Repeated hashes that are broadcast at most: 50 bytes each.
 BROADCAST = 200_000
 
@@ -38,15 +40,27 @@ def _runs(starts: str, with_text: bool) -> Column:
         *([text(r).alias("chunk")] if with_text else [])))
 
 
+def _long_lines(with_text: bool) -> Column:
+    """The last cutting: every line alone, and of those the long ones, in the form of :func:`_runs`."""
+    line = lambda i: F.element_at("_l", i + 1)
+    gaps = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+    long = F.filter(F.sequence(F.lit(0), F.size("_l") - 1), lambda i: gaps(line(i)) >= LONG_WORDS)
+    return F.transform(long, lambda i: F.struct(
+        i.alias("start"), (i + 1).alias("end"), F.unhex(F.md5(F.element_at("_h", i + 1))).alias("hash"), F.length(line(i)).alias("chars"),
+        *([line(i).alias("chunk")] if with_text else [])))
+
+
 def chunk_rows(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """(_key, doc_id, start, end, hash): each chunk of MIN_LINES lines and MIN_CHARS characters of each cutting; its text if asked for."""
+    """(_key, doc_id, start, end, hash): each chunk of MIN_LINES lines and MIN_CHARS characters of each cutting, and each
+    long line; its text if asked for."""
     lined = docs.select("_key", "doc_id", F.split("_t", "\n", -1).alias("_l")).filter(F.size("_l") >= MIN_LINES)
     hashed = lined.withColumn("_h", F.transform("_l", lambda x: F.substring(F.md5(x), 1, 16)))
     pairs = hashed.withColumn("_p", F.transform(F.slice("_h", 1, F.size("_h") - 1), lambda h, i: F.md5(F.concat(h, F.lit(":"), F.get("_h", i + 1)))))
     starts = pairs.select("_key", "doc_id", "_l", "_h", *[_starts(k).alias(f"_s{k}") for k in range(SEEDS)])
     # chunks are cut before the rows are made, so that no row carries the lines of its whole document
-    parts = starts.select("_key", "doc_id", *[_runs(f"_s{k}", with_text).alias(f"_c{k}") for k in range(SEEDS)])
-    rows = parts.select("_key", "doc_id", F.inline(F.array_distinct(F.concat(*[f"_c{k}" for k in range(SEEDS)]))))
+    parts = starts.select("_key", "doc_id", *[_runs(f"_s{k}", with_text).alias(f"_c{k}") for k in range(SEEDS)],
+                          _long_lines(with_text).alias(f"_c{SEEDS}"))
+    rows = parts.select("_key", "doc_id", F.inline(F.array_distinct(F.concat(*[f"_c{k}" for k in range(SEEDS + 1)]))))
     return rows.filter(F.col("chars") >= MIN_CHARS).drop("chars")
 
 
@@ -56,7 +70,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     A chunk is repeated if the same bytes are a chunk of another place.  Its first place, the least (doc_id, start),
     keeps it; null ids are last.  Chunks with one hash but other bytes are left alone.  A document's lines that lie
     in any removed chunk go; the others stay in order.  Null text counts as empty; texts of a single line, and short
-    chunks, are never cut.  Rows that repeat both id and text are one place and are treated alike.
+    chunks, are never cut: a whole text that repeats is no passage of another.  Rows that repeat both id and text are one place and are treated alike.
 
     Hashes and places come first; texts are read again only for hashes met more than once and compared by their least
     and greatest bytes.  Counts and texts are combined map-side and joined back, so a passage that many documents share
@@ -91,12 +105,12 @@ l AS (SELECT k, doc_id, t, unnest(string_split(t, chr(10))) AS line, generate_su
 h AS (SELECT *, substr(md5(line), 1, 16) AS h FROM l),
 n AS (SELECT *, md5(h || ':' || lead(h) OVER (PARTITION BY k ORDER BY i)) AS p FROM h),
 q AS (SELECT *, lag(p, 2) OVER (PARTITION BY k ORDER BY i) AS p2 FROM n),
-s AS (SELECT q.*, seed, (i = 0 OR coalesce(substr(p, 2 * seed + 1, 1) < '{CUT}', false) OR coalesce(substr(p2, 2 * seed + 2, 1) < '{CUT}', false)) AS cut
-      FROM q, (SELECT unnest(range({SEEDS})) AS seed)),
+s AS (SELECT q.*, seed, (i = 0 OR seed = {SEEDS} OR coalesce(substr(p, 2 * seed + 1, 1) < '{CUT}', false) OR coalesce(substr(p2, 2 * seed + 2, 1) < '{CUT}', false)) AS cut
+      FROM q, (SELECT unnest(range({SEEDS} + 1)) AS seed)),
 g AS (SELECT *, sum(cut::INT) OVER (PARTITION BY k, seed ORDER BY i) AS c FROM s),
 c AS (SELECT DISTINCT k, doc_id, a, b, chunk FROM (
-        SELECT k, any_value(doc_id) AS doc_id, min(i) AS a, max(i) AS b, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS m FROM g GROUP BY k, seed, c)
-      WHERE m >= {MIN_LINES} AND length(chunk) >= {MIN_CHARS}),
+        SELECT k, any_value(doc_id) AS doc_id, min(i) AS a, max(i) AS b, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS m, count(*) OVER (PARTITION BY k, seed) AS parts, seed FROM g GROUP BY k, seed, c)
+      WHERE length(chunk) >= {MIN_CHARS} AND CASE WHEN seed = {SEEDS} THEN length(chunk) - length(replace(chunk, ' ', '')) >= {LONG_WORDS} AND parts >= {MIN_LINES} ELSE m >= {MIN_LINES} END),
 f AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id NULLS LAST, k, a) AS r FROM c),
 x AS (SELECT DISTINCT k, unnest(range(a, b + 1)) AS i FROM f WHERE r > 1),
 o AS (SELECT l.k, count(*) AS n_lines, count(x.i) AS n_removed, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE x.i IS NULL), '') AS text
