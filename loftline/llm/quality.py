@@ -143,16 +143,17 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: str
     """
     marks = (labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg((F.avg(label) > 0.5).cast("int").alias("_y")))
-    known = (docs.select("doc_id", text_of().alias("_t")).join(marks, "doc_id")
-             .select("doc_id", "_t", "_y", F.xxhash64("doc_id").alias("_h")))
-    chosen = known.orderBy("_h", "doc_id", F.xxhash64("_t")).limit(s.sample)
+    told = marks.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")   # ids alone: texts of others stay where they are
+    ids = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)
+    known = docs.select("doc_id", text_of().alias("_t")).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id", "_t"])   # s.sample rows at most are sent
 
     @F.pandas_udf("slots binary, shares binary")
     def counted(texts: pd.Series) -> pd.DataFrame:
         got = [_counts(t, s) for t in texts]
         return pd.DataFrame({"slots": [a.tobytes() for a, _ in got], "shares": [b.tobytes() for _, b in got]})
 
-    rows = chosen.select("_y", counted("_t").alias("f")).select("_y", "f.*").toPandas()
+    seen = known.select("doc_id", "_y", counted("_t").alias("f")).select("doc_id", "_y", "f.*")
+    rows = seen.orderBy(F.xxhash64("doc_id"), "doc_id", "slots", "shares").limit(s.sample).toPandas()
     return train([(np.frombuffer(a, np.int32), np.frombuffer(b, np.float32).astype(np.float64), int(y))
                   for y, a, b in rows[["_y", "slots", "shares"]].itertuples(index=False)], s)
 
