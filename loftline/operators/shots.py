@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from loftline.functions.numbers import c, clamp, half_up, r1, tan_deg, wrap180
 from loftline.functions.geo import haversine_m
-from loftline.settings import CLUB_FAMILY, DEFAULTS, SHAPES, WEDGES, YARDS_PER_METRE, Settings, lookup
+from loftline.settings import (CLUB_FAMILY, CLUB_PATTERNS, CURVE_WORDS, DEFAULTS, MISS_SIDES, MISS_UNIT, ON_TARGET, RESULT_DIST, RESULT_LAT, SHAPES, WEDGES, YARDS_PER_METRE,
+                               Settings, lookup)
 
 DOT, MINUS = " · ", "−"
 
@@ -54,34 +55,38 @@ def _whole(x) -> Column:
     return half_up(x).cast("bigint").cast("string")
 
 
+def _sided(value: Column, words: tuple, unit: str = "") -> Column:
+    """A whole number of yards with the word for its side."""
+    side = F.when(value > 0, words[1]).otherwise(words[0])
+    return F.concat_ws(" ", _whole(F.abs(value)), *([F.lit(unit)] if unit else []), side)
+
+
 def miss_text(dist, lat, cfg: Settings = DEFAULTS) -> Column:
-    dy, dx = half_up(dist), half_up(lat)
-    d = F.when(F.abs(dy) >= cfg.slight_yds, F.concat(_whole(F.abs(dy)), F.when(dy > 0, F.lit(" long")).otherwise(" short")))
-    l = F.when(F.abs(dx) >= cfg.slight_yds, F.concat(_whole(F.abs(dx)), F.when(dx > 0, F.lit(" right")).otherwise(" left")))
-    both = F.concat_ws(DOT, d, l)
-    return (F.when(c(dist).isNull() | c(lat).isNull(), None)
-            .when(d.isNull() & l.isNull(), "on target")
-            .when(d.isNull() | l.isNull(), F.regexp_replace(both, "^(\\d+) ", "$1 yds "))
-            .otherwise(both))
+    """Both axes in whole yards, each only past the slight band; a single one with its unit."""
+    axes = [(half_up(v), MISS_SIDES[axis]) for v, axis in ((dist, "dist"), (lat, "lat"))]
+
+    def told(unit: str) -> Column:
+        return F.array_compact(F.array(*[F.when(F.abs(v) >= cfg.slight_yds, _sided(v, words, unit)) for v, words in axes]))
+
+    n = F.size(told(""))
+    text = F.when(n == 2, F.array_join(told(""), DOT)).when(n == 1, F.array_join(told(MISS_UNIT), "")).otherwise(ON_TARGET)
+    return F.when(c(dist).isNotNull() & c(lat).isNotNull(), text)
 
 
 def result_text(dist, lat, dist_class) -> Column:
-    k = F.coalesce(c(dist_class), F.lit(0))
-    d = F.when(k == 0, "on").otherwise(F.concat(F.when(k > 0, "+").otherwise(MINUS), F.abs(k).cast("string"),
-                                                F.when(k > 0, " long").otherwise(" short")))
-    n = half_up(F.abs(c(lat)))
-    l = F.when(n == 0, "0").otherwise(F.concat(_whole(F.abs(c(lat))), F.when(c(lat) > 0, " R").otherwise(" L")))
-    return F.when(c(dist).isNotNull() & c(lat).isNotNull(), F.concat(d, F.lit(DOT), l))
+    """The distance band with its mark and the yards off line, both by the side's entry."""
+    k, yds = F.coalesce(c(dist_class), F.lit(0)), _whole(F.abs(c(lat)))
+    far = lookup(F.signum(k).cast("int"), {sign: F.concat(F.lit(mark), F.abs(k).cast("string"), F.lit(word)) for sign, (mark, word) in RESULT_DIST.items()}, "on")
+    wide = F.when(yds == "0", yds).otherwise(F.concat(yds, lookup(F.signum(c(lat)).cast("int"), RESULT_LAT, "")))
+    return F.when(c(dist).isNotNull() & c(lat).isNotNull(), F.concat_ws(DOT, far, wide))
 
 
 def curve_readback(curve, shape) -> Column:
-    k, s = c(curve), c(shape)
-    big = F.abs(k) == 2
-    pick = lambda b, n: F.when(big, b).otherwise(n)
-    return (F.when(k.isNull() | (k == 0), None)
-            .when(s == "draw", F.when(k < 0, pick("way over-drew", "over-drew")).otherwise(pick("held it, big", "held / under-drew")))
-            .when(s == "fade", F.when(k > 0, pick("way over-faded", "over-faded")).otherwise(pick("held it, big", "held / under-faded")))
-            .otherwise(F.when(k < 0, pick("well left", "left")).otherwise(pick("well right", "right"))))
+    """The table's words for the shape meant, the side and the size; none without a curve."""
+    k = c(curve)
+    meant = F.when(c(shape).isin("draw", "fade"), c(shape)).otherwise("straight")
+    size = F.when(F.abs(k) == 2, 2).otherwise(1)
+    return lookup(F.concat_ws(" ", meant, F.signum(k).cast("int").cast("string"), size.cast("string")), CURVE_WORDS)
 
 
 # ---- O-23, O-43, O-24: routing ------------------------------------------------------------------------
@@ -173,16 +178,11 @@ def eligible(df: DataFrame, totals: DataFrame | None = None, cfg: Settings = DEF
 # ---- O-27: club family --------------------------------------------------------------------------------
 
 def club_family(club) -> Column:
-    """O-27: the table first, then naming rules (woods/hybrids, iron number, wedge letters or lofts)."""
-    s = F.trim(c(club))
-    iron = F.regexp_extract(s, "(?i)^(\\d+)i$", 1)
-    n = iron.try_cast("int")
-    return F.coalesce(
-        lookup(c(club), CLUB_FAMILY),
-        F.when(s.rlike("(?i)^(dr|d|driver|\\d+w|\\d+hy?|\\d+-?wood|\\d+-?hybrid)$"), "long")
-        .when(iron != "", F.when(n <= 4, "long").when(n <= 7, "mid").otherwise("short"))
-        .when(s.rlike("(?i)^pw$"), "short")
-        .when(s.rlike("(?i)^(gw|aw|sw|lw|uw)$") | s.rlike("^(4[8-9]|5\\d|6\\d)°?$"), "wedge"))
+    """O-27: the table first, then the first naming pattern that fits the whole name."""
+    out = lookup(c(club), CLUB_FAMILY)
+    for pattern, family in CLUB_PATTERNS:
+        out = F.coalesce(out, F.when(F.trim(c(club)).rlike(f"(?i)^({pattern})$"), family))
+    return out
 
 
 # ---- O-33: plays-like ---------------------------------------------------------------------------------

@@ -159,16 +159,19 @@ def strokes_gained(shots: DataFrame, base: DataFrame, putt_deficit: float, cfg:
 
 
 def hole_out_cdf(m, j, cfg: Settings = DEFAULTS) -> Column:
-    """A-38: chance of holing out in at most j more strokes, from a split normal with mean m."""
-    m, j = c(m), c(j)
-    ex = F.greatest(F.lit(0.0), m - 1)
-    s1 = F.greatest(F.lit(0.05), cfg.score_sd_left[0] + cfg.score_sd_left[1] * ex)
-    s2 = F.greatest(F.lit(0.05), cfg.score_sd_right[0] + cfg.score_sd_right[1] * ex)
-    mu = m - math.sqrt(2 / math.pi) * (s2 - s1)
-    x, w = j + 0.5, s1 + s2
-    lo = 2 * s1 / w * normal_cdf((x - mu) / s1)
-    hi = s1 / w + 2 * s2 / w * (normal_cdf((x - mu) / s2) - 0.5)
-    return F.when(j < 1, 0.0).when(x <= mu, lo).otherwise(hi)
+    """A-38: chance of holing out in at most j more strokes.
+
+    Scores follow a split normal of mean m: two half bells that meet at the mode, each with the mass of its width,
+    both wider the more strokes are expected; half a stroke is added as scores are whole.
+    """
+    over = F.greatest(F.lit(0.0), c(m) - 1)
+    left, right = (F.greatest(F.lit(0.05), a + b * over) for a, b in (cfg.score_sd_left, cfg.score_sd_right))
+    mode = c(m) - math.sqrt(2 / math.pi) * (right - left)
+    x = c(j) + 0.5 - mode
+    mass = lambda side: side / (left + right)
+    below = 2 * mass(left) * normal_cdf(x / left)
+    above = mass(left) + mass(right) * (2 * normal_cdf(x / right) - 1)
+    return F.when(c(j) < 1, 0.0).otherwise(F.when(x <= 0, below).otherwise(above))
 
 
 def putt_cdf(j, make, three) -> Column:

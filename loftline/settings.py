@@ -26,10 +26,35 @@ CLUB_FAMILY = _fixed({
     "8i": "short", "9i": "short", "PW": "short",
     "GW": "wedge", "SW": "wedge", "LW": "wedge",
 })
+# names of clubs outside the table, as whole words in any case; the first that fits decides
+CLUB_PATTERNS = (
+    (r"dr|d|driver|\d+w|\d+hy?|\d+-?wood|\d+-?hybrid", "long"),
+    (r"0*[0-4]i", "long"),
+    (r"0*[5-7]i", "mid"),
+    (r"\d+i", "short"),
+    (r"pw", "short"),
+    (r"gw|aw|sw|lw|uw", "wedge"),
+    (r"(4[8-9]|5\d|6\d)°?", "wedge"),
+)
 FAMILIES = ("long", "mid", "short", "wedge")
 WEDGES = ("GW", "SW", "LW")
 SHAPES = ("draw", "straight", "fade")
 
+# how a curve reads: shape meant, side it went to (-1 left, 1 right), size (1 or 2)
+CURVE_WORDS = _fixed({
+    "draw -1 1": "over-drew", "draw -1 2": "way over-drew", "draw 1 1": "held / under-drew", "draw 1 2": "held it, big",
+    "fade -1 1": "held / under-faded", "fade -1 2": "held it, big", "fade 1 1": "over-faded", "fade 1 2": "way over-faded",
+    "straight -1 1": "left", "straight -1 2": "well left", "straight 1 1": "right", "straight 1 2": "well right",
+})
+# words of a miss for each axis: under the target, over it
+MISS_SIDES = _fixed({"dist": ("short", "long"), "lat": ("left", "right")})
+ON_TARGET, MISS_UNIT = "on target", "yds"
+# a derived result: marks and words under and over the target
+RESULT_DIST = _fixed({-1: ("−", " short"), 1: ("+", " long")})
+RESULT_LAT = _fixed({-1: " L", 1: " R"})
+# what may stand between the name of a club and that of its course
+NAME_BREAKS = "\\s\\-–—:|,·"
+
 # lie -> lies to look at in order
 LIE_CHAIN = _fixed({
     "tee": ("tee", "fairway", "rough"),
@@ -58,6 +83,7 @@ COURSE_NOISE_WORDS = ("golf", "club", "course", "country", "cc", "gc", "the", "l
 # ------------------------------------------------------------------------------------------------------
 
 
+# the defaults below are fixed values too
 @dataclass(frozen=True)
 class Settings:
     # results and misses
