@@ -6,6 +6,7 @@ only the operators under test differ.
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,7 +67,7 @@ _HOLES = """
 SELECT player_id, round_id, hole, CASE hole%6 WHEN 0 THEN 5 WHEN 1 THEN 3 ELSE 4 END AS par,
   CASE WHEN hole<=9 THEN 2*hole-1 ELSE 2*(hole-9) END AS si,
   CASE hole%6 WHEN 0 THEN 5 WHEN 1 THEN 3 ELSE 4 END + CAST((round_id*31 + hole*17 + round_id%7*hole)%5 AS INT) - 1 AS score
-FROM rounds_v CROSS JOIN (VALUES (1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12),(13),(14),(15),(16),(17),(18)) AS h(hole)
+FROM rounds_v {holes18}
 """
 
 _GPS = """
@@ -81,9 +82,11 @@ SELECT vec_id AS point_id, label, CAST(embedding[{i0}] AS DOUBLE)*400 AS x, CAST
 
 _WORDS = {
     "duckdb": {"days": "date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE))", "seq": _SEQ,
-               "epoch": "CAST(floor(epoch(ts)) AS BIGINT)", "i0": "1", "i1": "2", "i2": "3"},
+               "epoch": "CAST(floor(epoch(ts)) AS BIGINT)", "i0": "1", "i1": "2", "i2": "3",
+               "holes18": "CROSS JOIN (SELECT CAST(unnest(range(1,19)) AS INT) AS hole) h"},
     "spark": {"days": "datediff(o_orderdate, DATE '1990-01-01')", "seq": _SEQ,
-              "epoch": "CAST(floor(unix_micros(CAST(ts AS TIMESTAMP))/1000000) AS BIGINT)", "i0": "0", "i1": "1", "i2": "2"},
+              "epoch": "CAST(floor(unix_micros(CAST(ts AS TIMESTAMP))/1000000) AS BIGINT)", "i0": "0", "i1": "1", "i2": "2",
+              "holes18": "LATERAL VIEW explode(sequence(1,18)) h AS hole"},
 }
 
 _VIEWS = {"shots_v": _SHOTS, "rounds_v": _ROUNDS, "hole_scores_v": _HOLES, "gps_v": _GPS, "points_v": _POINTS}
@@ -147,10 +150,9 @@ class Data:
         refs = {t: self.table(t) for t in TABLES if t in _VIEWS[name]}
         refs.update({v: self.view(v) for v in _VIEWS if v != name and v in _VIEWS[name]})
         text = view_sql(name, "spark")
-        for ref, df in refs.items():
-            df.createOrReplaceTempView(f"_in_{ref}")
+        for ref in refs:
             text = _swap(text, ref)
-        return self.spark.sql(text)
+        return self.spark.sql(text, **refs)
 
     @cached_property
     def shots(self) -> DataFrame:
@@ -174,5 +176,5 @@ class Data:
 
 
 def _swap(text: str, ref: str) -> str:
-    import re
-    return re.sub(rf"\b(FROM|JOIN)(\s+){ref}\b", rf"\1\2_in_{ref}", text)
+    """Names the frame itself in the text, so that no view is shared between sessions or folders."""
+    return re.sub(rf"\b(FROM|JOIN)(\s+){ref}\b", rf"\1\2{{{ref}}}", text)
