@@ -12,16 +12,13 @@ terms goes or comes.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loftline.llm.common import settled, text_of
 
 LOW, HIGH, MOST = 1 / 2000, 1 / 4, 2_000_000
-SEEDS, LEVELS = 8, (4, 16, 64, 256)
+SEEDS, LEVELS = 12, (4, 16, 64, 256, 1024)
 #: Documents in a range of ids, which one task sorts, and least and greatest number of ranges.
 RANGE, RANGES = 20_000, (256, 8192)
 
@@ -66,9 +63,9 @@ def likeness(a: str, b: str) -> Column:
     """
     levels = []
     for k in range(len(LEVELS)):
-        at = range(1 + k * SEEDS, 1 + (k + 1) * SEEDS)
-        same = reduce(add, [F.coalesce((F.get(a, F.lit(i)) == F.get(b, F.lit(i))).cast("int"), F.lit(0)) for i in at])
-        some = reduce(add, [F.coalesce(F.get(a, F.lit(i)), F.get(b, F.lit(i))).isNotNull().cast("int") for i in at])
+        at = F.sequence(F.lit(1 + k * SEEDS), F.lit((k + 1) * SEEDS))
+        same = F.size(F.filter(at, lambda i: F.get(a, i) == F.get(b, i)))
+        some = F.size(F.filter(at, lambda i: F.coalesce(F.get(a, i), F.get(b, i)).isNotNull()))
         levels.append(same / F.greatest(some, F.lit(SEEDS // 2)).cast("double"))
     return F.when(F.get(a, F.lit(0)) == F.get(b, F.lit(0)), F.lit(1.0)).otherwise(F.greatest(*levels))
 
