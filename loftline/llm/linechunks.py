@@ -20,7 +20,7 @@ MIN_LINES, MIN_CHARS = 2, 150
 #: A line of more words than this is a passage of its own.
 LONG_WORDS = 50
 #: Repeated hashes that are broadcast at most: 50 bytes each.
-BROADCAST = 200_000
+BROADCAST = 500_000
 
 
 def _starts(seed: int) -> Column:
@@ -64,7 +64,7 @@ def chunk_rows(docs: DataFrame, with_text: bool = False) -> DataFrame:
     return rows.filter(F.col("chars") >= MIN_CHARS).drop("chars")
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, few_hashes: int = BROADCAST) -> DataFrame:
     """The rows of ``docs`` with repeated passages cut from ``text``; (n_lines, n_removed) are added.
 
     A chunk is repeated if the same bytes are a chunk of another place.  Its first place, the least (doc_id, start),
@@ -74,7 +74,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     Hashes and places come first; texts are read again only for hashes met more than once and compared by their least
     and greatest bytes.  Counts and texts are combined map-side and joined back, so a passage that many documents share
-    is a skewed join, which Spark splits.  The repeated hashes are counted and broadcast only while they are few.
+    is a skewed join, which Spark splits.  The repeated hashes are counted and broadcast while there are at most
+    ``few_hashes``; beyond that both joins are Spark's, and rows come out the same.
     """
     identity = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text_of()))
     keyed = docs.drop("n_lines", "n_removed").withColumns({"_t": text_of(), "_key": F.unhex(identity)})
@@ -83,10 +84,18 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key", "start")
     twice = settled(chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1")
                     .select("hash", F.col("first._key").alias("_fk"), F.col("first.start").alias("_fs")))
-    sent = F.broadcast if twice.count() <= BROADCAST else (lambda df: df)
-    texts = chunk_rows(cut, with_text=True).select("hash", "chunk").join(sent(twice.select("hash")), "hash")
+    few = twice.count() <= few_hashes
+    sent = F.broadcast if few else (lambda df: df)
+    met = chunks.join(sent(twice), "hash")
+    if few:
+        texts = chunk_rows(cut, with_text=True).select("hash", "chunk").join(sent(twice.select("hash")), "hash")
+    else:   # by document: the texts that hold such a chunk are dealt once, not every chunk of every cutting
+        spans = met.groupBy("_key").agg(F.collect_set(F.struct("start", "end", "hash")).alias("_s"))
+        size = lambda r: F.least(r["end"], F.size("_l")) - r["start"]
+        texts = (cut.join(spans, "_key").withColumn("_l", F.split("_t", "\n", -1))
+                 .select(F.inline(F.transform("_s", lambda r: F.struct(r["hash"], F.array_join(F.slice("_l", r["start"] + 1, size(r)), "\n").alias("chunk"))))))
     differ = texts.groupBy("hash").agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi")).filter("lo <> hi").select("hash")
-    gone = (chunks.join(sent(twice), "hash").filter((F.col("_key") != F.col("_fk")) | (F.col("start") != F.col("_fs")))
+    gone = (met.filter((F.col("_key") != F.col("_fk")) | (F.col("start") != F.col("_fs")))
             .join(differ, "hash", "left_anti").groupBy("_key").agg(F.collect_set(F.struct("start", "end")).alias("_runs")))
     lines, n = F.split("_t", "\n", -1), F.size(F.split("_t", "\n", -1))
     removed = F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["start"], r["end"] - 1))))

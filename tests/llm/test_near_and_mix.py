@@ -126,6 +126,12 @@ def test_repeated_passages_go_once(spark):
         assert got[i].text == (texts[i] or "") and got[i].n_removed == 0
 
 
+def test_line_dedup_with_and_without_broadcast(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    few, many = (sorted(map(repr, linechunks.line_dedup(table, n).collect())) for n in (10 ** 6, 0))
+    assert few == many and any("n_removed=0" not in r for r in few)
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(2)
     texts = [" ".join("x" for _ in range(rng.randint(0, 90))) for _ in range(400)] + [None, ""]
