@@ -3,9 +3,8 @@
 The pages of a host come from few templates.  A token is a container tag at its path from the root, or a run of text
 at such a path.  Tokens that occur equally often on every page of a host have equal occurrence vectors and form an
 equivalence class; classes found on most pages, with their tags nested in each other, are the host's template.  What
-stands between template tokens are slots.  The slot element with the most text outside menus and the like is the
-host's main slot; a page gives the text there, without the template's own words and without parts that by name are
-not the article.
+stands between template tokens are slots.  A page gives the text of all slots but parts that by name are not the
+article, or all that lies in elements marked as the article; the template's own words go.
 
 Occurrence vectors are never held: a token's vector is the exclusive-or, over pages, of a hash of page and count, which
 combines map-side in any order; equal vectors have equal marks.
@@ -28,7 +27,7 @@ from loftline.llm.common import settled, text_of
 
 #: Share of a host's pages that a template token is on, and pages that a host needs to have its words taken for a template's.
 OFTEN, PAGES = 0.6, 8
-#: Templates that are broadcast at most: a path and a few dozen marks each.
+#: Templates that are broadcast at most: a few dozen marks each.
 HOSTS = 50_000
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
@@ -171,30 +170,25 @@ def _run(block: Block) -> str:
 
 
 def token_counts(pages: DataFrame) -> DataFrame:
-    """(host, token, support, vector, chars): a container's token is its path; chars is the text straight under it."""
+    """(host, token, support, vector): a container's token is its path."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            seen: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0])
+            seen: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
             for page_id, host, page in zip(pdf["_k"], pdf["host"], pdf["html"]):
                 blocks, paths = read(page)
-                chars: Counter = Counter()
-                for b in blocks:
-                    if not b.away:
-                        chars[b.path] += len(b.text())
                 for token, c in [*paths.items(), *Counter(_run(b) for b in blocks if b.text()).items()]:
                     s = seen[host, token]
                     s[0] += 1
                     s[1] ^= xxhash.xxh64_intdigest(f"{page_id}:{c}") >> 1
-                    s[2] += chars.get(token, 0)
             rows = [(*k, *v) for k, v in seen.items()]
-            yield pd.DataFrame(rows, columns=["host", "token", "support", "vector", "chars"])
+            yield pd.DataFrame(rows, columns=["host", "token", "support", "vector"])
 
-    read_pages = pages.select("_k", "host", "html").mapInPandas(count, "host string, token string, support long, vector long, chars long")
-    return read_pages.groupBy("host", "token").agg(F.sum("support").alias("support"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"))
+    read_pages = pages.select("_k", "host", "html").mapInPandas(count, "host string, token string, support long, vector long")
+    return read_pages.groupBy("host", "token").agg(F.sum("support").alias("support"), F.bit_xor("vector").alias("vector"))
 
 
-def deduce(tokens: pd.DataFrame, pages: int) -> tuple[str | None, list[str]]:
-    """Main slot and the template's own runs of text, from a host's frequent tokens."""
+def deduce(tokens: pd.DataFrame, pages: int) -> list[str]:
+    """The template's own runs of text, from a host's frequent tokens."""
     classes: dict[tuple, list] = defaultdict(list)
     for r in tokens.itertuples(index=False):
         classes[r.support, r.vector].append(r)
@@ -205,18 +199,11 @@ def deduce(tokens: pd.DataFrame, pages: int) -> tuple[str | None, list[str]]:
         if all(p.rpartition("/")[0] in valid | tags for p in tags):
             valid |= tags
             kept += members
-    own = sorted(m.token for m in kept if m.token[0] == "#") if pages >= PAGES else []
-    chars = {m.token: m.chars for m in kept if m.token[0] == "/"}
-    under = {p: sum(c for q, c in chars.items() if q == p or q.startswith(p + "/")) for p in chars}
-    main = None
-    for p in sorted(chars, key=lambda p: p.count("/")):   # go down while nearly all text is below
-        if under[p] and under[p] >= 0.9 * max(under.values()) and (main is None or p.startswith(main + "/")):
-            main = p
-    return main, own
+    return sorted(m.token for m in kept if m.token[0] == "#") if pages >= PAGES else []
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, main, own): a host's template from the tokens on at least OFTEN of its pages.
+    """(host, own): a host's template from the tokens on at least OFTEN of its pages.
 
     Tokens of a single page go before anything is dealt by host, and those on too few pages before a host's tokens are
     put together, so a host brings at most 1 / OFTEN times the tokens of an average page, however many pages it has.
@@ -226,24 +213,21 @@ def templates(pages: DataFrame) -> DataFrame:
     frequent = token_counts(pages).filter("support > 1").join(size, "host").filter(F.col("support") >= OFTEN * F.col("pages"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        main, own = deduce(pdf, int(pdf["pages"].iloc[0]))
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "main": [main], "own": [own]})
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "own": [deduce(pdf, int(pdf["pages"].iloc[0]))]})
 
-    return frequent.groupBy("host").applyInPandas(one, "host string, main string, own array<string>")
+    return frequent.groupBy("host").applyInPandas(one, "host string, own array<string>")
 
 
-def extract(page: str, main: str | None, own: set[str]) -> str:
-    """Blocks of a page's main slot, one a line.
+def extract(page: str, own: set[str]) -> str:
+    """Blocks of a page that are not away by name, one a line.
 
-    A page without the slot stands for itself: all that is not away by name.  Where blocks of the slot lie in an element
-    marked as the article, only those are taken, and no words count as the template's; elsewhere the template's own
-    runs go.
+    Where blocks lie in an element marked as the article, all of those and no others are taken, and no words count as
+    the template's; elsewhere the template's own runs go.
     """
     blocks, _ = read(page)
     shown = [(b, t) for b in blocks if not b.away and (t := b.text())]
-    slot = [(b, t) for b, t in shown if main is not None and (b.path == main or b.path.startswith(main + "/"))] or shown
-    slot = [(b, t) for b, t in slot if b.article] or slot
-    return "\n".join(t for b, t in slot if b.article or _run(b) not in own)
+    marked = [t for b, t in shown if b.article]
+    return "\n".join(marked or [t for b, t in shown if _run(b) not in own])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -261,9 +245,9 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = [extract(h, m, set(o if o is not None else ())) for h, m, o in zip(pdf["html"], pdf["main"], pdf["own"])]
+            texts = [extract(h, set(o if o is not None else ())) for h, o in zip(pdf["html"], pdf["own"])]
             out = pdf[["page_id", "url"]].copy()
             out["page_id"] = out["page_id"].astype("Int64")
             yield out.assign(text=texts, n_chars=[len(t) for t in texts])
 
-    return joined.select("page_id", "url", "html", "main", "own").mapInPandas(cut, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "own").mapInPandas(cut, "page_id long, url string, text string, n_chars long")
