@@ -29,6 +29,8 @@ from loftline.llm.common import settled, text_of
 OFTEN, PAGES = 0.6, 8
 #: Templates that are broadcast at most: a few dozen marks each.
 HOSTS = 50_000
+#: Repeated htmls that are broadcast at most: a host's name and a mark each.
+COPIES = 500_000
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
     |<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)(?:>|\Z)
@@ -170,21 +172,27 @@ def _run(block: Block) -> str:
 
 
 def token_counts(pages: DataFrame) -> DataFrame:
-    """(host, token, support, vector): a container's token is its path."""
+    """(host, token, support, vector) over the distinct pages of each host: a container's token is its path.
+
+    ``copies`` marks pages whose html is on the host more than once; their tokens are put together by html first.
+    """
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             seen: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
-            for page_id, host, page in zip(pdf["_k"], pdf["host"], pdf["html"]):
+            for mark, host, page, copies in zip(pdf["_h"], pdf["host"], pdf["html"], pdf["copies"]):
                 blocks, paths = read(page)
                 for token, c in [*paths.items(), *Counter(_run(b) for b in blocks if b.text()).items()]:
-                    s = seen[host, token]
-                    s[0] += 1
-                    s[1] ^= xxhash.xxh64_intdigest(f"{page_id}:{c}") >> 1
+                    s = seen[host, token, mark if copies else None]
+                    vector = xxhash.xxh64_intdigest(f"{mark}:{c}") >> 1
+                    s[:] = (1, vector) if copies else (s[0] + 1, s[1] ^ vector)
             rows = [(*k, *v) for k, v in seen.items()]
-            yield pd.DataFrame(rows, columns=["host", "token", "support", "vector"])
+            yield pd.DataFrame(rows, columns=["host", "token", "_h", "support", "vector"]).astype({"_h": "Int64"})
 
-    read_pages = pages.select("_k", "host", "html").mapInPandas(count, "host string, token string, support long, vector long")
-    return read_pages.groupBy("host", "token").agg(F.sum("support").alias("support"), F.bit_xor("vector").alias("vector"))
+    counted = pages.select("_h", "host", "html", "copies").mapInPandas(count, "host string, token string, _h long, support long, vector long")
+    alone = F.col("_h").isNull()
+    once = counted.groupBy("host", "token", "_h").agg(F.when(alone, F.sum("support")).otherwise(F.max("support")).alias("support"),
+                                                      F.when(alone, F.bit_xor("vector")).otherwise(F.max("vector")).alias("vector"))
+    return once.groupBy("host", "token").agg(F.sum("support").alias("support"), F.bit_xor("vector").alias("vector"))
 
 
 def deduce(tokens: pd.DataFrame, pages: int) -> list[str]:
@@ -207,10 +215,13 @@ def templates(pages: DataFrame) -> DataFrame:
 
     Tokens of a single page go before anything is dealt by host, and those on too few pages before a host's tokens are
     put together, so a host brings at most 1 / OFTEN times the tokens of an average page, however many pages it has.
-    A host of one page has no template; its page speaks for itself.
+    Pages of one host with equal html count as one.  A host of one such page has no template; its page speaks for itself.
     """
-    size = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    frequent = token_counts(pages).filter("support > 1").join(size, "host").filter(F.col("support") >= OFTEN * F.col("pages"))
+    htmls = settled(pages.groupBy("host", "_h").agg(F.count(F.lit(1)).alias("n")))
+    size = htmls.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    again = htmls.filter("n > 1").select("host", "_h", F.lit(True).alias("copies"))
+    told = pages.join(F.broadcast(again) if again.count() <= COPIES else again, ["host", "_h"], "left")
+    frequent = token_counts(told.withColumn("copies", F.coalesce("copies", F.lit(False)))).filter("support > 1").join(size, "host").filter(F.col("support") >= OFTEN * F.col("pages"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "own": [deduce(pdf, int(pdf["pages"].iloc[0]))]})
@@ -222,24 +233,24 @@ def extract(page: str, own: set[str]) -> str:
     """Blocks of a page that are not away by name, one a line.
 
     Where blocks lie in an element marked as the article, all of those and no others are taken, and no words count as
-    the template's; elsewhere the template's own runs go.
+    the template's; elsewhere the template's own runs go, unless nothing would be left.
     """
     blocks, _ = read(page)
     shown = [(b, t) for b in blocks if not b.away and (t := b.text())]
     marked = [t for b, t in shown if b.article]
-    return "\n".join(marked or [t for b, t in shown if _run(b) not in own])
+    return "\n".join(marked or [t for b, t in shown if _run(b) not in own] or [t for _, t in shown])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row.
 
     Null html counts as empty and gives an empty text; pages without a host in their url share one template.  Repeated
-    rows come out once each, and count as one page each for the template.  Other columns are not read.  Templates
+    rows come out once each; rows of a host with equal html count as one page for the template.  Other columns are not read.  Templates
     are counted and sent to all tasks while they are few; beyond that pages meet them in a join by host, which Spark
     splits where one host has most pages.
     """
     read_pages = pages.select("page_id", "url", text_of("html").alias("html"), _host(F.col("url")).alias("host"),
-                              F.xxhash64("page_id", "url", "html").alias("_k"))
+                              F.xxhash64(text_of("html")).alias("_h"))
     known = settled(templates(read_pages))
     joined = read_pages.join(F.broadcast(known) if known.count() <= HOSTS else known, "host", "left")
 

@@ -24,3 +24,16 @@ def test_parts_beside_the_largest_container_stay(spark, outer):
         htmls.append(f"<body><nav>menu</nav><{outer}><section class='lead'><p>{lead}</p></section><section class='body'><p>{body}</p></section>{more}</{outer.split()[0]}>")
         want[i] = "\n".join([lead, body] + [item] * (i == 5))
     assert texts(spark, htmls) == want
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    """Most pages of a host are one page; the others share its frame."""
+    frame = "<body><div class='top'>Follow our channel</div><div class='c'><p>{}</p><p>{}</p></div><div class='end'>All rights kept</div>"
+    bodies = [(words(0, 40), words(100, 40))] * 20 + [(words(i, 40), words(100 + i, 40)) for i in range(1, 13)]
+    assert texts(spark, [frame.format(a, b) for a, b in bodies]) == {i: f"{a}\n{b}" for i, (a, b) in enumerate(bodies)}
+
+
+def test_pages_of_template_runs_alone_keep_them(spark):
+    """Pages of equal text and different html: nothing would be left without the template's runs."""
+    got = texts(spark, [f"<body><!-- {i} --><div class='c'><p>One notice for all</p></div>" for i in range(12)])
+    assert set(got.values()) == {"One notice for all"}
