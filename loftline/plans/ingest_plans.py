@@ -228,9 +228,9 @@ def trail_stops(d):
 
 @query("stop_match")
 def stop_match(d):
-    """P-19: a third of the fixes stand for recorded shots; the greedy pairing is checked against a plain loop in the tests."""
+    """P-19: every fix stands for a recorded shot; the greedy pairing is checked against a plain loop in the tests."""
     st = T.stops(fixes(d), SPARSE)
-    starts = fixes(d).filter("event_id % 3 = 0").select("player_id", "day", "lat", "lng", F.col("event_id").alias("shot_id"), (F.col("event_id") % 18 + 1).cast("int").alias("shot_no"))
+    starts = fixes(d).select("player_id", "day", "lat", "lng", F.col("event_id").alias("shot_id"), (F.col("event_id") % 18 + 1).cast("int").alias("shot_no"))
     return T.match_stops(st, starts, SPARSE).select("player_id", "t0", "shot_id", "shot_no", "dist_yds")
 
 
