@@ -7,6 +7,7 @@ meets at one relative position, its mandatory key phrases are looked for there.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter, defaultdict
@@ -80,7 +81,7 @@ class Index:
 
     def __init__(self, files: int, frequency: dict[str, int]):
         self.places: dict[str, list[tuple[int, int, float]]] = defaultdict(list)
-        self.total, self.keys = [], []
+        self.total, self.keys, self.length = [], [], []
         idf = lambda w: math.log((1 + files) / (1 + frequency.get(w, 0))) + 0.1
         for t, (_, notice, phrases) in enumerate(TEMPLATES):
             ws = words_of(notice)
@@ -88,27 +89,41 @@ class Index:
             at = [(p, w) for p, w in enumerate(ws) if w in rare]
             for p, w in at:
                 self.places[w].append((t, p, idf(w)))
+            self.length.append(len(ws))
             self.total.append(sum(idf(w) for _, w in at))
             self.keys.append([(phrase.split(), _find(ws, phrase.split())) for phrase in phrases])
 
     def matches(self, words: list[str]) -> list[tuple[str, int, float]]:
-        """(label, first word, share of the template's rare weight) of each template found, at its best place."""
-        votes: dict[tuple[int, int], dict[int, float]] = defaultdict(dict)
+        """(label, first word, share of the template's rare weight) of each separate place of each template found."""
+        votes: dict[int, dict[int, dict[int, float]]] = defaultdict(lambda: defaultdict(dict))
         for i, w in enumerate(words):
             if w in self.places:
                 for t, p, weight in self.places[w]:
-                    votes[t, i - p][p] = weight
-        best: dict[int, tuple[float, int]] = {}
-        for t, at in votes:
-            if sum(votes[t, at].values()) < self.total[t] * LEAST / 2:
+                    votes[t][i - p][p] = weight
+        out = []
+        for t, places in sorted(votes.items()):
+            least = self.total[t] * LEAST - 1e-9
+            if sum(sum(met.values()) for met in places.values()) < least:
                 continue
-            met: dict[int, float] = {}
-            for k in range(-SLACK, SLACK + 1):   # words put in or left out shift the rest
-                met |= votes.get((t, at + k), {})
-            share = sum(met.values()) / self.total[t]
-            if share >= LEAST and (-share, at) < best.get(t, (1, 0)) and self._phrases(words, t, at):
-                best[t] = (-share, at)
-        return [(TEMPLATES[t][0], max(0, at), min(1.0, -s)) for t, (s, at) in sorted(best.items())]
+            weight = {at: sum(met.values()) for at, met in places.items()}
+            near = []
+            for at in {*places, *(lo + SLACK for lo in places)}:   # words put in or left out shift the rest to either side
+                window = range(at - SLACK, at + SLACK + 1)
+                if sum(weight.get(k, 0.0) for k in window) < least:
+                    continue
+                met: dict[int, float] = {}
+                for k in window:
+                    met |= places.get(k, {})
+                if sum(met.values()) >= least:
+                    near.append((-sum(met.values()) / self.total[t], at not in places, at))
+            taken: list[int] = []
+            apart = max(self.length[t] - 2 * SLACK, min(self.length[t], 2 * SLACK + 1))
+            for share, _, at in sorted(near):   # best first; what overlaps a place taken is the same copy
+                i = bisect.bisect_left(taken, at)
+                if all(abs(at - other) >= apart for other in taken[max(0, i - 1):i + 1]) and self._phrases(words, t, at):
+                    taken.insert(i, at)
+                    out.append((t, max(0, at), min(1.0, -share)))
+        return [(TEMPLATES[t][0], at, share) for t, at, share in sorted(out)]
 
     def _phrases(self, words: list[str], t: int, at: int) -> bool:
         return all(any(words[max(0, at + p + k):max(0, at + p + k) + len(phrase)] == phrase for k in range(-2 * SLACK, 2 * SLACK + 1))
@@ -140,7 +155,7 @@ def base_places(words: list[str]) -> list[tuple[int, str]]:
 def licences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, found) of every row.
 
-    ``found`` has label:first word:share of each template that the index finds; ``score`` is the best share, and at
+    ``found`` has label:first word:share of each separate place of a template that the index finds; ``score`` is the best share, and at
     least a half where a base phrase stands.  Null and empty texts have no words, no labels and score 0.  Rows are
     looked at alone; columns besides id and text are not read.
     """
