@@ -96,7 +96,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec
     ``is_query`` marks the query rows; every other row but those with the query's own id is a candidate, compared in
     blocks: each block of queries meets each block of candidates once, in a task that holds the two.  Nothing is
     broadcast.  Null ids, and vectors that are null, empty, zero or hold null or non-finite components, take no part;
-    vectors of different length are not compared.  Rows that repeat id and vector count once.
+    vectors of different length are not compared.  Rows that repeat id and vector count once;
+    an id with several vectors is a candidate with each, and asks with each for one list of k rows.
     """
     rows = (vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"), is_query.alias("_q"))
             .filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
@@ -112,9 +113,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec
 
     found = (cand.groupBy("c", "q").cogroup(quer.groupBy("c", "q"))
              .applyInPandas(meet, "query_id long, vec_id long, score double"))
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: The same search written out pair by pair.
