@@ -202,11 +202,15 @@ def packed(docs: DataFrame, vocabulary: str, length: int = LENGTH, group: int =
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece.
 
     Pieces lie gapless in their sequence from 0.  Groups are dealt by hash of id, piece and content, so the result
-    does not depend on partitions; rows that repeat one another are packed once each.  No documents, no rows.
+    does not depend on partitions; rows that repeat one another are packed once each, numbered so that they are dealt
+    over all groups.  No documents, no rows.
     """
     cut = settled(pieces(docs, vocabulary, length))
     groups = max(1, -(-cut.count() // group))
-    dealt = cut.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(5)), F.lit(groups)))
+    same = cut.groupBy("doc_id", "piece", "start", "length", "ids_crc32").agg(F.count(F.lit(1)).alias("_n"))
+    steps = same.withColumn("_s", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / group).cast("int"))))
+    numbered = steps.withColumn("_r", F.explode(F.sequence(F.lit(0), F.least(F.lit(group), F.col("_n") - F.col("_s") * group).cast("int") - 1)))
+    dealt = numbered.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.col("_s") * group + F.col("_r") + 5), F.lit(groups)))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
