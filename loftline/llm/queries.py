@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loftline.llm import imatch, licences, linechunks, mixing, nearest, packing, pages, pii, quality, simhash
+from loftline.llm import imatch, licences, linechunks, lm, merkle, mixing, nearest, packing, pages, pii, quality, simhash, whitening
 from loftline.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,8 +58,21 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licences(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proven(table(spark, sf_dir, "documents")).drop("path")
+
+
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_personal_data, op2_quality, op3_simhash, op4_main_text, op5_line_chunks, op6_packing, op7_nearest, op8_imatch, op9_mixing, op10_licences)}
+    f.__name__: f for f in (op1_personal_data, op2_quality, op3_simhash, op4_main_text, op5_line_chunks, op6_packing, op7_nearest, op8_imatch, op9_mixing, op10_licences,
+                           op11_whitening, op12_manifest, op13_lm_scores)}
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
@@ -69,4 +82,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["pipeline"] = pipeline
 
-ORACLES: dict[str, str] = {"op5_line_chunks": linechunks.ORACLE, "op7_nearest": nearest.ORACLE, "op9_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op5_line_chunks": linechunks.ORACLE, "op7_nearest": nearest.ORACLE, "op9_mixing": mixing.ORACLE, "op12_manifest": merkle.ORACLE}
