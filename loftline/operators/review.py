@@ -90,28 +90,39 @@ def on_target(cfg: Settings = DEFAULTS) -> Column:
             + F.pow(F.col("lat_miss_yds") / (d * math.tan(math.radians(cfg.on_target_lat_deg))), 2)) <= 1
 
 
-def evidence(shots: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
-    """W-02: per round, group (club family or lie) and axis, the misses still standing.
+_GROUP = ["player_id", "round_id", "kind", "key"]
 
-    A miss stands if it comes after the last pair of on-target shots in a row; rows without a result leave the
-    run alone.  Contact is its own axis, cleared by two clean strikes in a row.
+
+def miss_rows(shots: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """What each teaching shot says of a miss: a row for its club family and its lie, and for each axis it has a result on.
+
+    Columns: player_id, round_id, kind, key, hole, shot_id, ts_s, axis, ok, dir, miss, and ts where the shots have one.
     """
+    ts = [c for c in ("ts",) if c in shots.columns]
     s = shots.filter(S.teaches() & (F.col("logged") != "skipped") & F.col("shot_type").isin("full", "finesse"))
     s = s.withColumn("has", S.has_misses()).withColumn("on", on_target(cfg) & S.has_misses())
     d = F.col("intended_yds")
     s = (s.withColumn("d_dist", F.when(F.col("has") & ~F.col("on") & (F.abs("dist_miss_yds") > cfg.on_target_dist_pct * d), sign_int("dist_miss_yds")))
           .withColumn("d_lat", F.when(F.col("has") & ~F.col("on") & (F.abs("lat_miss_yds") > d * math.tan(math.radians(cfg.on_target_lat_deg))), sign_int("lat_miss_yds")))
           .withColumn("d_con", F.when(F.abs("contact") >= 1, F.signum("contact").cast("int"))))
-    g = s.select("player_id", "round_id", "hole", "shot_id", "ts_s", "has", "on", "contact", "d_dist", "d_lat", "d_con", "dist_miss_yds", "lat_miss_yds",
+    g = s.select("player_id", "round_id", "hole", "shot_id", "ts_s", *ts, "has", "on", "contact", "d_dist", "d_lat", "d_con", "dist_miss_yds", "lat_miss_yds",
                  F.explode(F.array(F.struct(F.lit("family").alias("kind"), S.club_family("club").alias("key")),
                                    F.struct(F.lit("lie").alias("kind"), F.col("lie").alias("key")))).alias("g")).filter("g.key IS NOT NULL")
-    keys = ["player_id", "round_id", "kind", "key"]
     g = g.select("*", "g.kind", "g.key").drop("g")
     axes = [("distance", F.col("has"), F.col("on"), "d_dist", F.col("dist_miss_yds")), ("direction", F.col("has"), F.col("on"), "d_lat", F.col("lat_miss_yds")),
             ("contact", F.col("contact").isNotNull(), F.abs("contact") < 1, "d_con", F.lit(None).cast("double"))]
-    rows = g.select(*keys, "hole", "shot_id", "ts_s", F.explode(F.array(*[F.struct(F.lit(n).alias("axis"), F.coalesce(live, F.lit(False)).alias("live"),
+    rows = g.select(*_GROUP, "hole", "shot_id", "ts_s", *ts, F.explode(F.array(*[F.struct(F.lit(n).alias("axis"), F.coalesce(live, F.lit(False)).alias("live"),
                     F.coalesce(ok, F.lit(False)).alias("ok"), F.col(dr).alias("dir"), val.alias("miss")) for n, live, ok, dr, val in axes])).alias("a"))
-    rows = rows.select(*keys, "hole", "shot_id", "ts_s", "a.*").filter("live")
+    return rows.filter("a.live").select(*_GROUP, "hole", "shot_id", "ts_s", *ts, "a.axis", "a.ok", "a.dir", "a.miss")
+
+
+def evidence(shots: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """W-02: per round, group (club family or lie) and axis, the misses still standing.
+
+    A miss stands if it comes after the last pair of on-target shots in a row; rows without a result leave the
+    run alone.  Contact is its own axis, cleared by two clean strikes in a row.
+    """
+    keys, rows = _GROUP, miss_rows(shots, cfg)
     part = Window.partitionBy(*keys, "axis")
     w = part.orderBy("ts_s", "shot_id")
     prev = F.lag("ok", cfg.clear_after - 1).over(w)

@@ -9,6 +9,7 @@ from loftline.operators import review as V
 from loftline.plans.registry import HU, query
 from loftline.plans.shots_plans import FAM
 from loftline.settings import DEFAULTS
+from loftline.streaming import running
 
 
 def scores(d):
@@ -24,9 +25,9 @@ def chain_close(d):
     return V.chain_close(d.shots).select("shot_id", "end_from", "distance_miss_yds", "lateral_miss_yds")
 
 
-@query("renumber", """SELECT shot_id, CAST(row_number() OVER (PARTITION BY player_id, round_id, hole, shot_type='putt' ORDER BY shot_no, ts_s, shot_id) AS INT) AS new_no FROM shots_v WHERE part_no%6<>0""", ("shots_v",))
+@query("renumber", """SELECT shot_id, CAST(row_number() OVER (PARTITION BY player_id, round_id, hole, shot_type='putt' ORDER BY shot_no, ts_s, shot_id) AS INT) AS new_no FROM shots_v""", ("shots_v",))
 def renumber(d):
-    return V.renumber(d.shots.filter("part_no % 6 <> 0")).select("shot_id", "new_no")
+    return V.renumber(d.shots).select("shot_id", "new_no")
 
 
 @query("hole_lists", """WITH h AS (SELECT DISTINCT player_id, round_id, hole FROM shots_v WHERE abs(lat_miss_yds)>15), g AS (SELECT player_id, round_id, list(hole ORDER BY hole) AS l FROM h GROUP BY ALL)
@@ -86,6 +87,13 @@ def corrections(d):
     return c.select("player_id", "round_id", "kind", "key", "axis", "dir", "n", half_up("mean_miss", 4).alias("mean_miss"), half_up("raw_shift", 4).alias("raw_shift"))
 
 
+@query("running_corrections", f"WITH {CORR} SELECT player_id, round_id, kind, key, axis, dir, n, {HU('mean_miss', 4)} AS mean_miss, {HU('-0.5*mean_miss', 4)} AS raw_shift FROM kept", ("shots_v",))
+def running_corrections(d):
+    """S-05 run to the end of every round: the state that a stream would hold then."""
+    c = running.running_corrections(d.shots).select("player_id", "round_id", F.inline("corrections"))
+    return c.select("player_id", "round_id", "kind", "key", "axis", "dir", "n", half_up("mean_miss", 4).alias("mean_miss"), half_up("raw_shift", 4).alias("raw_shift"))
+
+
 @query("round_adjustments", f"""WITH {CORR}, u AS (SELECT k.*, f.fam, CASE WHEN axis='distance' THEN greatest(-8, least(8, -0.5*mean_miss)) ELSE -0.5*mean_miss END AS sh FROM kept k JOIN (VALUES ('long'),('mid'),('short'),('wedge')) f(fam) ON (kind='family' AND key=fam) OR (kind='lie' AND key='rough') WHERE axis<>'contact')
 SELECT player_id, round_id, fam, axis, {HU("arg_max(sh, abs(sh)*10+CASE WHEN kind='family' THEN 0.000001 ELSE 0 END)", 1)} AS shift_yds FROM u GROUP BY ALL""", ("shots_v",))
 def round_adjustments(d):

@@ -134,12 +134,12 @@ def par_prob(d):
                           half_up(1 - X.hole_out_cdf("exp_score", F.lit(5) - F.col("shot_no")), 6).alias("double_prob"))
 
 
-@query("isotonic", f"""WITH p AS (SELECT player_id, lie, CAST(floor(to_pin_yds/10) AS INT) AS bin, floor(avg(exp_score)*10000+0.5)/10000 AS v FROM shots_v WHERE part_no%9<>0 GROUP BY ALL),
+@query("isotonic", f"""WITH p AS (SELECT player_id, lie, CAST(floor(to_pin_yds/10) AS INT) AS bin, floor(avg(exp_score)*10000+0.5)/10000 AS v FROM shots_v GROUP BY ALL),
  q AS (SELECT *, row_number() OVER w AS i, sum(v) OVER w AS cs FROM p WINDOW w AS (PARTITION BY player_id, lie ORDER BY bin)),
  m AS (SELECT a.player_id, a.lie, k.i AS k, a.i AS s, min((e.cs-a.cs+a.v)/(e.i-a.i+1)) AS mn FROM q a JOIN q k ON k.player_id=a.player_id AND k.lie=a.lie AND k.i>=a.i JOIN q e ON e.player_id=a.player_id AND e.lie=a.lie AND e.i>=k.i GROUP BY ALL)
 SELECT q.player_id, q.lie, bin, {HU(HU('max(mn)', 6)+'+1e-9', 5)} AS fit FROM q JOIN m ON m.player_id=q.player_id AND m.lie=q.lie AND m.k=q.i GROUP BY q.player_id, q.lie, bin""", ("shots_v",))
 def isotonic(d):
-    p = d.shots.filter("part_no % 9 <> 0").groupBy("player_id", "lie", F.floor(F.col("to_pin_yds") / 10).cast("int").alias("bin")).agg(half_up(F.avg("exp_score"), 4).alias("v"))
+    p = d.shots.groupBy("player_id", "lie", F.floor(F.col("to_pin_yds") / 10).cast("int").alias("bin")).agg(half_up(F.avg("exp_score"), 4).alias("v"))
     return X.isotonic(p, ["player_id", "lie"], "bin", "v").withColumn("fit", half_up(F.col("fit") + 1e-9, 5))
 
 
