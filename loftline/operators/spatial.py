@@ -1,8 +1,11 @@
 """Positions against course polygons.
 
-Every join is two-stage: an equality join on (course, grid cell) prunes, then a box test and the exact ring
-expression decide.  Features are listed once per cell they touch; positions stay single rows, so a crowded
-tee box makes many rows under one key, which the adaptive skew join splits.
+Every join is two-stage: an equality join on (course, grid cell) prunes, then the exact ring expression decides.  Features
+are listed once per cell they touch; positions stay single rows, so a crowded tee box makes many rows under one key, which
+the adaptive skew join splits.
+
+Questions of containment use a cover: a cell known to lie inside a feature needs no ring test, one outside is not listed,
+only positions in cells near an outline are tested.  Cells of two sizes keep the list short.
 
 Positions: course_id, x, y.  Features: course_id, feature_id, kind, ring array<struct<x,y>>, inner array<ring>.
 """
@@ -21,6 +24,8 @@ from loftline.operators.skew import evaluated_once
 from loftline.settings import DEFAULTS, YARDS_PER_METRE, Settings, lookup
 
 CELL = 60.0
+#: Cells of a cover, in yards: small ones near outlines, large ones (so many small ones a side) within.
+SMALL, SIDE = 10.0, 6
 PRIORITY = {"green": 1, "sand": 2, "water": 3, "tee": 4, "fairway": 5, "trees": 6, "ob": 7, "rough": 8}
 NAME = {v: k for k, v in PRIORITY.items()}
 
@@ -43,14 +48,138 @@ def near(points: DataFrame, features: DataFrame, margin: float = 0.0, cell: floa
     return j.drop("_cx", "_cy") if keep_box else j.drop("_cx", "_cy", "_x0", "_y0", "_x1", "_y1")
 
 
+def _in(ring, inner, x, y) -> Column:
+    none = F.array().cast("array<array<struct<x:double,y:double>>>")
+    return G.contains(ring, x, y) & ~F.exists(F.coalesce(inner, none), lambda r: G.contains(r, x, y))
+
+
 def inside(x="x", y="y") -> Column:
     """P-02: in the outer ring and in no clearing."""
-    return G.contains("ring", x, y) & ~F.exists(F.coalesce("inner", F.array().cast("array<array<struct<x:double,y:double>>>")), lambda r: G.contains(r, x, y))
+    return _in(F.col("ring"), F.col("inner"), x, y)
+
+
+def _all_edges() -> Column:
+    """Edges of the ring and of its clearings."""
+    none = F.array().cast("array<array<struct<x:double,y:double>>>")
+    return F.concat(G.edges("ring"), F.flatten(F.transform(F.coalesce("inner", none), G.edges)))
+
+
+def _edge_near(edges, x, y, box, reach) -> Column:
+    """Whether an edge comes within ``reach``; one whose box is farther than ``box`` is not measured."""
+    def close(e):
+        p, q = e["a"], e["b"]
+        return ((F.least(p["x"], q["x"]) <= x + box) & (F.greatest(p["x"], q["x"]) >= x - box) & (F.least(p["y"], q["y"]) <= y + box) & (F.greatest(p["y"], q["y"]) >= y - box)
+                & (G.seg_distance(x, y, p["x"], p["y"], q["x"], q["y"]) <= reach))
+    return F.exists(edges, close)
+
+
+def _in_box(b, x, y, by=0.0) -> Column:
+    x, y = c(x), c(y)
+    return (x >= b["x0"] - by) & (x <= b["x1"] + by) & (y >= b["y0"] - by) & (y <= b["y1"] + by)
+
+
+def _marked(cells: DataFrame, size: float, margin: float) -> DataFrame:
+    """Cells (_cx, _cy) of features with ``_edge``: an outline may be within ``margin`` of the cell; cells wholly outside go.
+
+    An edge whose box is out of reach is not measured, and only cells without an edge are tested for lying inside.
+    """
+    x, y = (F.col("_cx") + 0.5) * size, (F.col("_cy") + 0.5) * size
+    edge = _edge_near(F.col("_e"), x, y, size / 2 + margin + 1e-6, size * math.sqrt(0.5) + margin + 1e-6)
+    return evaluated_once(cells.withColumn("_edge", edge)).filter(F.col("_edge") | inside(x, y))
+
+
+def cover(features: DataFrame, margin: float = 0.0, small: float = SMALL, side: int = SIDE) -> tuple[DataFrame, DataFrame]:
+    """P-01: (large cells inside each feature, small cells inside it or near an outline), with ``_edge`` for the latter.
+
+    A small cell belongs to a large one that is neither inside nor outside.  Cells are found from the features alone,
+    once, whatever the number of positions.
+    """
+    large = small * side
+    b = G.bbox("ring")
+    f = features.withColumns({"_e": _all_edges(),
+                              "_x0": b["x0"] - margin, "_y0": b["y0"] - margin, "_x1": b["x1"] + margin, "_y1": b["y1"] + margin})
+    f = evaluated_once(f)
+    own = [*features.columns, "_e", "_x0", "_y0", "_x1", "_y1"]
+    cells = f.withColumn("_c", F.explode(G.cover_cells("_x0", "_y0", "_x1", "_y1", large))).select(*own, F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy"))
+    big = _marked(cells, large, margin)
+    k = F.sequence(F.lit(0), F.lit(side - 1))
+    subs = F.flatten(F.transform(k, lambda i: F.transform(k, lambda j: F.struct((F.col("_cx") * side + i).alias("cx"), (F.col("_cy") * side + j).alias("cy")))))
+    fine = big.filter("_edge").repartition("course_id", "_cx", "_cy").withColumn("_c", F.explode(subs)).select(*own, F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy"))
+    within = [((F.col(f"_c{k}") + 1) * small >= F.col(f"_{k}0")) & (F.col(f"_c{k}") * small <= F.col(f"_{k}1")) for k in "xy"]
+    gone = ["_e", "_x0", "_y0", "_x1", "_y1"]
+    return big.filter("NOT _edge").drop("_edge", *gone), _marked(fine.filter(within[0] & within[1]), small, margin).drop(*gone)
+
+
+def _placed(points: DataFrame, size: float) -> DataFrame:
+    return points.withColumn("_cx", G.cell("x", size)).withColumn("_cy", G.cell("y", size))
 
 
 def containing(points: DataFrame, features: DataFrame) -> DataFrame:
     """P-01: every feature a point lies in."""
-    return near(points, features).filter(inside())
+    big, fine = cover(features)
+    on = ["course_id", "_cx", "_cy"]
+    sure = _placed(points, SMALL * SIDE).join(big, on)
+    test = _placed(points, SMALL).join(fine, on).filter(~F.col("_edge") | inside()).drop("_edge")
+    return sure.unionByName(test).drop("_cx", "_cy")
+
+
+_UNKNOWN = -(1 << 31)   # a green of no known hole is everyone's own
+
+
+def _rank() -> Column:
+    """Priority, another hole's green read as fairway; null for the boundary."""
+    return lookup(F.when(F.col("kind") == "green", "fairway").otherwise(F.col("kind")), PRIORITY)
+
+
+def _known(features: DataFrame, margin: float = 0.0, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """One row a cell: what every position in it lies in (``base`` priority, ``greens`` by hole, ``bound``), and in small cells the features to test."""
+    box = G.bbox("ring")
+    features = features.withColumns({"_box": F.struct(*[v.alias(k) for k, v in box.items()]), **({"_lines": _all_edges()} if lines else {})})
+    big, fine = cover(features.withColumns({"_p": _rank(), "_b": F.col("kind") == "boundary", "_g": F.when(F.col("kind") == "green", F.coalesce("f_hole", F.lit(_UNKNOWN)))}), margin)
+    on = ["course_id", "_cx", "_cy"]
+    agg = lambda sure: [F.min(F.when(sure, F.col("_p"))).alias("base"), F.collect_set(F.when(sure, F.col("_g"))).alias("greens"), F.max(sure & F.col("_b")).alias("bound")]
+    test = F.collect_list(F.when(F.col("_edge"), F.struct("_p", "_b", "_g", "ring", "inner", "_box", *(["_lines"] if lines else [])))).alias("test")
+    return big.groupBy(*on).agg(*agg(F.lit(True))), fine.groupBy(*on).agg(*agg(~F.col("_edge")), test)
+
+
+def _looked_up(points: DataFrame, features: DataFrame, bounded: DataFrame | None, margin: float = 0.0, reach: Column | float = 0.0) -> DataFrame:
+    """Points with what their cells tell: ``_u`` best priority so far, ``_ub`` inside the boundary, ``_t`` features whose box is within ``reach`` that could still change it, ``_bd`` course has a boundary.
+
+    A point meets one row of each size and stays one row: no pairs are made and nothing is grouped by point.
+    """
+    big, fine = _known(features, margin, margin > 0)
+    on = ["course_id", "_cx", "_cy"]
+    large = big.select(*on, F.struct("base", "greens", "bound").alias("_l"))
+    small = fine.select(*on, F.struct("base", "greens", "bound", "test").alias("_s"))
+    out = _placed(points, SMALL * SIDE).join(large, on, "left").drop("_cx", "_cy")
+    out = _placed(out, SMALL).join(small, on, "left").drop("_cx", "_cy")
+    hole = F.col("hole").cast("int")
+    mine = lambda g: (F.size(g) > 0) & (hole.isNull() | F.array_contains(g, hole) | F.array_contains(g, F.lit(_UNKNOWN)))
+    green = F.coalesce(mine(F.col("_l.greens")), F.lit(False)) | F.coalesce(mine(F.col("_s.greens")), F.lit(False))
+    out = out.withColumns({"_u": F.when(green, F.lit(PRIORITY["green"])).otherwise(F.least("_l.base", "_s.base")),
+                           "_ub": F.coalesce("_l.bound", F.lit(False)) | F.coalesce("_s.bound", F.lit(False))})
+    own = lambda e: F.when(e["_g"].isNotNull() & (hole.isNull() | (e["_g"] == hole) | (e["_g"] == _UNKNOWN)), F.lit(PRIORITY["green"])).otherwise(e["_p"])
+    tests = F.transform(F.col("_s.test"), lambda e: F.struct(own(e).alias("p"), e["_b"].alias("b"), e["ring"].alias("ring"), e["inner"].alias("inner"), e["_box"].alias("box"), *([e["_lines"].alias("lines")] if margin > 0 else [])))
+    out = evaluated_once(out.withColumn("_t", tests).drop("_l", "_s"))
+    at = [F.col("x"), F.col("y")]
+    worth = F.filter("_t", lambda e: F.when(e["b"], ~F.col("_ub") & (F.coalesce("_u", F.lit(99)) > PRIORITY["trees"])).otherwise(e["p"] < F.coalesce("_u", F.lit(99))) & _in_box(e["box"], *at, reach))
+    out = out.withColumn("_t", F.coalesce(worth, F.array().cast(out.schema["_t"].dataType)))
+    if bounded is None:
+        return out.withColumn("_bd", F.lit(False))
+    return out.join(bounded.select("course_id", F.lit(True).alias("_bd")).distinct(), "course_id", "left").withColumn("_bd", F.coalesce("_bd", F.lit(False)))
+
+
+def _code(p: Column, b: Column) -> Column:
+    """Ground outside a course's boundary is ob, never where mapped rough says otherwise; nothing is rough."""
+    q = F.coalesce(p, F.lit(99))
+    return F.when((q > PRIORITY["trees"]) & F.col("_bd") & ~b & (q != PRIORITY["rough"]), PRIORITY["ob"]).otherwise(F.coalesce(p, F.lit(PRIORITY["rough"])))
+
+
+def _read(x, y, tests: str = "_t") -> Column:
+    """The surface code at a place, from what is known and the features still to test."""
+    start = F.struct(F.col("_u").cast("int").alias("p"), F.col("_ub").alias("b"))
+    step = lambda s, e: F.when(_in_box(e["box"], x, y) & _in(e["ring"], e["inner"], x, y), F.struct(F.least(s["p"], e["p"]).alias("p"), (s["b"] | e["b"]).alias("b"))).otherwise(s)
+    return F.aggregate(F.col(tests), start, step, lambda s: _code(s["p"], s["b"]))
 
 
 def surface(points: DataFrame, features: DataFrame, key: str, bounded: DataFrame | None = None) -> DataFrame:
@@ -59,57 +188,39 @@ def surface(points: DataFrame, features: DataFrame, key: str, bounded: DataFrame
 
     ``bounded`` lists the courses that have a boundary.
     """
-    hit = containing(points, features)
-    k = F.when((F.col("kind") == "green") & (F.col("f_hole") != F.col("hole")), "fairway").otherwise(F.col("kind"))
-    g = hit.groupBy(key).agg(F.min(lookup(k, PRIORITY)).alias("_p"), F.max((F.col("kind") == "boundary").cast("int")).alias("_in"))
-    out = points.join(g, key, "left")
-    if bounded is not None:
-        out = out.join(bounded.select("course_id", F.lit(True).alias("_bd")), "course_id", "left")
-        p = F.when((F.coalesce("_p", F.lit(99)) > PRIORITY["trees"]) & F.col("_bd") & (F.coalesce("_in", F.lit(0)) == 0) & (F.coalesce("_p", F.lit(99)) != PRIORITY["rough"]),
-                   PRIORITY["ob"]).otherwise(F.coalesce("_p", F.lit(PRIORITY["rough"])))
-        out = out.withColumn("surface", lookup(p, NAME)).drop("_bd")
-    else:
-        out = out.withColumn("surface", lookup(F.coalesce("_p", F.lit(PRIORITY["rough"])), NAME))
-    return out.drop("_p", "_in")
+    out = _looked_up(points, features, bounded)
+    return out.withColumn("surface", lookup(_read("x", "y").cast("int"), NAME)).select(*points.columns, "surface")
 
 
 def lie_confidence(points: DataFrame, features: DataFrame, key: str, acc: Column, bounded: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """P-04: the surface at a fix and at 32 probes on circles of r and r/2; any change, poor accuracy or a penalty
     surface makes it low.
 
-    A fix that is too coarse is low whatever lies around it and probes its centre alone; the circle of any other is
-    at most that of the coarsest fix that counts, which is the margin.  Probes are opened up inside the task that holds
-    the pair and only hits leave it, so the shuffle carries hits, not probes.
+    A fix that is too coarse is low whatever lies around it and reads its centre alone; the circle of any other is at
+    most that of the coarsest fix that counts, by which the cover's outlines are widened.  A feature whose outline is
+    farther from the fix than r has all probes on one side and is read once; probes are read only where an outline of a
+    better surface crosses the circle, and stop at the first one that differs.
     """
     fine = F.coalesce(acc <= cfg.coarse_m, F.lit(True))
-    pts = points.withColumn("_r", F.greatest(F.when(fine, acc), F.lit(5.0)) * YARDS_PER_METRE).withColumn("_fine", fine)
-    cand = near(pts, features, max(5.0, cfg.coarse_m) * YARDS_PER_METRE, keep_box=True)
-    probes = [(0, F.lit(0.0), F.lit(0.0))] + [(1 + i + 16 * h, F.col("_r") * f * math.cos(i * math.pi / 8), F.col("_r") * f * math.sin(i * math.pi / 8))
-                                            for h, f in enumerate((1.0, 0.5)) for i in range(16)]
-    arr = F.array(*[F.struct(F.lit(n).alias("n"), (F.col("x") + dx).alias("px"), (F.col("y") + dy).alias("py")) for n, dx, dy in probes])
-    k = F.when((F.col("kind") == "green") & (F.col("f_hole") != F.col("hole")), "fairway").otherwise(F.col("kind"))
-    hit = cand.select(key, "kind", "f_hole", "hole", "ring", "inner", "_x0", "_y0", "_x1", "_y1", F.explode(F.when(F.col("_fine"), arr).otherwise(F.slice(arr, 1, 1))).alias("_b"))
-    box = (F.col("_b.px") >= F.col("_x0")) & (F.col("_b.px") <= F.col("_x1")) & (F.col("_b.py") >= F.col("_y0")) & (F.col("_b.py") <= F.col("_y1"))
-    hit = hit.filter(box & inside("_b.px", "_b.py"))
-    per = hit.groupBy(key, F.col("_b.n").alias("n")).agg(F.min(lookup(k, PRIORITY)).alias("p"), F.max((F.col("kind") == "boundary").cast("int")).alias("b"))
-    # per fix: the code at the centre and the extremes over all 33 probes; a probe without hits counts as bare ground
-    code = F.coalesce("p", F.lit(PRIORITY["rough"])) * 2 + F.col("b")
-    g = per.groupBy(key).agg(F.max(F.when(F.col("n") == 0, code)).alias("_c0"), F.min(code).alias("_lo"), F.max(code).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    out = points.select(key, "course_id", acc.alias("_acc")).join(g, key, "left").join(bounded.select("course_id", F.lit(1).alias("_bd")), "course_id", "left")
-
-    def surf(code_):   # even = outside the boundary, odd = inside
-        p, b = F.floor(code_ / 2), code_ % 2
-        return F.when((p >= PRIORITY["ob"]) & (F.col("_bd") == 1) & (b == 0), PRIORITY["ob"]).otherwise(p)
-    bare = F.lit(PRIORITY["rough"] * 2)
-    c0 = F.coalesce("_c0", bare)
-    full = F.coalesce("_n", F.lit(0)) == 33
-    lo, hi = F.coalesce("_lo", bare), F.coalesce("_hi", bare)
-    s0, slo = surf(c0), surf(lo)
-    # probes that hit nothing are bare; every probe must read like the centre
-    same_hits = (slo == s0) & (surf(hi) == s0)
-    same = F.when(full, same_hits).when(F.coalesce("_n", F.lit(0)) == 0, F.lit(True)).otherwise(same_hits & (surf(bare) == s0))
-    pen = s0.isin(PRIORITY["water"], PRIORITY["ob"])
-    return out.select(key, lookup(s0.cast("int"), NAME).alias("lie"), F.when(~same | pen | (F.col("_acc") > cfg.coarse_m), "low").otherwise("high").alias("confidence"))
+    pts = points.withColumn("_acc", acc).withColumn("_r", F.greatest(F.when(fine, acc), F.lit(5.0)) * YARDS_PER_METRE).withColumn("_fine", fine)
+    out = _looked_up(pts, features, bounded, max(5.0, cfg.coarse_m) * YARDS_PER_METRE, F.col("_r") + 1e-6)
+    x, y, r = F.col("x"), F.col("y"), F.col("_r") + 1e-6
+    out = out.withColumn("_c0", _read(x, y))
+    out = evaluated_once(out.withColumn("_x", F.transform("_t", lambda e: F.col("_fine") & _edge_near(e["lines"], x, y, r, r))))
+    some = F.exists("_x", lambda k: k)
+    out = evaluated_once(out.withColumns({"_m": F.when(some, F.filter("_t", lambda e, i: F.get("_x", i))), "_h": F.when(some, F.filter("_t", lambda e, i: ~F.get("_x", i)))}).drop("_t", "_x"))
+    probes = F.array(*[F.struct((F.col("x") + F.col("_r") * f * math.cos(i * math.pi / 8)).alias("px"), (F.col("y") + F.col("_r") * f * math.sin(i * math.pi / 8)).alias("py"))
+                       for f in (1.0, 0.5) for i in range(16)])
+    # features that do not cross the circle hold the centre and every probe alike
+    held = F.filter("_h", lambda e: _in_box(e["box"], x, y) & _in(e["ring"], e["inner"], x, y))
+    near_edge = evaluated_once(out.withColumn("_h", held))
+    near_edge = evaluated_once(near_edge.withColumns({"_u": F.least("_u", F.array_min(F.transform("_h", lambda e: e["p"]))),
+                                                      "_ub": F.col("_ub") | F.coalesce(F.exists("_h", lambda e: e["b"]), F.lit(False))}).drop("_h"))
+    better = F.filter("_m", lambda e: e["b"] | (e["p"] < F.coalesce("_u", F.lit(99))))
+    near_edge = evaluated_once(near_edge.withColumn("_m", better))
+    differs = F.when(F.size("_m") > 0, F.exists(probes, lambda o: _read(o["px"], o["py"], "_m") != F.col("_c0"))).otherwise(F.lit(False))
+    pen = F.col("_c0").isin(PRIORITY["water"], PRIORITY["ob"])
+    return near_edge.select(key, lookup(F.col("_c0").cast("int"), NAME).alias("lie"), F.when(pen | (F.col("_acc") > cfg.coarse_m) | differs, "low").otherwise("high").alias("confidence"))
 
 
 def nearest(points: DataFrame, features: DataFrame, key: str, reach: float) -> DataFrame:
