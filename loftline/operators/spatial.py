@@ -508,3 +508,22 @@ def idw(queries: DataFrame, samples: DataFrame, key: str, k: int = 4, cell: floa
     sq = F.nullif(F.col("_d") * F.col("_d"), F.lit(0.0))
     g = best.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min_by("_z", "_r").alias("z1"), F.min("_d").alias("d1"), F.sum(1 / sq).alias("w"), F.sum(F.col("_z") / sq).alias("v"))
     return g.select(key, F.when(F.col("d1") < snap, F.col("z1")).otherwise(F.col("v") / F.col("w")).alias("z"), F.col("n").cast("bigint").alias("used"))
+
+
+def placed_dots(dots: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """P-22: observed finishes put round a target: (keys, course_id, hole, x, y, and the dots' other columns).
+
+    ``dots`` (keys, sx, sy) are offsets right of and short of where a shot was aimed; ``targets`` (keys, course_id, hole,
+    ball_x, ball_y, target_x, target_y).  Offsets turn with the line from ball to target; a target on the ball has none.
+    """
+    t = targets.withColumn("_l", F.hypot(F.col("target_x") - F.col("ball_x"), F.col("target_y") - F.col("ball_y"))).filter(F.col("_l") >= 1e-9)
+    t = t.select(*keys, "course_id", "hole", "target_x", "target_y", ((F.col("target_x") - F.col("ball_x")) / F.col("_l")).alias("_fx"), ((F.col("target_y") - F.col("ball_y")) / F.col("_l")).alias("_fy"))
+    j = dots.join(t, list(keys))
+    return j.select(*keys, "course_id", "hole", *[k for k in dots.columns if k not in (*keys, "sx", "sy")],
+                    (F.col("target_x") + F.col("_fy") * F.col("sx") - F.col("_fx") * F.col("sy")).alias("x"), (F.col("target_y") - F.col("_fx") * F.col("sx") - F.col("_fy") * F.col("sy")).alias("y"))
+
+
+def dot_tones(dots: DataFrame, targets: DataFrame, features: DataFrame, keys: Sequence[str], bounded: DataFrame | None = None) -> DataFrame:
+    """P-22: (keys, course_id, hole, tone, n): where a player's shots would finish round each target; every shot counts."""
+    s = surface(placed_dots(dots, targets, keys), features, "shot_id", bounded)
+    return s.groupBy(*keys, "course_id", "hole", tone("surface").alias("tone")).agg(F.count(F.lit(1)).alias("n"))

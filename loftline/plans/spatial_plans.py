@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from loftline.functions import geo
 from loftline.functions import rings as G
 from loftline.functions.numbers import half_up
+from loftline.operators import greens as R
 from loftline.operators import shots as S
 from loftline.operators import spatial as P
+from loftline.operators import teeboxes as B
 from loftline.operators import terrain as T
 from loftline.operators.skew import evaluated_once
 from loftline.plans.data import add_view
@@ -349,10 +351,111 @@ def plane_fit(d):
     return p.select("i", "j", "n", half_up(pct + 1e-9, 5).alias("slope_pct"), half_up(deg + 1e-9, 3).alias("downhill"))
 
 
-@query("putt_read")
+# every course has two grids: the raster at 2 yards a cell, moved to a place of its own
+GRIDS = f"""{CELLS}, gr AS (SELECT course_id, k AS grid_id, CAST((course_id*37+k*90)%200-100 AS DOUBLE) AS gx, CAST((course_id*53+k*130)%380 AS DOUBLE) AS gy FROM (SELECT DISTINCT course_id FROM feat_v), (SELECT unnest([0,1]) AS k)),
+ gn AS (SELECT course_id, feature_id AS green_id, f_hole, cx, cy FROM feat_v WHERE kind='green'),
+ gg AS (SELECT course_id, green_id, grid_id, sqrt((gx-cx)*(gx-cx)+(gy-cy)*(gy-cy)) AS d, row_number() OVER (PARTITION BY green_id ORDER BY sqrt((gx-cx)*(gx-cx)+(gy-cy)*(gy-cy)), grid_id) AS rn FROM gn JOIN gr USING (course_id) WHERE sqrt((gx-cx)*(gx-cx)+(gy-cy)*(gy-cy))<=25)"""
+
+
+def greens(d):
+    f = features(d).filter("kind = 'green'")
+    at = d.view("feat_v").select("feature_id", "cx", "cy")
+    return f.join(at, "feature_id").select("course_id", F.col("feature_id").alias("green_id"), "f_hole", F.col("cx").alias("x"), F.col("cy").alias("y"), "ring")
+
+
+def grids(d):
+    g = d.view("feat_v").select("course_id").distinct().withColumn("grid_id", F.explode(F.array(F.lit(0), F.lit(1))))
+    c, k = F.col("course_id"), F.col("grid_id")
+    return g.select("course_id", "grid_id", ((c * 37 + k * 90) % 200 - 100).cast("double").alias("gx"), ((c * 53 + k * 130) % 380).cast("double").alias("gy"))
+
+
+@query("grid_for_green", f"WITH {GRIDS} SELECT course_id, green_id, CAST(grid_id AS INT) AS grid_id, {HU('d', 6)} AS dist FROM gg WHERE rn=1", ("feat_v", "points_v"))
+def grid_for_green(d):
+    """P-28: the grid under each green."""
+    return R.grid_for_green(greens(d), grids(d)).select("course_id", "green_id", "grid_id", half_up("dist", 6).alias("dist"))
+
+
+@query("putt_read", f"""WITH {EDGES}, {GRIDS}, gc AS (SELECT green_id, i, j, gx+(i+0.5::DOUBLE)*2 AS x, gy+(j+0.5::DOUBLE)*2 AS y, z FROM gg JOIN gr USING (course_id, grid_id) CROSS JOIN cc WHERE rn=1),
+ gd AS (SELECT gc.*, ax, ay, bx, bw, greatest(0, least(1, ((x-ax)*(bx-ax)+(y-ay)*(bw-ay))/((bx-ax)*(bx-ax)+(bw-ay)*(bw-ay)))) AS tt FROM gc JOIN ed ON ed.feature_id=green_id AND ring=0),
+ og AS (SELECT green_id, i, j, x, y, z FROM gd GROUP BY ALL HAVING sum({CROSS})%2=1 OR min({SEGD('x', 'y')})<=1),
+ nb AS (SELECT c.green_id, c.i, c.j, n.x-c.x AS x, n.y-c.y AS y, n.z FROM gc c JOIN og n ON n.green_id=c.green_id AND abs(n.i-c.i)<=2 AND abs(n.j-c.j)<=2),
+ mo AS (SELECT green_id, i, j, count(*) AS n, sum(x*x)-sum(x)*sum(x)/count(*) AS sxx, sum(y*y)-sum(y)*sum(y)/count(*) AS syy, sum(x*y)-sum(x)*sum(y)/count(*) AS sxy, sum(x*z)-sum(x)*sum(z)/count(*) AS sxz, sum(y*z)-sum(y)*sum(z)/count(*) AS syz FROM nb GROUP BY ALL HAVING count(*)>=9),
+ pl AS (SELECT green_id, i, j, (sxz*syy-syz*sxy)/(sxx*syy-sxy*sxy) AS b, (syz*sxx-sxz*sxy)/(sxx*syy-sxy*sxy) AS c FROM mo WHERE abs(sxx*syy-sxy*sxy)>=1e-9),
+ pu AS (SELECT shot_id, green_id, cx+shot_id%9-4 AS bx0, cy+shot_id%7-3 AS by0, cx+shot_id%5-2 AS px, cy+shot_id%11-5 AS py FROM shots_v s JOIN gn ON gn.course_id=s.course_id AND gn.f_hole%3+1=s.hole WHERE shot_type='putt'),
+ pn AS (SELECT *, sqrt((px-bx0)*(px-bx0)+(py-by0)*(py-by0)) AS l FROM pu), ps AS (SELECT *, greatest(2, CAST(ceil(l) AS BIGINT)) AS n FROM pn WHERE l>=0.5),
+ sm AS (SELECT shot_id, green_id, bx0, by0, px, py, l, t, bx0+(px-bx0)*t/n AS x, by0+(py-by0)*t/n AS y FROM (SELECT *, unnest(range(0, n+1)) AS t FROM ps)),
+ nr AS (SELECT sm.shot_id, sm.green_id, bx0, by0, px, py, l, t, gc.i, gc.j, row_number() OVER (PARTITION BY sm.shot_id, sm.green_id, t ORDER BY round(sqrt(pow(gc.x-sm.x,2)+pow(gc.y-sm.y,2)),9), gc.i, gc.j) AS rn FROM sm JOIN gc ON gc.green_id=sm.green_id AND round(sqrt(pow(gc.x-sm.x,2)+pow(gc.y-sm.y,2)),9)<=4),
+ rd AS (SELECT nr.shot_id, nr.green_id, bx0, by0, px, py, l, avg(b) AS b, avg(c) AS c FROM nr JOIN pl ON pl.green_id=nr.green_id AND pl.i=nr.i AND pl.j=nr.j WHERE nr.rn=1 GROUP BY ALL HAVING count(*)>=2),
+ pc AS (SELECT *, floor((b*(px-bx0)/l+c*(py-by0)/l)/0.9144*1000+0.5+1e-9)/10 AS al, floor((b*(py-by0)/l-c*(px-bx0)/l)/0.9144*1000+0.5+1e-9)/10 AS ac FROM rd)
+SELECT shot_id, green_id, al AS along_pct, ac AS across_pct, CASE WHEN abs(al)<0.3 THEN 'Level' ELSE CASE WHEN al>0 THEN 'Uphill ' ELSE 'Downhill ' END || printf('%.1f', abs(al)) || '%' END || ' · ' ||
+ CASE WHEN abs(ac)<0.3 THEN 'straight' ELSE 'breaks ' || CASE WHEN ac>0 THEN 'right to left ' ELSE 'left to right ' END || printf('%.1f', abs(ac)) || '%' END AS words FROM pc""", ("feat_v", "points_v", "shots_v"))
 def putt_read(d):
-    p = d.points.select("point_id", F.col("x").alias("bx"), F.col("y").alias("by"), (F.col("x") + 12).alias("px"), (F.col("y") - 9).alias("py"))
-    return T.putt_read(p, T.planes(cells(d)), "point_id", 20.0)
+    """A-32 on the grids of P-28: every putt on each green of its hole that has a grid."""
+    g = greens(d)
+    found = R.grid_for_green(g, grids(d)).join(grids(d), ["course_id", "grid_id"])
+    c = found.select("green_id", "gx", "gy").crossJoin(cells(d).select("i", "j", "z"))   # input: each grid is the raster, moved
+    c = c.select("green_id", "i", "j", (F.col("gx") + (F.col("i") + 0.5) * 2).alias("x"), (F.col("gy") + (F.col("j") + 0.5) * 2).alias("y"), "z")
+    p = d.shots.filter("shot_type = 'putt'").join(g.select("course_id", (F.col("f_hole") % 3 + 1).alias("hole"), "green_id", "x", "y"), ["course_id", "hole"])
+    k = F.col("shot_id")
+    p = p.select("shot_id", "green_id", (F.col("x") + k % 9 - 4).alias("bx"), (F.col("y") + k % 7 - 3).alias("by"), (F.col("x") + k % 5 - 2).alias("px"), (F.col("y") + k % 11 - 5).alias("py"))
+    return R.putt_read(p, c, g, "shot_id", 2.0)
+
+
+# the card of every hole: six names, one of them twice, two combinations, one without a yardage
+add_view("cards_v", """SELECT course_id, hole, c.ord, c.name, CAST(floor(sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0))) AS INT) + c.more AS yards FROM lines_v
+ CROSS JOIN (VALUES (1, 'Gold ', 31), (2, 'Blue', 12), (3, 'Blue/White', 2), (4, ' blue', 40), (5, 'White', -14), (6, 'Combo', -20), (7, 'Red', -44), (8, 'Green', CAST(NULL AS INT))) AS c(ord, name, more)""", ("lines_v",))
+
+
+@query("tee_boxes", """WITH h AS (SELECT course_id, hole, x0, y0, (x0+x1)/2+15 AS mx, (y0+y1)/2 AS my, x1, y1, x1+3 AS gx, y1+5 AS gy FROM lines_v), b AS (SELECT f.course_id, f.feature_id, f.f_hole AS hole, cx, cy, h.* EXCLUDE (course_id, hole) FROM feat_v f LEFT JOIN h ON h.course_id=f.course_id AND h.hole=f.f_hole WHERE f.kind='tee'),
+ t AS (SELECT *, sqrt((mx-x0)*(mx-x0)+(my-y0)*(my-y0)) AS l1, sqrt((x1-mx)*(x1-mx)+(y1-my)*(y1-my)) AS l2, greatest(0,least(1,((cx-x0)*(mx-x0)+(cy-y0)*(my-y0))/((mx-x0)*(mx-x0)+(my-y0)*(my-y0)))) AS t1, greatest(0,least(1,((cx-mx)*(x1-mx)+(cy-my)*(y1-my))/((x1-mx)*(x1-mx)+(y1-my)*(y1-my)))) AS t2 FROM b),
+ o AS (SELECT *, sqrt(pow(cx-x0-t1*(mx-x0),2)+pow(cy-y0-t1*(my-y0),2)) AS o1, sqrt(pow(cx-mx-t2*(x1-mx),2)+pow(cy-my-t2*(y1-my),2)) AS o2 FROM t),
+ y AS (SELECT course_id, feature_id, hole, CASE WHEN gx IS NOT NULL THEN l1+l2-CASE WHEN o2<o1-1e-12 THEN l1+t2*l2 ELSE t1*l1 END+CASE WHEN o2>=o1-1e-12 AND t1=0 THEN o1 ELSE 0 END+sqrt((gx-x1)*(gx-x1)+(gy-y1)*(gy-y1)) END AS yards FROM o),
+ ct AS (SELECT course_id, hole, trim(name) AS name, yards AS ty FROM cards_v WHERE yards>0 AND NOT regexp_matches(lower(name), '/|combo|hybrid|mixed') QUALIFY row_number() OVER (PARTITION BY course_id, hole, lower(trim(name)) ORDER BY ord)=1),
+ r AS (SELECT y.*, ct.name, row_number() OVER (PARTITION BY y.feature_id ORDER BY round(abs(ty-y.yards),9), ty DESC) AS rn FROM y LEFT JOIN ct ON ct.course_id=y.course_id AND ct.hole=y.hole AND round(abs(ct.ty-y.yards),9)<=20)
+SELECT course_id, feature_id, hole, floor(yards*10000+0.5+1e-6)/10000 AS yards, name FROM r WHERE rn=1""", ("feat_v", "cards_v"))
+def tee_boxes(d):
+    """P-13: every tee box of the map, named off the card of its hole."""
+    ln = d.view("lines_v")
+    x = lambda k: F.col(k)
+    holes = ln.select("course_id", "hole", F.array(G.pt("x0", "y0"), G.pt((x("x0") + x("x1")) / 2 + 15, (x("y0") + x("y1")) / 2), G.pt("x1", "y1")).alias("line"), (x("x1") + 3).alias("gx"), (x("y1") + 5).alias("gy"))
+    boxes = features(d).filter("kind = 'tee'").select("course_id", "feature_id", F.col("f_hole").alias("hole"), "ring")
+    t = B.name_tee_boxes(boxes, holes, d.view("cards_v"))
+    return t.select("course_id", "feature_id", "hole", (F.floor(F.col("yards") * 10000 + 0.5 + 1e-6) / 10000).alias("yards"), "name")
+
+
+LATLNG = "34+{y}*0.00001::DOUBLE AS lat, -84+{x}*0.00001::DOUBLE AS lng"
+
+
+@query("sample_points", f"""WITH {EDGES}, e AS (SELECT course_id, 34+y0*0.00001::DOUBLE AS la, -84+x0*0.00001::DOUBLE AS lo, 34+y1*0.00001::DOUBLE AS lb, -84+x1*0.00001::DOUBLE AS lp FROM lines_v),
+ n AS (SELECT *, greatest(1, CAST(floor(sqrt(pow((lp-lo)*cos(radians(la)),2)+pow(lb-la,2))*pi()/180*6371008.8::DOUBLE/20+0.5) AS BIGINT)) AS n FROM e),
+ a AS (SELECT course_id, la+(lb-la)*k/n AS lat, lo+(lp-lo)*k/n AS lng, 0 AS src FROM (SELECT *, unnest(range(0, n)) AS k FROM n) UNION ALL SELECT course_id, lb, lp, 0 FROM e
+  UNION ALL SELECT course_id, {LATLNG.format(x='cx', y='cy')}, 1 FROM feat_v WHERE kind='green'
+  UNION ALL SELECT f.course_id, {LATLNG.format(x='x', y='y')}, 2 FROM feat_v f JOIN ver ON ver.feature_id=f.feature_id AND ver.ring=0 AND k%2=0 WHERE f.kind='green'
+  UNION ALL SELECT f.course_id, avg(34+y*0.00001::DOUBLE), avg(-84+x*0.00001::DOUBLE), 3 FROM feat_v f JOIN ver ON ver.feature_id=f.feature_id AND ver.ring=0 WHERE f.kind IN ('fairway','tee') GROUP BY f.course_id, f.feature_id)
+SELECT course_id, {HU('lat+3e-10', 5)} AS lat, {HU('lng+3e-10', 5)} AS lng, CASE min(src) WHEN 0 THEN 'line' WHEN 1 THEN 'green' WHEN 2 THEN 'edge' ELSE 'feature' END AS source FROM a GROUP BY course_id, {HU('lat+3e-10', 5)}, {HU('lng+3e-10', 5)}""", ("feat_v", "lines_v", "shots_v"))
+def sample_points(d):
+    """P-17: the heights to fetch for every course; a yard of the map is read as a hundred-thousandth of a degree."""
+    nudge = 3e-10   # places that stand on a rounding edge
+    put = lambda p: F.struct((-84 + p["x"] * 0.00001 + nudge).alias("x"), (34 + p["y"] * 0.00001 + nudge).alias("y"))
+    f = features(d).withColumn("ring", F.transform("ring", put))
+    ln = d.view("lines_v").select("course_id", F.transform(F.array(G.pt("x0", "y0"), G.pt("x1", "y1")), put).alias("line"))
+    mid = d.view("feat_v").filter("kind = 'green'").select("feature_id", put({"x": F.col("cx"), "y": F.col("cy")}).alias("p"))
+    g = f.join(mid, "feature_id").select("course_id", "p.x", "p.y", "ring")
+    return B.sample_points(ln, g, f, 20.0)
+
+
+@query("landing_dots", f"""WITH {EDGES}, op AS (SELECT o.player_id, o.club, l.course_id, l.hole, x0, y0, x1, y1, sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)) AS l FROM (SELECT DISTINCT player_id, club FROM shots_v) o JOIN lines_v l ON l.course_id=o.player_id%20 AND l.hole%6=length(o.club)),
+ dt AS (SELECT o.player_id, o.club, s.shot_id, o.course_id, o.hole, x1+(y1-y0)/l*lat_miss_yds+(x1-x0)/l*dist_miss_yds AS x, y1-(x1-x0)/l*lat_miss_yds+(y1-y0)/l*dist_miss_yds AS y FROM shots_v s JOIN op o ON o.player_id=s.player_id AND o.club=s.club),
+ {hits('h', 'dt', 'player_id, club, shot_id, p.course_id, hole, x, y')}, s AS (SELECT shot_id, course_id, hole, min({RANK}) AS p, max(CASE WHEN kind='boundary' THEN 1 ELSE 0 END) AS b FROM h GROUP BY ALL),
+ sf AS (SELECT dt.*, CASE WHEN coalesce(p,8)=8 AND dt.course_id%2=0 AND coalesce(b,0)=0 THEN 7 ELSE coalesce(p,8) END AS p FROM dt LEFT JOIN s ON s.shot_id=dt.shot_id AND s.course_id=dt.course_id AND s.hole=dt.hole)
+SELECT player_id, club, course_id, hole, CASE WHEN p IN (1,4,5) THEN 'fairway' WHEN p=8 THEN 'rough' ELSE 'trouble' END AS tone, CAST(count(*) AS BIGINT) AS n FROM sf GROUP BY ALL""", ("feat_v", "shots_v", "lines_v"))
+def landing_dots(d):
+    """P-22: each player's shots with a club, put round the ends of the holes played with it."""
+    dots = d.shots.select("player_id", "club", "shot_id", F.col("lat_miss_yds").alias("sx"), (-F.col("dist_miss_yds")).alias("sy"))
+    own = d.shots.select("player_id", "club").distinct()
+    ln = d.view("lines_v").select("course_id", "hole", F.col("x0").alias("ball_x"), F.col("y0").alias("ball_y"), F.col("x1").alias("target_x"), F.col("y1").alias("target_y"))
+    t = own.join(ln, (F.col("course_id") == F.col("player_id") % 20) & (F.col("hole") % 6 == F.length("club")))
+    return P.dot_tones(dots, t, features(d), ["player_id", "club"], bounded(d))
 
 
 RLE = "c AS (SELECT DISTINCT l_suppkey AS j, l_linenumber + (l_partkey%5)*8 AS i FROM lineitem), g AS (SELECT *, i-row_number() OVER (PARTITION BY j ORDER BY i) AS gr FROM c)"
