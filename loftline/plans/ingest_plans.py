@@ -32,6 +32,47 @@ def stitched_rows(d):
     return s.select("doc_id", "line_no", F.length("row").alias("row_len"))
 
 
+CLUBS = R.Layout("clubs", "B A G  M A P P I N G", "P U T T I N G", (r"^(\S+)\s+(\S+)\s+(\S+)\s+(\S+)$",), (("club", "text"), ("shots", "num"), ("miss", "num"), ("straight", "pct")))
+PUTTS = R.Layout("putting", "P U T T I N G", None, (r"^(\S+)$", r"^(\d+)-(\d+) ft\s+(\S+)\s+(\S+)$", r"^(\d+) / (\d+)$"),
+                 (("three", "pct"), ("from_ft", "num"), ("to_ft", "num"), ("n", "num"), ("leave", "feet"), ("three_n", "num"), ("of_n", "num")))
+
+
+def _cells(name):
+    """Every seventh row's cell is spoilt, every fifth has no value; both by the row's count."""
+    return lambda v: F.when(F.col(name) % 7 == 0, "?!").when(F.col(name) % 5 == 0, "N/A").otherwise(F.replace(v.cast("string"), F.lit("-"), F.lit("−")))
+
+
+def reports(d):
+    """A printed report for each player: a table of clubs and one of putts with three lines a row."""
+    c = d.shots.groupBy("player_id", "club").agg(F.count(F.lit(1)).alias("n"), half_up(F.avg("dist_miss_yds"), 1).alias("miss"), half_up(F.avg(F.when(F.abs("lat_miss_yds") <= 5, 100.0).otherwise(0.0)), 1).alias("st"))
+    line = F.concat_ws("  ", "club", F.format_number("n", 0), _cells("n")(F.col("miss")), F.concat(F.col("st").cast("string"), F.lit("%")))
+    clubs = c.groupBy("player_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n\n").alias("clubs"))
+    p = d.shots.filter("shot_type = 'putt'").groupBy("player_id", F.floor(F.col("putt_ft") / 10).alias("b")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("made")).alias("three"), F.max(F.col("putt_ft") % 12).cast("int").alias("inch"))
+    b = F.col("b") * 10
+    rows = F.concat_ws("\n", F.concat(half_up(F.col("three") * 100.0 / F.col("n"), 1).cast("string"), F.lit("%")),
+                       F.concat(b, F.lit("-"), b + 10, F.lit(" ft  "), F.col("n"), F.lit("  "), F.when(F.col("n") % 7 == 0, "?!").otherwise(F.concat(F.col("b"), F.lit("'"), F.col("inch"), F.lit('"')))),
+                       F.concat(F.col("three"), F.lit(" / "), F.col("n")))
+    putts = p.groupBy("player_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", rows.alias("r")))), lambda x: x["r"]), "\nsee the notes\n").alias("putts"))
+    return clubs.join(putts, "player_id").select("player_id", F.concat(F.lit("Report\n"), F.lit(CLUBS.start), F.lit("\nclub shots miss\n"), "clubs", F.lit("\n" + PUTTS.start + "\nby distance\n"), "putts").alias("text"))
+
+
+@query("report_clubs", f"""SELECT player_id, club, CAST(n AS DOUBLE) AS shots, CASE WHEN n%7<>0 AND n%5<>0 THEN miss END AS miss, st/100 AS straight, CAST(n%7=0 AS INT) AS bad FROM (SELECT player_id, club, count(*) AS n, {HU('avg(dist_miss_yds)', 1)} AS miss,
+ {HU('avg(CASE WHEN abs(lat_miss_yds)<=5 THEN 100.0::DOUBLE ELSE 0 END)', 1)} AS st FROM shots_v GROUP BY ALL) WHERE player_id IN (SELECT player_id FROM shots_v WHERE shot_type='putt')""", ("shots_v",))
+def report_clubs(d):
+    """O-07, rows of one line: what was printed is read back."""
+    r = R.report_rows(reports(d), "player_id", "text", [CLUBS, PUTTS]).filter("section = 'clubs'")
+    return r.select("player_id", F.col("texts")["club"].alias("club"), *[F.col("numbers")[k].alias(k) for k in ("shots", "miss", "straight")], F.size("bad").alias("bad"))
+
+
+@query("report_putts", f"""SELECT player_id, CAST(b*10 AS DOUBLE) AS from_ft, CAST(b*10+10 AS DOUBLE) AS to_ft, CAST(n AS DOUBLE) AS n, {HU('th*100.0::DOUBLE/n', 1)}/100 AS three, CASE WHEN n%7<>0 THEN b+inch/12.0::DOUBLE END AS leave, CAST(th AS DOUBLE) AS three_n, CAST(row_number() OVER (PARTITION BY player_id ORDER BY b) AS INT) AS row_no, CAST(n%7=0 AS INT) AS bad
+ FROM (SELECT player_id, floor(putt_ft/10) AS b, count(*) AS n, count(*) FILTER (NOT made) AS th, CAST(max(putt_ft%12) AS INT) AS inch FROM shots_v WHERE shot_type='putt' GROUP BY ALL)""", ("shots_v",))
+def report_putts(d):
+    """O-07, rows of three lines with lines of prose between them."""
+    r = R.report_rows(reports(d), "player_id", "text", [CLUBS, PUTTS]).filter("section = 'putting'")
+    return r.select("player_id", "row_no", *[F.col("numbers")[k].alias(k) for k in ("from_ft", "to_ft", "n", "three", "leave", "three_n")], F.size("bad").alias("bad"))
+
+
 @query("vocabulary", """SELECT p_partkey, CASE p_partkey%5 WHEN 0 THEN 'Dr' WHEN 1 THEN '7i' WHEN 2 THEN NULL WHEN 3 THEN 'PW' ELSE 'Putter' END AS club, CASE p_size%4 WHEN 0 THEN 'rough' WHEN 1 THEN 'sand' WHEN 2 THEN 'tee' ELSE NULL END AS lie FROM part""")
 def vocabulary(d):
     k, s = F.col("p_partkey") % 5, F.col("p_size") % 4
