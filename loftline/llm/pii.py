@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 from collections.abc import Iterator
 
 import pandas as pd
@@ -108,13 +110,13 @@ def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
     base = base_spans(text)
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
     more = list(_iban(text))
-    taken = sorted([*base, *more])
     for kind, pattern in (("ssn", _SSN), ("tel", _TEL)):
+        taken = sorted((s, e) for s, e, _ in [*base, *more])
+        starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))   # the farthest end so far
         for m in pattern.finditer(text):
-            if (_score(text, m.start(), m.end(), kind) >= FLOOR and 7 <= len(_digits(m[0])) <= 13
-                    and not any(s < m.end() and m.start() < e for s, e, _ in taken)):
+            before = bisect_left(starts, m.end())
+            if not (before and reach[before - 1] > m.start()) and 7 <= len(_digits(m[0])) <= 13 and _score(text, m.start(), m.end(), kind) >= FLOOR:
                 more.append((m.start(), m.end(), kind))
-        taken = sorted([*base, *more])
     both = [(*s, _score(text, *s)) for s in [*base, *more]]
     return sorted(base, key=order), sorted(both, key=order)
 
