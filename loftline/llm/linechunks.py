@@ -30,37 +30,42 @@ def _starts(seed: int) -> Column:
                     lambda i: (i == 0) | below(i, 2 * seed + 1) | below(i - 2, 2 * seed + 2))
 
 
-def _runs(starts: str, with_text: bool) -> Column:
-    """(start, end, hash, chars, chunk) of the runs of at least MIN_LINES; the hash is that of the hashes of the lines."""
+def _places(starts: str) -> Column:
+    """The runs of at least MIN_LINES between the cuts of one seed, each as one number: first line and line after it."""
     runs = F.transform(starts, lambda s, k: F.struct(s.alias("start"), F.coalesce(F.get(starts, k + 1), F.size("_l")).alias("end")))
-    part = lambda of, r: F.slice(of, r["start"] + 1, r["end"] - r["start"])
-    text = lambda r: F.array_join(part("_l", r), "\n")
-    return F.transform(F.filter(runs, lambda r: r["end"] - r["start"] >= MIN_LINES), lambda r: F.struct(
-        r["start"], r["end"], F.unhex(F.md5(F.array_join(part("_h", r), ":"))).alias("hash"), F.length(text(r)).alias("chars"),
-        *([text(r).alias("chunk")] if with_text else [])))
+    return F.transform(F.filter(runs, lambda r: r["end"] - r["start"] >= MIN_LINES), lambda r: F.shiftleft(r["start"].cast("long"), 32) + r["end"])
 
 
-def _long_lines(with_text: bool) -> Column:
-    """The last cutting: every line alone, and of those the long ones, in the form of :func:`_runs`."""
-    line = lambda i: F.element_at("_l", i + 1)
+def _long_lines() -> Column:
+    """The last cutting: every line alone, and of those the long ones, in the form of :func:`_places`."""
     gaps = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
-    long = F.filter(F.sequence(F.lit(0), F.size("_l") - 1), lambda i: gaps(line(i)) >= LONG_WORDS)
-    return F.transform(long, lambda i: F.struct(
-        i.alias("start"), (i + 1).alias("end"), F.unhex(F.md5(F.element_at("_h", i + 1))).alias("hash"), F.length(line(i)).alias("chars"),
-        *([line(i).alias("chunk")] if with_text else [])))
+    long = F.filter(F.sequence(F.lit(0), F.size("_l") - 1), lambda i: gaps(F.element_at("_l", i + 1)) >= LONG_WORDS)
+    return F.transform(long, lambda i: F.shiftleft(i.cast("long"), 32) + i + 1)
+
+
+def _chunk(place: Column, with_text: bool) -> Column:
+    """(start, end, hash, chars, chunk) of a place; the hash is that of the hashes of the lines."""
+    start, end = F.shiftright(place, 32).cast("int"), place.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    part = lambda of: F.slice(of, start + 1, end - start)
+    text = F.array_join(part("_l"), "\n")
+    return F.struct(start.alias("start"), end.alias("end"), F.unhex(F.md5(F.array_join(part("_h"), ":"))).alias("hash"), F.length(text).alias("chars"),
+                    *([text.alias("chunk")] if with_text else []))
 
 
 def chunk_rows(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """(_key, doc_id, start, end, hash): each chunk of MIN_LINES lines and MIN_CHARS characters of each cutting, and each
-    long line; its text if asked for."""
+    long line; its text if asked for.
+
+    A chunk that several cuttings have is one; places are compared as numbers, which Spark does by hashing, so that a
+    text of any number of lines takes time in proportion.
+    """
     lined = docs.select("_key", "doc_id", F.split("_t", "\n", -1).alias("_l")).filter(F.size("_l") >= MIN_LINES)
     hashed = lined.withColumn("_h", F.transform("_l", lambda x: F.substring(F.md5(x), 1, 16)))
     pairs = hashed.withColumn("_p", F.transform(F.slice("_h", 1, F.size("_h") - 1), lambda h, i: F.md5(F.concat(h, F.lit(":"), F.get("_h", i + 1)))))
     starts = pairs.select("_key", "doc_id", "_l", "_h", *[_starts(k).alias(f"_s{k}") for k in range(SEEDS)])
+    places = starts.select("_key", "doc_id", "_l", "_h", F.array_distinct(F.concat(*[_places(f"_s{k}") for k in range(SEEDS)], _long_lines())).alias("_c"))
     # chunks are cut before the rows are made, so that no row carries the lines of its whole document
-    parts = starts.select("_key", "doc_id", *[_runs(f"_s{k}", with_text).alias(f"_c{k}") for k in range(SEEDS)],
-                          _long_lines(with_text).alias(f"_c{SEEDS}"))
-    rows = parts.select("_key", "doc_id", F.inline(F.array_distinct(F.concat(*[f"_c{k}" for k in range(SEEDS + 1)]))))
+    rows = places.select("_key", "doc_id", F.inline(F.transform("_c", lambda c: _chunk(c, with_text))))
     return rows.filter(F.col("chars") >= MIN_CHARS).drop("chars")
 
 
