@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from loftline.functions.numbers import half_up
 from loftline.operators import nines as N
 from loftline.operators import weather as W
 from loftline.plans.registry import HU, query
+from loftline.session import work_folder
 from loftline.settings import DEFAULTS
 from loftline.sources import maps as M
 from loftline.sources import reports as R
 from loftline.sources import shotlists as L
+from loftline.streaming import enrich
 from loftline.streaming import trails as T
 
 # gps_v is sparse in time, so limits are rescaled: 20 m and 12 h
@@ -130,6 +133,35 @@ def map_features(d):
     return M.features(M.parse_elements(doc, "j")).select("id", "kind", F.size("ring").alias("points"))
 
 
+def snapshot(d):
+    """The path of an OSM XML snapshot with a relation for each part: an outer ring of two ways, one of them against the
+    ring's direction and missing for every fourth part, and a clearing."""
+    p = F.col("p_partkey")
+    at = lambda k, la, lo: F.format_string('<node id="%d" lat="%.6f" lon="%.6f"/>', p * 100 + k, F.lit(34.0) + p * 0.001 + la * 0.0001, F.lit(-84 + lo * 0.0001))
+    way = lambda k, *nodes: F.concat(F.format_string('<way id="%d">', p * 10 + k), *[F.format_string('<nd ref="%d"/>', p * 100 + n) for n in nodes], F.lit('<tag k="source" v="trace"/></way>'))
+    member = lambda k, role: F.format_string(f'<member type="way" ref="%d" role="{role}"/>', p * 10 + k)
+    tag = F.when(p % 3 == 0, '<tag k="natural" v="wood"/>').when(p % 3 == 1, '<tag k="golf" v="fairway"/>').otherwise('<tag k="highway" v="path"/>')
+    rel = F.concat(F.format_string('<relation id="%d">', p), member(1, "outer"), member(3, "inner"), F.format_string('<member type="node" ref="%d" role="label"/>', p * 100), member(2, "outer"), tag, F.lit("</relation>"))
+    corners = [at(k, *c) for k, c in enumerate([(0, 0), (0, 8), (8, 8), (8, 0), (2, 2), (2, 4), (4, 4), (4, 2)])]
+    lines = F.array(*corners, way(1, 0, 1, 2), F.when(p % 4 != 0, way(2, 0, 3, 2)), way(3, 4, 5, 6, 7, 4), rel)
+
+    def framed(batches):   # every file is a document
+        yield pd.DataFrame({"value": ["<osm>"]})
+        yield from batches
+        yield pd.DataFrame({"value": ["</osm>"]})
+    folder = work_folder(d.spark)
+    d.part.select(F.explode(F.array_compact(lines)).alias("value")).mapInPandas(framed, "value string").write.text(folder)
+    return folder
+
+
+@query("osm_relations", f"""SELECT p_partkey AS id, CASE WHEN p_partkey%3=0 THEN 'trees' ELSE 'fairway' END AS kind, CAST(4 AS INT) AS points, CAST(1 AS INT) AS clearings, {HU('34+p_partkey*0.001::DOUBLE+0.0004::DOUBLE+1e-9', 6)} AS lat, {HU('-84+0.0004::DOUBLE+1e-9', 6)} AS lon FROM part WHERE p_partkey%4<>0 AND p_partkey%3<2""")
+def osm_relations(d):
+    """O-11: an XML snapshot written from the table, its relations resolved over ways and nodes, rings stitched."""
+    f = M.relation_features(M.osm_elements(d.spark, snapshot(d)))
+    mean = lambda v: half_up(F.aggregate("ring", F.lit(0.0), lambda s, q: s + q[v]) / F.size("ring") + 1e-9, 6)
+    return f.select("id", "kind", F.size("ring").alias("points"), F.size("inner").alias("clearings"), mean("lat").alias("lat"), mean("lon").alias("lon"))
+
+
 @query("hole_keys", """SELECT p_partkey AS id, CASE WHEN row_number() OVER (PARTITION BY p_partkey%20, p_partkey%18 ORDER BY p_partkey)=1 THEN CAST(p_partkey%18+1 AS VARCHAR) ELSE (p_partkey%18+1)||'@'||p_partkey END AS key FROM part""")
 def hole_keys(d):
     h = d.part.select((F.col("p_partkey") % 20).alias("course_id"), (F.col("p_partkey") % 18 + 1).alias("ref"), F.col("p_partkey").alias("id"), F.col("p_partkey").alias("pos"))
@@ -249,6 +281,18 @@ def weather_asof(d):
     return W.as_of(q, rep, "course_id").withColumn("temp_f", half_up("temp_f", 6))
 
 
+@query("weather_due", f"""WITH {HRS}, r AS (SELECT course_id, t_s, max(CASE WHEN event_id%3<>0 THEN temp_f END) AS temp FROM h GROUP BY ALL), g AS (SELECT * FROM r WHERE temp IS NOT NULL), q AS (SELECT event_id AS q_id, course_id, t_s+event_id%4*600 AS t_s FROM h),
+ a AS (SELECT q_id, q.course_id, q.t_s, g.t_s AS good FROM q ASOF LEFT JOIN g ON q.course_id=g.course_id AND q.t_s>=g.t_s), b AS (SELECT a.*, r.t_s AS lst, r.temp IS NOT NULL AS ful FROM a ASOF LEFT JOIN r ON a.course_id=r.course_id AND a.t_s>=r.t_s)
+SELECT q_id, good AS fetched_s, CASE WHEN lst IS NULL THEN 'never' WHEN ful AND t_s-lst>=900 THEN 'stale' WHEN NOT ful AND t_s-lst>21600 THEN 'empty' END AS due FROM b""")
+def weather_due(d):
+    """S-09, one trigger over all readings; every third answer was empty and is kept for six hours."""
+    h = hours(d)
+    answers = h.select("course_id", F.col("t_s").alias("fetched_s"), F.when(F.col("event_id") % 3 != 0, F.col("temp_f")).alias("temp_f"))
+    answers = answers.groupBy("course_id", "fetched_s").agg(F.max("temp_f").alias("temp_f"))
+    q = h.select(F.col("event_id").alias("q_id"), "course_id", (F.col("t_s") + F.col("event_id") % 4 * 600).alias("asof_s"))
+    return enrich.enriched(q, answers, empty_ttl_s=6 * 3600).select("q_id", "fetched_s", "due")
+
+
 def fixes(d):
     return d.gps.select("player_id", F.to_date("ts").alias("day"), "event_id", "t_s", "lat", "lng", F.col("acc_m").cast("double").alias("acc_m"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loftline.functions import geo
+from loftline.functions import geo, registered
 from loftline.functions import rings as G
 from loftline.functions.numbers import half_up
 from loftline.operators import greens as R
@@ -14,7 +14,7 @@ from loftline.operators import teeboxes as B
 from loftline.operators import terrain as T
 from loftline.operators.skew import evaluated_once
 from loftline.plans.data import add_view
-from loftline.plans.registry import HU, query
+from loftline.plans.registry import HU, ORACLES, query
 from loftline.settings import DEFAULTS
 
 OCT = [(1.0, 0.4), (0.4, 1.0), (-0.4, 1.0), (-1.0, 0.4), (-1.0, -0.4), (-0.4, -1.0), (0.4, -1.0), (1.0, -0.4)]
@@ -496,6 +496,14 @@ def geo_points(d):
     return d.gps.select("event_id", half_up(m, 4).alias("metres"), F.when(m > 0.01, half_up(br, 3)).alias("bearing"), half_up(dl, 8).alias("dest_lat"))
 
 
+@query("sql_functions", ORACLES["geo_points"].replace("AS dest_lat FROM h", "AS dest_lat, floor(m*1.0936133::DOUBLE+0.5) AS yards FROM h"))
+def sql_functions(d):
+    """The functions of section 2.11 in SQL text."""
+    registered.register(d.spark)
+    return d.spark.sql("""WITH g AS (SELECT event_id, haversine_m(34.2, -84.4, lat, lng) AS m, bearing_deg(34.2, -84.4, lat, lng) AS b FROM {gps})
+        SELECT event_id, half_up(m, 4) AS metres, CASE WHEN m > 0.01 THEN half_up(b, 3) END AS bearing, half_up(dest_lat(34.2, event_id % 360, 100), 8) AS dest_lat, half_up(yards(m), 0) AS yards FROM g""", gps=d.gps)
+
+
 @query("shot_length", f"""WITH p AS (SELECT *, lead(lat) OVER w AS la2, lead(lng) OVER w AS ln2 FROM gps_v WINDOW w AS (PARTITION BY player_id, CAST(ts AS DATE) ORDER BY ts, event_id)), h AS (SELECT *, 2*6371008.8::DOUBLE*asin(least(1,sqrt(pow(sin(radians(la2-lat)/2),2)+cos(radians(lat))*cos(radians(la2))*pow(sin(radians(ln2-lng)/2),2)))) AS m FROM p)
 SELECT event_id, CASE WHEN m IS NOT NULL THEN floor(m*1.0936133::DOUBLE+0.5) ELSE floor(sqrt(144.0::DOUBLE+pow(CAST(acc_m AS DOUBLE),2))+0.5) END AS yds FROM h""", ("gps_v",))
 def shot_length(d):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -37,3 +40,16 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
     if fallback:
         spark.sparkContext.setCheckpointDir(fallback)
     return fallback
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder's name where every executor can read and write: under the shared checkpoint folder.
+
+    A local session without one gets a temporary folder; on a cluster that is an error.
+    """
+    shared = spark.sparkContext.getCheckpointDir() or checkpoint_dir(spark)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="loftline-")
+    return f"{shared}/{uuid.uuid4().hex}"

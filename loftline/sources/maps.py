@@ -86,15 +86,42 @@ def relation_features(elements: DataFrame) -> DataFrame:
     return out.select(F.col("relation_id").alias("id"), "ring_no", "kind", F.col("tags")["name"].alias("name"), "ring", "inner")
 
 
+_XML_TAG = "tag array<struct<_k:string,_v:string>>"
+
+
+def _tags() -> Column:
+    return F.coalesce(F.map_from_entries(F.transform("tag", lambda t: F.struct(t["_k"], t["_v"]))), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+
+
 def read_osm_xml(spark: SparkSession, path: str) -> DataFrame:
     """O-11: ways of an OSM XML snapshot with their node references resolved, in order."""
     nodes = spark.read.format("xml").option("rowTag", "node").schema("_id long, _lat double, _lon double").load(path)
-    ways = spark.read.format("xml").option("rowTag", "way").schema("_id long, nd array<struct<_ref:long>>, tag array<struct<_k:string,_v:string>>").load(path)
+    ways = spark.read.format("xml").option("rowTag", "way").schema(f"_id long, nd array<struct<_ref:long>>, {_XML_TAG}").load(path)
     refs = ways.select(F.col("_id").alias("id"), F.posexplode("nd").alias("pos", "n")).select("id", "pos", F.col("n._ref").alias("_nid"))
     pts = refs.join(nodes.select(F.col("_id").alias("_nid"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon")), "_nid")
     ring = pts.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lat", "lon"))), lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"))).alias("geometry"))
-    tags = ways.select(F.col("_id").alias("id"), F.map_from_entries(F.transform("tag", lambda t: F.struct(t["_k"], t["_v"]))).alias("tags"))
-    return ring.join(tags, "id")
+    tags = ways.select(F.col("_id").alias("id"), _tags().alias("tags"))
+    return tags.join(ring, "id", "left")
+
+
+def osm_elements(spark: SparkSession, path: str) -> DataFrame:
+    """O-11: ways and relations of an OSM XML snapshot in the form of :func:`parse_elements`.
+
+    Three scans, of nodes, ways and relations; a way's nodes and a relation's member ways are resolved by joins and stand
+    in their order.  Nodes that the snapshot lacks are left out of a way, a way without any has no geometry; members it
+    lacks, and members that are no ways, stay with a null geometry.
+    """
+    ways = read_osm_xml(spark, path)
+    rel = spark.read.format("xml").option("rowTag", "relation").schema(f"_id long, member array<struct<_type:string,_ref:long,_role:string>>, {_XML_TAG}").load(path)
+    m = rel.select(F.col("_id").alias("id"), F.posexplode("member").alias("pos", "m")).select("id", "pos", "m._type", "m._role", F.when(F.col("m._type") == "way", F.col("m._ref")).alias("_way"))
+    m = m.join(ways.select(F.col("id").alias("_way"), "geometry"), "_way", "left")
+    member = F.struct("pos", F.col("_type").alias("type"), F.col("_role").alias("role"), "geometry")
+    m = m.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(member)), lambda x: F.struct(x["type"].alias("type"), x["role"].alias("role"), x["geometry"].alias("geometry"))).alias("members"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    kinds = dict(zip(("geometry", "members"), (_PT, f"array<struct<type:string,role:string,geometry:{_PT}>>")))
+    r = rel.select(F.col("_id").alias("id"), F.lit("relation").alias("type"), _tags().alias("tags"), none(kinds["geometry"], "geometry")).join(m, "id", "left")
+    w = ways.select("id", F.lit("way").alias("type"), "tags", "geometry", none(kinds["members"], "members"))
+    return w.unionByName(r)
 
 
 def hole_keys(holes: DataFrame) -> DataFrame:
