@@ -88,10 +88,13 @@ def pin_rule(df: DataFrame, keys: Sequence[str], depth: Column, cfg: Settings =
 
 
 def guess_club(shots: DataFrame, totals: DataFrame, yds: str) -> DataFrame:
-    """K-04: the club whose usual total is nearest the yards, first in bag order on ties.  Joins on the player: a bag each."""
-    j = shots.join(totals, "player_id")
-    return j.groupBy(*[c for c in shots.columns]).agg(F.min(F.struct(F.abs(F.col("total_yds") - F.col(yds)).alias("d"), "order_no", "club")).alias("g")).withColumn(
-        "club_guess", F.col("g.club")).drop("g")
+    """K-04: the club whose usual total is nearest the yards, first in bag order on ties; null without a bag.
+
+    A player's bag is an array of a dozen clubs, joined by player; every shot stays one row.
+    """
+    bag = totals.groupBy("player_id").agg(F.collect_list(F.struct("total_yds", "order_no", "club")).alias("_bag"))
+    near = F.array_min(F.transform("_bag", lambda b: F.struct(F.abs(b["total_yds"] - F.col(yds)).alias("d"), b["order_no"].alias("order_no"), b["club"].alias("club"))))
+    return shots.join(bag, "player_id", "left").withColumn("club_guess", near["club"]).drop("_bag")
 
 
 def sweep_report(calls: DataFrame, by: Sequence[str], rule: str = "rule") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loftline.functions.numbers import c, half_up, normal_cdf
 from loftline.operators.stats import ELL80_K, shrink
+from loftline.operators.skew import evaluated_once
 from loftline.settings import BASELINE_PUTTS, BUCKET_LIE, DEFAULTS, SHORT_BAND_LIE, Settings, lookup
 
 #: Last yard of the baseline table.
@@ -119,24 +120,39 @@ def price(df: DataFrame, table: DataFrame, yds: str, lie: str, out: str) -> Data
     return df.join(t, (df["_kd"] == t["_d"]) & (df["_kl"] == t["_l"]), "left").drop("_kd", "_kl", "_d", "_l")
 
 
-def expected_for(df: DataFrame, base: DataFrame, yds: str, lie: str, out: str, putt_deficit: float, cfg: Settings = DEFAULTS) -> DataFrame:
-    """A-36 by the player's own profile, which the row carries: ``bands`` (J-06) and ``putts`` (J-07) as arrays.
+def expected_for(df: DataFrame, profiles: DataFrame, base: DataFrame, asks: Sequence[tuple[str, str, str]], putt_deficit: float, cfg: Settings = DEFAULTS) -> DataFrame:
+    """A-36 by the player's own profile: for each of ``asks`` (yards, lie, out) the column ``out`` with the strokes expected there.
 
-    ``bands`` array<struct<band_lie,from_yds,to_yds,sg,prox_ft>>, ``putts`` array<struct<from_ft,to_ft,make_pct,three_pct>>:
-    a few dozen entries a player, joined to shots once by player, so no table of players x lies x yards is built.
+    ``profiles``: player_id, ``bands`` (J-06) array<struct<band_lie,from_yds,to_yds,sg,prox_ft>>, ``putts`` (J-07)
+    array<struct<from_ft,to_ft,make_pct,three_pct>>.  Strokes depend on player, lie and whole yard alone, so the different
+    places that are asked for are priced once, and shots meet their prices by equality; no array rides on a shot and no
+    table of players x lies x yards is built.
     """
-    d = half_up(yds)
-    flat = F.when(F.col(lie) == "trees", "recovery").when(F.col(lie) == "green", "fairway").otherwise(F.col(lie))
-    own = price(df, base.withColumnRenamed("base", "e"), yds, lie, "_base").withColumns({
-        "_d": d, "_band_lie": F.when(d < 50, lookup(flat, SHORT_BAND_LIE)).otherwise(lookup(flat, BUCKET_LIE))})
-    own = own.withColumn("_b", F.get(F.filter("bands", lambda b: (b["band_lie"] == F.coalesce("_band_lie", F.lit("rough"))) & (F.col("_d") >= b["from_yds"]) & (F.col("_d") < b["to_yds"])), F.lit(0)))
+    keyed, places = df, None
+    for yds, lie, out in asks:
+        keyed = keyed.withColumns({f"_d_{out}": half_up(yds), f"_l_{out}": F.col(lie)})
+        own = keyed.select("player_id", F.col(f"_l_{out}").alias("_lie"), F.col(f"_d_{out}").alias("_yd"))
+        places = own if places is None else places.unionByName(own)
+    priced = _priced(places.distinct().join(profiles.select("player_id", "bands", "putts"), "player_id"), base, putt_deficit, cfg)
+    for _, _, out in asks:
+        t = priced.select("player_id", F.col("_lie").alias(f"_l_{out}"), F.col("_yd").alias(f"_d_{out}"), F.col("e").alias(out))
+        keyed = keyed.join(t, ["player_id", f"_l_{out}", f"_d_{out}"], "left").drop(f"_l_{out}", f"_d_{out}")
+    return keyed
+
+
+def _priced(places: DataFrame, base: DataFrame, putt_deficit: float, cfg: Settings) -> DataFrame:
+    """(player_id, _lie, _yd, e): expected strokes from a lie and whole yards, by the profile that the row carries."""
+    d = F.col("_yd")
+    flat = F.when(F.col("_lie") == "trees", "recovery").when(F.col("_lie") == "green", "fairway").otherwise(F.col("_lie"))
+    own = price(places, base.withColumnRenamed("base", "e"), "_yd", "_lie", "_base").withColumn("_band_lie", F.when(d < 50, lookup(flat, SHORT_BAND_LIE)).otherwise(lookup(flat, BUCKET_LIE)))
+    own = evaluated_once(own.withColumn("_b", F.get(F.filter("bands", lambda b: (b["band_lie"] == F.coalesce("_band_lie", F.lit("rough"))) & (d >= b["from_yds"]) & (d < b["to_yds"])), F.lit(0))))
     own = own.withColumn("_px", half_up(F.col("_b.prox_ft")))
-    own = own.withColumn("_p", F.get(F.filter("putts", lambda p: (F.col("_px") >= p["from_ft"]) & (p["to_ft"].isNull() | (F.col("_px") < p["to_ft"] + 1))), F.lit(0)))
+    own = evaluated_once(own.withColumn("_p", F.get(F.filter("putts", lambda p: (F.col("_px") >= p["from_ft"]) & (p["to_ft"].isNull() | (F.col("_px") < p["to_ft"] + 1))), F.lit(0))).drop("bands", "putts"))
     mine = F.lit(1.0) + (1 - F.col("_p.make_pct")) + F.col("_p.three_pct")
     gap = F.when(F.col("_b.prox_ft").isNull(), F.lit(float(putt_deficit))).otherwise(F.greatest(F.lit(0.0), mine - putts_at("_b.prox_ft")))
     sg = F.when(F.col("_band_lie").isNotNull(), F.col("_b.sg"))
-    personal = F.when(sg.isNull(), handicap_prior("_d", cfg)).otherwise(-sg)
-    return own.withColumn(out, F.col("_base") + personal + gap).drop("_base", "_d", "_band_lie", "_b", "_px", "_p")
+    personal = F.when(sg.isNull(), handicap_prior("_yd", cfg)).otherwise(-sg)
+    return own.select("player_id", "_lie", "_yd", (F.col("_base") + personal + gap).alias("e"))
 
 
 def category() -> Column:
@@ -145,14 +161,13 @@ def category() -> Column:
             .when(F.col("to_pin_yds") < 50, "around the green").otherwise("approach"))
 
 
-def strokes_gained(shots: DataFrame, base: DataFrame, putt_deficit: float, cfg: Settings = DEFAULTS) -> DataFrame:
+def strokes_gained(shots: DataFrame, profiles: DataFrame, base: DataFrame, putt_deficit: float, cfg: Settings = DEFAULTS) -> DataFrame:
     """A-37: E(start) - E(end) - 1 - penalty strokes, by the player's own profile, with its ``category``.
 
     A putt starts at expected putts from ``putt_ft``; a holed shot ends at 0, one on the green at expected putts from
     where it lies.
     """
-    s = expected_for(shots, base, "to_pin_yds", "lie", "e0", putt_deficit, cfg)
-    s = expected_for(s, base, "end_to_pin", "end_lie", "e1", putt_deficit, cfg)
+    s = expected_for(shots, profiles, base, [("to_pin_yds", "lie", "e0"), ("end_to_pin", "end_lie", "e1")], putt_deficit, cfg)
     start = F.when(F.col("shot_type") == "putt", putts_at("putt_ft")).otherwise(F.col("e0"))
     end = F.when(F.col("holed"), 0.0).when(F.col("end_lie") == "green", putts_at(F.col("end_to_pin") * 3)).otherwise(F.col("e1"))
     return s.withColumn("sg", start - end - 1 - F.coalesce(F.col("penalty"), F.lit(0))).withColumn("category", category())

@@ -52,13 +52,12 @@ OWN = (TABLES.replace("bd.sg END AS sg, bd.prox_ft FROM ex0 LEFT JOIN bd ON bd.b
        .replace("SELECT ex0.*, CASE WHEN bl2", "SELECT ex0.*, CASE WHEN bl2").replace("ex AS (SELECT lie, d,", "ex AS (SELECT pid, lie, d,").replace("1+(1-make_pct)+three_pct", "1+(1-(make_pct-pid*0.01::DOUBLE))+three_pct"))
 
 
-def players(d):
-    """The shots with their player's profile."""
+def profiles(d):
+    """Bands and putts of each player."""
     k = F.col("player_id") % 5
     band = lambda l, a, b, sg, px: F.struct(F.lit(l).alias("band_lie"), F.lit(a).alias("from_yds"), F.lit(b).alias("to_yds"), (F.lit(sg).cast("double") + k * 0.01).alias("sg"), (F.lit(px) + k).alias("prox_ft"))
     putt = lambda a, b, m, t: F.struct(F.lit(a).alias("from_ft"), F.lit(b).cast("int").alias("to_ft"), (F.lit(m) - k * 0.01).alias("make_pct"), F.lit(t).alias("three_pct"))
-    p = d.rounds.select("player_id").distinct().select("player_id", F.array(*[band(*b) for b in BANDS]).alias("bands"), F.array(*[putt(*b) for b in PUTTS]).alias("putts"))
-    return d.shots.join(p, "player_id")
+    return d.rounds.select("player_id").distinct().select("player_id", F.array(*[band(*b) for b in BANDS]).alias("bands"), F.array(*[putt(*b) for b in PUTTS]).alias("putts"))
 
 
 @query("bucket_join", f"WITH bd(band_lie, from_yds, to_yds, sg, prox_ft) AS (VALUES {_v(BANDS)}) SELECT s.player_id, bd.band_lie, bd.from_yds, CAST(count(*) AS BIGINT) AS n FROM shots_v s LEFT JOIN bd ON bd.band_lie=CASE WHEN lie='rough' THEN 'rough' ELSE 'fairway' END AND to_pin_yds>=from_yds AND to_pin_yds<to_yds GROUP BY ALL", ("shots_v",))
@@ -81,7 +80,7 @@ def baseline_interp(d):
 
 @query("expected_strokes", f"WITH {OWN} SELECT shot_id, {HU('e', 5)} AS e FROM shots_v s JOIN ex ON ex.pid=s.player_id%5 AND ex.lie=s.lie AND ex.d=floor(to_pin_yds+0.5)", ("shots_v",))
 def expected_strokes(d):
-    return X.expected_for(players(d), X.strokes_by_yard(baseline(d)), "to_pin_yds", "lie", "v", DEFICIT).select("shot_id", half_up("v", 5).alias("e"))
+    return X.expected_for(d.shots, profiles(d), X.strokes_by_yard(baseline(d)), [("to_pin_yds", "lie", "v")], DEFICIT).select("shot_id", half_up("v", 5).alias("e"))
 
 
 _PUTTS = lambda ft: f"(SELECT CASE WHEN {ft}<=1 THEN 1.001 WHEN {ft}>=90 THEN 2.398 ELSE max(putts+({ft}-ft)/(ft1-ft)*(p1-putts)) END FROM pseg WHERE {ft}>ft AND {ft}<=ft1)"
@@ -94,9 +93,9 @@ SG = f"""{OWN}, sh AS (SELECT *, CASE WHEN shot_type='putt' THEN floor(putt_ft/1
 def gained(d):
     """All shots, putts among them: a putt stays on the green."""
     putt = F.col("shot_type") == "putt"
-    s = players(d).withColumns({"end_to_pin": F.when(putt, half_up(F.col("putt_ft") / 18)).otherwise(half_up(F.col("to_pin_yds") / 8)),
+    s = d.shots.withColumns({"end_to_pin": F.when(putt, half_up(F.col("putt_ft") / 18)).otherwise(half_up(F.col("to_pin_yds") / 8)),
                                 "end_lie": F.when(putt, "green").otherwise(F.coalesce("end_lie", F.lit("rough"))), "penalty": F.when(F.col("part_no") % 29 == 0, 1).otherwise(0)})
-    return X.strokes_gained(s.withColumn("holed", (F.col("part_no") % 7 == 0) & (F.col("end_lie") == "green")), X.strokes_by_yard(baseline(d)), DEFICIT)
+    return X.strokes_gained(s.withColumn("holed", (F.col("part_no") % 7 == 0) & (F.col("end_lie") == "green")), profiles(d), X.strokes_by_yard(baseline(d)), DEFICIT)
 
 
 def _sums(df, *keys):
