@@ -43,8 +43,10 @@ def weighted_shots(shots: DataFrame, totals: DataFrame | None = None, cfg: Setti
 def priors(targets: DataFrame, entries: DataFrame, order: dict[str, int], fields: Sequence[str]) -> DataFrame:
     """J-04: per field the nearest known value: own entry, same club on an adjacent lie, then the nearest club.
 
-    A player has a bounded bag, so matching targets to entries on (player, swing) fans out by the bag size only.
+    ``targets`` has a row for each entry; its other columns come along.  A player has a bounded bag, so matching targets
+    to entries on (player, swing) fans out by the bag size only.
     """
+    more = [k for k in targets.columns if k not in ENTRY]
     rank_lie = lookup(F.concat_ws(">", "lie", "_lie"), {f"{a}>{b}": i for a, ch in LIE_CHAIN.items() for i, b in enumerate(ch)}, 9)
     pos, pos2 = lookup(F.col("club"), order), lookup(F.col("_club"), order)
     gap = F.abs(pos2 - pos)
@@ -52,12 +54,12 @@ def priors(targets: DataFrame, entries: DataFrame, order: dict[str, int], fields
     rank = (F.when(same_club & same_lie, 0).when(same_club, 10 + rank_lie)
             .when(same_lie, 100 + 2 * gap + F.when(pos2 > pos, 1).otherwise(0)))
     e = entries.select("player_id", "swing", F.col("club").alias("_club"), F.col("lie").alias("_lie"), *[F.col(f).alias(f"_{f}") for f in fields])
-    cand = targets.select(*ENTRY).join(e, ["player_id", "swing"]).withColumn("_rank", rank).filter("_rank IS NOT NULL")
+    cand = targets.select(*ENTRY, *([F.struct(*more).alias("_row")] if more else [])).join(e, ["player_id", "swing"], "left").withColumn("_rank", rank)
     best = lambda f: F.min_by(F.struct(F.col(f"_{f}").alias("value"), F.col("_club").alias("club"), F.col("_lie").alias("lie"),
                                        F.col("_rank").alias("rank")),
                               F.when(F.col(f"_{f}").isNotNull(), F.col("_rank"))).alias(f"p_{f}")
-    got = cand.groupBy(*ENTRY).agg(*[best(f) for f in fields])
-    return targets.select(*ENTRY).join(got, ENTRY, "left")
+    got = cand.groupBy(*ENTRY).agg(*([F.first("_row").alias("_row")] if more else []), *[best(f) for f in fields])
+    return got.select(*ENTRY, *([F.col("_row")[k].alias(k) for k in more]), *[f"p_{f}" for f in fields])
 
 
 def overlay(shots: DataFrame, entries: DataFrame, order: dict[str, int], cfg: Settings = DEFAULTS, now_s: int | None = None) -> DataFrame:
@@ -70,11 +72,10 @@ def overlay(shots: DataFrame, entries: DataFrame, order: dict[str, int], cfg: Se
     aw = F.when(F.col("ang").isNotNull(), F.col("w"))
     agg = ws.groupBy(*ENTRY).agg(
         F.count(F.lit(1)).alias("n"), *W.moments("lm", "ny", "w"),
-        F.sum(aw).alias("_AW"), F.sum(aw * aw).alias("_AW2"), F.sum(aw * F.col("ang")).alias("_A"), F.sum(aw * F.col("ang") * F.col("ang")).alias("_AA"))
-    med = W.weighted_median(ws, ENTRY, "act", F.col("w"), "own_total")
-    g = agg.join(med, ENTRY)
-    pri = priors(g, entries, order, ["total_yds", "dist_sd", "lat_sd_deg"])
-    g = evaluated_once(g.join(pri, ENTRY))
+        F.sum(aw).alias("_AW"), F.sum(aw * aw).alias("_AW2"), F.sum(aw * F.col("ang")).alias("_A"), F.sum(aw * F.col("ang") * F.col("ang")).alias("_AA"),
+        F.collect_list(F.struct(F.col("act").alias("v"), F.col("w"))).alias("_acts"))   # shots of a player's newest rounds with one club
+    g = agg.withColumn("own_total", W.weighted_median_of(F.col("_acts"))).drop("_acts").filter("own_total IS NOT NULL")
+    g = evaluated_once(priors(g, entries, order, ["total_yds", "dist_sd", "lat_sd_deg"]))
     fam = S.club_family("club")
     far = lambda f: F.col(f"p_{f}.rank").between(10, 99)
     d_factor = (1 + S.lie_adj("lie", fam, cfg)) / (1 + S.lie_adj(F.col("p_total_yds.lie"), fam, cfg))

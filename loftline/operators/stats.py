@@ -35,6 +35,20 @@ def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: Colu
     return got.select(*keys, F.coalesce((F.col("_lo") + F.col("_hi")) / 2, "_hi", "_mx").alias(out))
 
 
+def weighted_median_of(pairs) -> Column:
+    """A-04 of an ``array<struct<v,w>>``, for groups that what they describe keeps small; nulls among v are left out."""
+    a = F.array_sort(F.filter(pairs, lambda p: p["v"].isNotNull()))
+    half = F.aggregate(a, F.lit(0.0), lambda s, p: s + p["w"]) / 2
+    none = F.lit(None).cast("double")
+
+    def step(s, p):
+        cum = s["cum"] + p["w"]
+        return F.struct(cum.alias("cum"), F.when(F.abs(cum - s["half"]) < 1e-9, p["v"]).otherwise(s["lo"]).alias("lo"),
+                        F.when(s["hi"].isNull() & (cum > s["half"] + 1e-9), p["v"]).otherwise(s["hi"]).alias("hi"), s["half"].alias("half"))
+    start = F.struct(F.lit(0.0).alias("cum"), none.alias("lo"), none.alias("hi"), half.alias("half"))
+    return F.coalesce(F.aggregate(a, start, step, lambda s: F.coalesce((s["lo"] + s["hi"]) / 2, s["hi"])), F.element_at(a, -1)["v"])
+
+
 def weighted_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float],
                        weight: Column | None = None, width: float = 16.0) -> DataFrame:
     """A-05: the first value at which running weight reaches q of the total."""
