@@ -105,3 +105,11 @@ def sweep_report(calls: DataFrame, by: Sequence[str], rule: str = "rule") -> Dat
                                      F.avg(F.when(F.col("moved"), F.col("cost"))).alias("mean_cost"), F.avg(F.when(F.col("moved"), F.col("d_trouble"))).alias("mean_d_trouble"))
     med = weighted_median(moved, [*by, rule], "cost", None, "median_cost", width=0.25)
     return g.join(med, [*by, rule], "left")
+
+
+def costly_moves(calls: DataFrame, by: Sequence[str], over: float = 0.3, top: int = 12, tie: str = "call_id") -> DataFrame:
+    """A-35: the moved calls that cost more than ``over``, the ``top`` costliest of each group, and how many it has in all."""
+    costly = calls.filter(F.col("moved") & (F.col("cost") > over))
+    w = Window.partitionBy(*by).orderBy(F.col("cost").desc(), tie)
+    first = costly.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)   # Spark keeps the top rows before it deals them
+    return first.join(costly.groupBy(*by).agg(F.count(F.lit(1)).alias("costly")), list(by))

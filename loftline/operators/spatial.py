@@ -527,3 +527,22 @@ def dot_tones(dots: DataFrame, targets: DataFrame, features: DataFrame, keys: Se
     """P-22: (keys, course_id, hole, tone, n): where a player's shots would finish round each target; every shot counts."""
     s = surface(placed_dots(dots, targets, keys), features, "shot_id", bounded)
     return s.groupBy(*keys, "course_id", "hole", tone("surface").alias("tone")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def near_tee(points: DataFrame, tees: DataFrame, tee_points: DataFrame, key: str, yds: float) -> DataFrame:
+    """P-24: (key, on_tee): within ``yds`` of one of the hole's tee boxes, or of its tee point where no box is mapped.
+
+    ``points``: key, course_id, hole, x, y; ``tees``: features with ``f_hole``; ``tee_points``: course_id, hole, tee_x, tee_y.
+    """
+    boxes = tees.filter(F.size("ring") >= 3)
+    hit = near(points, boxes.withColumnRenamed("f_hole", "_h"), yds).filter(F.col("_h") == F.col("hole"))
+    hit = hit.filter(inside() | (G.edge_distance("ring", "x", "y") <= yds)).select(key).distinct().withColumn("_hit", F.lit(True))
+    mapped = boxes.select("course_id", F.col("f_hole").alias("hole"), F.lit(True).alias("_mapped")).distinct()
+    out = points.join(hit, key, "left").join(mapped, ["course_id", "hole"], "left").join(tee_points, ["course_id", "hole"], "left")
+    at = F.hypot(F.col("x") - F.col("tee_x"), F.col("y") - F.col("tee_y")) <= yds
+    return out.select(key, F.coalesce(F.when(F.col("_mapped"), F.coalesce("_hit", F.lit(False))).otherwise(at), F.lit(False)).alias("on_tee"))
+
+
+def orphan_greens(greens: DataFrame, assigned: DataFrame) -> DataFrame:
+    """J-15: greens (course_id, feature_id) that no hole was given (``green_id`` of ``assign_greens``)."""
+    return greens.select("course_id", "feature_id").join(assigned.select(F.col("green_id").alias("feature_id")).filter("feature_id IS NOT NULL").distinct(), "feature_id", "left_anti").select("course_id", "feature_id")

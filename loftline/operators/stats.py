@@ -46,7 +46,7 @@ def weighted_median_of(pairs) -> Column:
         return F.struct(cum.alias("cum"), F.when(F.abs(cum - s["half"]) < 1e-9, p["v"]).otherwise(s["lo"]).alias("lo"),
                         F.when(s["hi"].isNull() & (cum > s["half"] + 1e-9), p["v"]).otherwise(s["hi"]).alias("hi"), s["half"].alias("half"))
     start = F.struct(F.lit(0.0).alias("cum"), none.alias("lo"), none.alias("hi"), half.alias("half"))
-    return F.coalesce(F.aggregate(a, start, step, lambda s: F.coalesce((s["lo"] + s["hi"]) / 2, s["hi"])), F.element_at(a, -1)["v"])
+    return F.coalesce(F.aggregate(a, start, step, lambda s: F.coalesce((s["lo"] + s["hi"]) / 2, s["hi"])), F.get(a, F.size(a) - 1)["v"])
 
 
 def weighted_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float],

@@ -41,7 +41,7 @@ def card_yards(line, gx, gy, x, y) -> Column:
     """Yards to the green's centre as a card measures: to the line, along it, on to the centre; a box behind the line's start
     walks up to it first.  Straight where there is no line."""
     f, line = along_line(line, x, y), c(line)
-    last = F.element_at(line, -1)
+    last = F.get(line, F.size(line) - 1)
     return F.coalesce(f["total"] - f["s"] + F.when(f["behind"], f["off"]).otherwise(F.lit(0.0)) + F.hypot(last["x"] - c(gx), last["y"] - c(gy)), F.hypot(c(x) - c(gx), c(y) - c(gy)))
 
 

@@ -31,6 +31,36 @@ def parse_hours(docs: DataFrame, column: str) -> DataFrame:
                     to_f("h.dew_point_2m", "units.t").alias("dew_f"), F.col("h.cloud_cover").alias("cloud"), to_mph("h.wind_speed_10m", "units.w").alias("wind"))
 
 
+def parse_current(docs: DataFrame, column: str) -> DataFrame:
+    """O-14: the current block of a response: wind, where it blows from, temperature, dew point, cloud, rain; to a tenth.
+
+    A response without a current wind and its direction has no row.
+    """
+    schema = ("course_id long, current_units struct<wind_speed_10m:string,temperature_2m:string>, utc_offset_seconds long, current struct<time:long,wind_speed_10m:double,"
+              "wind_direction_10m:double,temperature_2m:double,dew_point_2m:double,cloud_cover:double,precipitation:double>")
+    d = docs.select(F.from_json(column, schema).alias("d")).select("d.*").filter("current.wind_speed_10m IS NOT NULL AND current.wind_direction_10m IS NOT NULL")
+    deg = F.coalesce(F.col("current_units.temperature_2m"), F.lit(""))
+    mph = to_mph("current.wind_speed_10m", F.coalesce(F.col("current_units.wind_speed_10m"), F.lit("mph")))
+    return d.select("course_id", F.col("current.time").alias("as_of_s"), r1(mph).alias("wind_mph"), F.pmod("current.wind_direction_10m", F.lit(360.0)).alias("wind_from_deg"),
+                    r1(to_f("current.temperature_2m", deg)).alias("temp_f"), r1(to_f("current.dew_point_2m", deg)).alias("dew_f"), F.col("current.cloud_cover").alias("cloud"),
+                    F.col("current.precipitation").alias("rain_mm"), F.col("utc_offset_seconds").alias("utc_offset_s"))
+
+
+def parse_daily(docs: DataFrame, column: str, before: int = 5) -> DataFrame:
+    """O-14: (course_id, sunrise_s, rain_days, tmax_days) from the daily block: the sunrise of the day that the current time
+    lies in, or of the last day, and rain and highest temperature of the up to ``before`` days ahead of it, to a tenth."""
+    schema = ("course_id long, current struct<time:long>, daily_units struct<temperature_2m_max:string>, daily struct<time:array<long>,precipitation_sum:array<double>,temperature_2m_max:array<double>,sunrise:array<long>>")
+    d = docs.select(F.from_json(column, schema).alias("d")).select("d.*")
+    days, now = F.col("daily.time"), F.col("current.time")
+    today = F.coalesce(F.array_max(F.filter(F.transform(days, lambda t, i: F.when((t <= now) & (now < t + 86400), i)), lambda i: i.isNotNull())), F.size(days) - 1)
+    d = d.withColumn("_t", F.when(F.size(days) > 0, today))
+    n = F.least(F.lit(before), F.col("_t"))
+    past = lambda a: F.when(F.col("_t") > 0, F.slice(a, F.col("_t") - n + 1, n)).otherwise(F.slice(a, 1, 0))
+    unit = F.coalesce(F.col("daily_units.temperature_2m_max"), F.lit(""))
+    return d.select("course_id", F.get("daily.sunrise", F.col("_t")).alias("sunrise_s"), F.transform(past(F.col("daily.precipitation_sum")), r1).alias("rain_days"),
+                    F.transform(past(F.col("daily.temperature_2m_max")), lambda v: r1(to_f(v, unit))).alias("tmax_days"))
+
+
 def by_hour(hours: DataFrame) -> DataFrame:
     """Readings of one course and time put together, so that a question meets a time once however many readings it has."""
     return hours.groupBy("course_id", "t_s").agg(

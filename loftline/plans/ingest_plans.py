@@ -236,6 +236,31 @@ def hours(d):
                            (F.col("event_id") % 100).cast("double").alias("cloud"), (F.col("event_id") % 12).cast("double").alias("wind"), "event_id")
 
 
+@query("weather_current", f"""SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS as_of_s, {HU("event_id%12*CASE event_id%3 WHEN 0 THEN 1 WHEN 1 THEN 0.621371::DOUBLE ELSE 2.236936::DOUBLE END", 1)} AS wind_mph, CAST(event_id*37%360 AS DOUBLE) AS wind_from_deg,
+ {HU("CASE WHEN event_id%2=0 THEN value*9/5+32 ELSE value END", 1)} AS temp_f, CASE WHEN event_id%5<>0 THEN CAST(event_id%100 AS DOUBLE) END AS cloud FROM events WHERE event_id%7<>0""")
+def weather_current(d):
+    """O-14: a response for each event, in three units of wind and two of heat; one in seven has no wind and no reading."""
+    e = F.col("event_id")
+    cur = F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("time"), F.when(e % 7 != 0, (e % 12).cast("double")).alias("wind_speed_10m"), (e * 37).cast("double").alias("wind_direction_10m"),
+                   F.col("value").alias("temperature_2m"), F.when(e % 5 != 0, (e % 100).cast("double")).alias("cloud_cover"))
+    units = F.struct(F.when(e % 3 == 0, F.lit(None)).when(e % 3 == 1, "km/h").otherwise("m/s").alias("wind_speed_10m"), F.when(e % 2 == 0, "°C").otherwise("°F").alias("temperature_2m"))
+    docs = d.events.select(F.to_json(F.struct(e.alias("course_id"), cur.alias("current"), units.alias("current_units"))).alias("j"))
+    return W.parse_current(docs, "j").select(F.col("course_id").alias("event_id"), "as_of_s", "wind_mph", "wind_from_deg", "temp_f", "cloud")
+
+
+@query("weather_daily", f"""WITH e AS (SELECT user_id%20 AS course_id, CAST(floor(epoch(ts)/86400) AS BIGINT)*86400 AS day, value FROM events), dd AS (SELECT course_id, day, {HU('sum(value)/10+1e-9', 1)} AS rain, {HU('max(value)*9/5+32+1e-9', 1)} AS tmax FROM e GROUP BY course_id, day), rk AS (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY day DESC) AS rn FROM dd)
+SELECT course_id, max(day) FILTER (rn=1)+21600+course_id*60 AS sunrise_s, coalesce(list(rain ORDER BY day) FILTER (rn BETWEEN 2 AND 6), []) AS rain_days, coalesce(list(tmax ORDER BY day) FILTER (rn BETWEEN 2 AND 6), []) AS tmax_days FROM rk GROUP BY course_id""")
+def weather_daily(d):
+    """O-14: a response for each course with all its days, asked on the last one."""
+    t = F.unix_seconds(F.col("ts").cast("timestamp"))
+    e = d.events.select((F.col("user_id") % 20).alias("course_id"), t.alias("t"), (F.floor(t / 86400) * 86400).alias("day"), "value")
+    days = e.groupBy("course_id", "day").agg((F.sum("value") / 10 + 1e-9).alias("rain"), (F.max("value") + 1e-9).alias("tmax"), F.max("t").alias("t"))
+    g = days.groupBy("course_id").agg(F.max("t").alias("now"), F.array_sort(F.collect_list(F.struct("day", "rain", "tmax"))).alias("a"))
+    daily = F.struct(F.col("a.day").alias("time"), F.col("a.rain").alias("precipitation_sum"), F.col("a.tmax").alias("temperature_2m_max"), F.transform("a.day", lambda x: x + 21600 + F.col("course_id") * 60).alias("sunrise"))
+    docs = g.select(F.to_json(F.struct("course_id", F.struct(F.col("now").alias("time")).alias("current"), F.struct(F.lit("°C").alias("temperature_2m_max")).alias("daily_units"), daily.alias("daily"))).alias("j"))
+    return W.parse_daily(docs, "j")
+
+
 RAIN = f"{HRS}, q AS (SELECT event_id AS q_id, course_id, t_s AS asof_s FROM h), w AS (SELECT q.q_id, sum(rain_mm) FILTER (t_s>asof_s-43200) AS rain12, sum(rain_mm) AS rain24, min(temp_f-dew_f) AS spread, avg(cloud) AS cloud, avg(wind) AS wind FROM q JOIN h ON h.course_id=q.course_id AND t_s<=asof_s AND t_s>asof_s-86400 GROUP BY q.q_id)"
 
 

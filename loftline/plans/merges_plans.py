@@ -175,6 +175,18 @@ def nine_combos(d):
     return c.select("s_suppkey", "c.label", (par(F.col("c.i")) + par(F.col("c.j"))).alias("par"))
 
 
+@query("composed_tee", f"""WITH {NINE}, h AS (SELECT *, (k*2+s_suppkey)%9+1 AS si, 100+20*k+i AS yds FROM t), c AS (SELECT a.s_suppkey, a.label||' / '||b.label AS label, a.i AS i, b.i AS j, CAST(a.par+b.par AS INT) AS par_total FROM p a JOIN p b ON a.s_suppkey=b.s_suppkey AND a.i<b.i)
+SELECT c.s_suppkey, c.label, CAST(k AS INT) AS hole, CAST(par AS INT) AS par, CAST(yds AS INT) AS yards, CAST(2*si-1 AS INT) AS si, par_total FROM c JOIN h ON h.s_suppkey=c.s_suppkey AND h.i=c.i UNION ALL SELECT c.s_suppkey, c.label, CAST(k+9 AS INT), CAST(par AS INT), CAST(yds AS INT), CAST(2*si AS INT), par_total FROM c JOIN h ON h.s_suppkey=c.s_suppkey AND h.i=c.j""")
+def composed_tee(d):
+    """M-06: the 18 holes of every two nines of a card."""
+    n = F.transform("nines", lambda x, i: F.struct(x["label"].alias("label"), x["pars"].alias("pars"), F.transform(F.sequence(F.lit(1), F.lit(9)), lambda k: k * 20 + 100 + i).alias("yards"),
+                                                   F.transform(F.sequence(F.lit(1), F.lit(9)), lambda k: ((k * 2 + F.col("s_suppkey")) % 9 + 1).cast("int")).alias("si")))
+    c = three_nines(d).select("s_suppkey", n.alias("nines")).withColumn("c", F.explode(K.nine_combos("nines")))
+    t = c.select("s_suppkey", K.composed_tee("nines", "c", F.lit(71.0), F.lit(120)).alias("t"))
+    at = lambda f: F.get(f"t.{f}", F.col("p")).alias(f.rstrip("s") if f == "pars" else f)
+    return t.select("s_suppkey", "t", F.posexplode("t.pars").alias("p", "par")).select("s_suppkey", "t.label", (F.col("p") + 1).alias("hole"), "par", at("yards"), at("si"), "t.par_total")
+
+
 @query("doubled_nine", f"WITH {NINE} SELECT s_suppkey, CAST(2*par AS INT) AS par, CAST(18 AS INT) AS holes, floor((30+s_suppkey%9/10.0::DOUBLE)*2*10+0.5)/10 AS rating FROM p WHERE i=0")
 def doubled_nine(d):
     t = three_nines(d).withColumn("n", F.get("nines", F.lit(0)))

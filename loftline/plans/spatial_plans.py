@@ -114,6 +114,16 @@ def tee_snap(d):
     return st.join(n, "shot_id", "left").select("shot_id", F.coalesce("t", F.lit(False)).alias("on_tee"))
 
 
+@query("tee_near", f"""WITH {EDGES}, st AS (SELECT shot_id, course_id, hole%18+1 AS hole, sx AS x, sy AS y FROM shots_v), {DIST('q', 'st', 'shot_id', 15)}, bx AS (SELECT DISTINCT course_id, f_hole AS hole FROM feat_v WHERE kind='tee'),
+ hb AS (SELECT DISTINCT shot_id FROM q JOIN feat_v f USING (feature_id) JOIN st USING (shot_id) WHERE q.kind='tee' AND dd<=15 AND f.f_hole=st.hole)
+SELECT st.shot_id, CASE WHEN bx.hole IS NOT NULL THEN hb.shot_id IS NOT NULL ELSE coalesce(sqrt((x-x0)*(x-x0)+(y-y0)*(y-y0))<=15, false) END AS on_tee FROM st LEFT JOIN bx ON bx.course_id=st.course_id AND bx.hole=st.hole LEFT JOIN hb ON hb.shot_id=st.shot_id LEFT JOIN lines_v l ON l.course_id=st.course_id AND l.hole=st.hole""", ("feat_v", "shots_v", "lines_v"))
+def tee_near(d):
+    """P-24 by hole, with the tee point for holes without a box."""
+    st = d.shots.select("shot_id", "course_id", (F.col("hole") % 18 + 1).alias("hole"), F.col("sx").alias("x"), F.col("sy").alias("y"))
+    ln = d.view("lines_v").select("course_id", "hole", F.col("x0").alias("tee_x"), F.col("y0").alias("tee_y"))
+    return P.near_tee(st, features(d).filter("kind = 'tee'"), ln, "shot_id", DEFAULTS.tee_snap_yds)
+
+
 @query("ring_area", f"WITH {EDGES} SELECT feature_id, {HU('abs(sum(ax*bw-bx*ay))/2+1e-9', 4)} AS area, {HU('any_value(cx)+1e-9', 4)} AS x, {HU('any_value(cy)+1e-9', 4)} AS y FROM ed JOIN feat_v USING (feature_id) WHERE ring=0 GROUP BY feature_id", NEEDS)
 def ring_area(d):
     c = G.centroid("ring")
@@ -149,14 +159,23 @@ def near_hole_features(d):
     return x.groupBy("course_id", "hole", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("green_assign", f"""WITH {EDGES}, e AS (SELECT course_id, hole, x1 AS x, y1 AS y FROM lines_v),
+GREENS = f"""WITH {EDGES}, e AS (SELECT course_id, hole, x1 AS x, y1 AS y FROM lines_v),
  g AS (SELECT e.course_id, e.hole, f.feature_id, any_value(sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy))) AS d, sum({CROSS})%2=1 AS ins FROM e JOIN feat_v f ON f.course_id=e.course_id AND f.kind='green' JOIN ed ON ed.feature_id=f.feature_id AND ring=0 GROUP BY ALL),
- b AS (SELECT * FROM g WHERE ins OR d<={REACH} QUALIFY row_number() OVER (PARTITION BY course_id, hole ORDER BY ins DESC, CASE WHEN ins THEN 0 ELSE d END, feature_id)=1)
-SELECT l.course_id, l.hole, b.feature_id AS green_id FROM lines_v l LEFT JOIN b ON b.course_id=l.course_id AND b.hole=l.hole""", LN)
+ b AS (SELECT * FROM g WHERE ins OR d<={REACH} QUALIFY row_number() OVER (PARTITION BY course_id, hole ORDER BY ins DESC, CASE WHEN ins THEN 0 ELSE d END, feature_id)=1)"""
+GREEN_OF = "SELECT l.course_id, l.hole, b.feature_id AS green_id FROM lines_v l LEFT JOIN b ON b.course_id=l.course_id AND b.hole=l.hole"
+
+
+@query("green_assign", f"{GREENS} {GREEN_OF}", LN)
 def green_assign(d):
     return P.assign_greens(d.view("lines_v"), features(d).filter("kind = 'green'"), DEFAULTS.yards("assign_m"))
 
 
+@query("orphan_greens", f"{GREENS}, asg AS ({GREEN_OF}) SELECT course_id, feature_id FROM feat_v WHERE kind='green' AND feature_id NOT IN (SELECT green_id FROM asg WHERE green_id IS NOT NULL)", LN)
+def orphan_greens(d):
+    """J-15: greens of the map that belong to no hole."""
+    return P.orphan_greens(features(d).filter("kind = 'green'"), green_assign(d))
+
+
 @query("course_boundary", f"WITH {EDGES}, en AS (SELECT course_id, x0 AS x, y0 AS y, hole AS o, 0 AS e FROM lines_v UNION ALL SELECT course_id, x1, y1, hole, 1 FROM lines_v), {hits('h', 'en', 'o, e, x, y')} SELECT CAST(-feature_id-1 AS BIGINT) AS course_id, feature_id, CAST(count(*) AS BIGINT) AS ends FROM h WHERE kind='boundary' GROUP BY feature_id", LN)
 def course_boundary(d):
     return P.best_boundary(d.view("lines_v"), features(d).filter("kind = 'boundary'"))

@@ -245,6 +245,24 @@ def sweep_report(d):
     return r.select("lie", "rule", "fired", "moved_n", *[half_up(f, 6).alias(f) for f in ("mean_cost", "median_cost", "mean_d_trouble")])
 
 
+@query("costly_moves", """WITH c AS (SELECT o_orderkey AS call_id, o_orderpriority AS lie, (o_orderkey%37)/100.0::DOUBLE AS cost FROM orders WHERE o_orderkey%4=0), k AS (SELECT *, row_number() OVER (PARTITION BY lie ORDER BY cost DESC, call_id) AS place, count(*) OVER (PARTITION BY lie) AS costly FROM c WHERE cost>0.3::DOUBLE)
+SELECT lie, CAST(place AS INT) AS place, call_id, cost, CAST(costly AS BIGINT) AS costly FROM k WHERE place<=12""")
+def costly_moves(d):
+    """A-35: what the sweep prints of single calls; a call in four was moved."""
+    k = F.col("o_orderkey")
+    calls = d.orders.select(k.alias("call_id"), F.col("o_orderpriority").alias("lie"), (k % 4 == 0).alias("moved"), ((k % 37) / F.lit(100.0)).alias("cost"))
+    return P.costly_moves(calls, ["lie"]).select("lie", "place", "call_id", "cost", "costly")
+
+
+@query("putt_cdf", f"""WITH pb(from_ft, to_ft, make_pct, three_pct) AS (VALUES {_v(PUTTS)}) SELECT shot_id, CAST(j AS INT) AS putts, {HU('CASE j WHEN 0 THEN 0 WHEN 1 THEN make_pct WHEN 2 THEN 1-three_pct ELSE 1 END', 6)} AS chance
+ FROM shots_v JOIN pb ON putt_ft>=from_ft AND (to_ft IS NULL OR putt_ft<to_ft+1) CROSS JOIN (SELECT unnest(range(0,4)) AS j) WHERE shot_type='putt'""", ("shots_v",))
+def putt_cdf(d):
+    """A-38 on the green: the chance of being down in so many putts or fewer."""
+    j = X.putt_join(d.shots.filter("shot_type = 'putt'"), putts(d), "putt_ft").filter("make_pct IS NOT NULL")
+    j = j.select("shot_id", "make_pct", "three_pct", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("putts"))
+    return j.select("shot_id", "putts", half_up(X.putt_cdf("putts", "make_pct", "three_pct"), 6).alias("chance"))
+
+
 # ---- entries from shares ------------------------------------------------------------------------------
 @query("leave_zones", f"""WITH z AS (SELECT player_id, club, to_pin_yds>=100 AS far, count(*) AS n, floor(1000.0::DOUBLE*count(*) FILTER (lat_miss_yds<0)/count(*)+0.5)/10 AS lp, floor(1000.0::DOUBLE*count(*) FILTER (lat_miss_yds>0)/count(*)+0.5)/10 AS rp, floor(1000.0::DOUBLE*count(*) FILTER (lat_miss_yds=0)/count(*)+0.5)/10 AS cp FROM shots_v GROUP BY ALL)
 SELECT player_id, club, CAST(sum(n) AS BIGINT) AS n, CAST(sum(floor(lp*n/100+0.5)) AS BIGINT) AS lft, CAST(sum(floor(rp*n/100+0.5)) AS BIGINT) AS rgt, CAST(sum(floor(cp*n/100+0.5)) AS BIGINT) AS mid, sum(n)=sum(floor(lp*n/100+0.5)+floor(rp*n/100+0.5)+floor(cp*n/100+0.5)) AS adds_up, {HU('sum(floor(lp*n/100+0.5))/sum(n)', 6)} AS left_share FROM z GROUP BY player_id, club""", ("shots_v",))
