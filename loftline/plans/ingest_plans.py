@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loftline.functions.numbers import half_up
 from loftline.operators import nines as N
 from loftline.operators import weather as W
-from loftline.plans.registry import HU, query
+from loftline.plans.registry import HU, ORACLES, query
 from loftline.session import work_folder
 from loftline.settings import DEFAULTS
 from loftline.sources import maps as M
@@ -112,6 +112,22 @@ def flatten_rounds(d):
     return f.select("key", "hole", "shot_no", "category", "club_id", F.coalesce("start_lie", F.when(F.col("category") == "putting", "green")).alias("start_lie"), "end_lie", "shot_type", "start_yds", "putt_ft", "made", "dist_sign", "lat_sign")
 
 
+@query("bundle_roundtrip", ORACLES["flatten_rounds"])
+def bundle_roundtrip(d):
+    """O-06: the flattened rounds written as a bundle and read again."""
+    fresh, folder = flatten_rounds(d), work_folder(d.spark)
+    L.write_bundle(fresh, folder)
+    stored = d.spark.read.parquet(folder)
+    return stored.select(*fresh.columns)
+
+
+@query("bundle_stale", f"SELECT key, CAST(count(*) AS BIGINT) AS n FROM ({ORACLES['flatten_rounds']}) WHERE shot_no=1 GROUP BY key")
+def bundle_stale(d):
+    """O-06 check: first shots are missing from the stored bundle, and are what it finds."""
+    fresh = flatten_rounds(d)
+    return L.stale(fresh, fresh.filter("shot_no > 1")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("backup_roundtrip", "SELECT o_orderkey AS id, o_orderstatus AS body FROM orders")
 def backup_roundtrip(d):
     rows = d.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("body"))

@@ -129,6 +129,12 @@ def club_groups(d):
     return K.group_results(clubs(d))
 
 
+@query("club_entries", f"WITH {CLUBS} SELECT coalesce({CK}, 'id:'||id) AS key, min(id) AS club_id, min(pos) AS first_pos, list(id ORDER BY pos, id) AS ids FROM c GROUP BY 1")
+def club_entries(d):
+    """A-34 with the entries of each club."""
+    return K.group_entries(clubs(d)).select("key", "club_id", "first_pos", F.col("entries.id").alias("ids"))
+
+
 LBL = "n AS (SELECT p_partkey, p_brand AS club, CASE p_partkey%5 WHEN 0 THEN p_brand||' - '||p_type||'/'||split_part(p_name,' ',1) WHEN 1 THEN p_brand WHEN 2 THEN upper(p_brand)||': '||p_name WHEN 3 THEN '' ELSE p_name||'/x/y' END AS course FROM part)"
 STRIP = "CASE WHEN club<>'' AND starts_with(lower(course), lower(club)) AND length(course)>length(club) THEN trim(regexp_replace(course[length(club)+1:], '^[\\s\\-–—:|,·]+', '')) ELSE course END"
 
