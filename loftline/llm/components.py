@@ -17,17 +17,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Every round points the larger neighbours of a node at the node's smallest neighbour, then its smaller ones;
     the forest of links flattens into stars in about log2(longest path) rounds.  Minima are combined map-side and
-    joined back from the checkpoint folder, so that both sides of a join are dealt for it alone: a node with very many
-    links is a skewed join, which Spark splits, and never one group.  Links from a node to itself and nulls are ignored; no links, no rows.
+    joined back; the minima are not kept first, so that a node with very many links is dealt to one task of a join.  Links from a node to itself and nulls are ignored; no links, no rows.
     """
     e = settled(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                 .filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct())
     mark = _mark(e)
     while mark[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = settled(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        far = settled(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = settled(far.groupBy("u").agg(F.min("v").alias("m")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        far = (both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = far.groupBy("u").agg(F.min("v").alias("m"))
         near = (far.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
                                           F.col("m").alias("v")).distinct())
         e = settled(near)
