@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    """The folder for checkpoints; one of our own only where no cluster names any, as in tests."""
+    """The folder for checkpoints; a temporary one only in a local session that names none, as in tests."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir() and not checkpoint_dir(spark):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loftline-checkpoint-"))
     return sc.getCheckpointDir()
 

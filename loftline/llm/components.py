@@ -17,7 +17,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Every round points the larger neighbours of a node at the node's smallest neighbour, then its smaller ones;
     the forest of links flattens into stars in about log2(longest path) rounds.  Minima are combined map-side and
-    joined back; the minima are not kept first, so that a node with very many links is dealt to one task of a join.  Links from a node to itself and nulls are ignored; no links, no rows.
+    joined back; they are not kept first, so a node with very many links is dealt to one task of a join.  Each round is
+    kept in the checkpoint folder.  Links from a node to itself and nulls are ignored; no links, no rows.
     """
     e = settled(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                 .filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct())
