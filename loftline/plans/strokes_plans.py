@@ -105,8 +105,8 @@ def _sums(df, *keys):
 @query("strokes_gained", f"WITH {SG} SELECT player_id, club, CAST(count(sg) AS BIGINT) AS n, {HU('sum(sg)+1e-9', 4)} AS sg, {HU('avg(sg)+1e-9', 5)} AS per_shot FROM sg GROUP BY GROUPING SETS ((player_id, club),(player_id))", ("shots_v",))
 def strokes_gained(d):
     per = _sums(gained(d), "player_id", "club")
-    allc = per.groupBy("player_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("club", F.lit(None).cast("string"))
-    return per.unionByName(allc).select("player_id", "club", "n", half_up(F.col("s") + 1e-9, 4).alias("sg"), half_up(F.col("s") / F.col("n") + 1e-9, 5).alias("per_shot"))
+    both = per.rollup("player_id", "club").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.grouping_id().alias("_g")).filter("_g < 3")   # by club and in all, shots read once
+    return both.select("player_id", "club", "n", half_up(F.col("s") + 1e-9, 4).alias("sg"), half_up(F.col("s") / F.col("n") + 1e-9, 5).alias("per_shot"))
 
 
 @query("strokes_gained_category", f"WITH {SG} SELECT player_id, category, CAST(count(sg) AS BIGINT) AS n, {HU('sum(sg)+1e-9', 4)} AS sg, {HU('sum(sg)/count(DISTINCT round_id)+1e-9', 5)} AS per_round FROM sg GROUP BY ALL", ("shots_v",))
